@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
+WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 
 
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in the text; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -60,14 +61,17 @@ def _running(rows: DataFrame, key: list[str], stretch: str, order: list[str], am
     return inside.join(sums, [*key, stretch]).withColumn(out, F.col("base") + F.col("inside")).drop("inside", "base")
 
 
-def takes(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64, stretch_rows: int = 2048, text: str = "text", source: str = "source"):
+def takes(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64, stretch_rows: int = 2048, text: str = "text", source: str = "source", keep: list[str] = ()):
     """(rows, pieces): rows(row, doc_id, ordinal, size, source, source_size, target) and what the mix takes of them,
-    pieces(row, pass, first, words, slot): words of the row's text from word `first` on, in slot order."""
+    pieces(row, pass, first, words, slot): words of the row's text from word `first` on, in slot order. Columns named in
+    `keep` go with the rows, which then have a number `copy` too, from 1, among rows of equal doc_id and kept columns."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *keep)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     plan = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most), "targets")
-    named = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("row", "doc_id", "ordinal", "size", rows["source"], "source_size", "target")
+    named = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("row", "doc_id", "ordinal", "size", rows["source"], "source_size", "target", *keep)
+    if keep:
+        named = named.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", *keep).orderBy("row")))
     named = written(named, "named")
 
     stretches, total = max(1, named.count() // stretch_rows), plan.agg(F.sum("target")).first()[0] or 0.0

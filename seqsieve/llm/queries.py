@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, simhash, token_files
+from . import exact_dedup, langid, line_dedup, mixing, packing, sharding, simhash, token_files, topk, toxicity
 from .scratch import scratch_path
 from .tokens import vocabulary_path
 
@@ -26,12 +26,31 @@ def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents"))
 
 
+def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path, vocabulary=vocabulary_path(), end_id=1)
     return token_files.read_token_files(spark, path, with_ids=False)
 
 
+def op5_ball_tree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5, factor=256)
+
+
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, *langid.fit(docs))
+
+
 def op8_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), words=3)
 
@@ -44,9 +63,39 @@ def op10_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_sharding, op2_chunk_recipes, op4_rans_token_files, op8_simhash_multi_index, op9_best_fit_packing, op10_golden_ratio_mix)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_permutation_sharding,
+        op2_chunk_recipes,
+        op3_subword_toxicity,
+        op4_rans_token_files,
+        op5_ball_tree_top5,
+        op6_line_chunks,
+        op7_subword_language,
+        op8_simhash_multi_index,
+        op9_best_fit_packing,
+        op10_golden_ratio_mix,
+        pipeline,
+    )
+}
 
 ORACLES = {
+    "op5_ball_tree_top5": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY rank <= 5""",
     "op2_chunk_recipes": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(low) AS text_sha256

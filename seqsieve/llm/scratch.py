@@ -38,10 +38,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process; call it once no result that reads them is needed."""
+def release(spark: SparkSession, keep: list[str] = ()) -> None:
+    """Delete the scratch tables of this process but for those to keep; call it once no result that reads them is needed."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in [p for p in _written if p not in keep]:
+        _written.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
