@@ -66,25 +66,30 @@ def features(tokens: list[str], sizes: tuple[int, ...], buckets: int):
     return found, weight[owner], token[begins][owner], n_words
 
 
-def document_rows(documents: list[dict[str, int]], sizes, buckets):
-    """CSR (edges, bucket, weight) of token counts by document; weights of a document sum to 1 (or it has no words)."""
-    tokens = list({t for d in documents for t in d})
-    number = {t: i for i, t in enumerate(tokens)}
-    bucket, weight, token, n_words = features(tokens, sizes, buckets)
-    order = np.argsort(token, kind="stable")
-    bucket, weight = bucket[order], weight[order]
-    edge = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(tokens)))))
-    edges, cols, vals = [0], [], []
-    for d in documents:
-        ids = np.fromiter((number[t] for t in d), np.int64, len(d))
-        times = np.fromiter(d.values(), np.float64, len(d))
-        lens = edge[ids + 1] - edge[ids]
-        at = np.repeat(edge[ids] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        own, back = np.unique(bucket[at], return_inverse=True)
-        cols.append(own)
-        vals.append(np.bincount(back, weight[at] * np.repeat(times, lens), len(own)) / max(1.0, float((times * n_words[ids]).sum())))
-        edges.append(edges[-1] + len(own))
-    return np.array(edges), np.concatenate([*cols, np.zeros(0, np.int64)]), np.concatenate([*vals, np.zeros(0)])
+def document_rows(documents: list[dict[str, int]], sizes, buckets, together: int = 100):
+    """CSR (edges, bucket, weight) of token counts by document; weights of a document sum to 1 (or it has no words).
+
+    Some documents at a time are cut into subwords, so memory is that of the result.
+    """
+    edges, cols, vals = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for first in range(0, len(documents), together):
+        group = documents[first : first + together]
+        tokens = list({t for d in group for t in d})
+        number = {t: i for i, t in enumerate(tokens)}
+        bucket, weight, token, n_words = features(tokens, sizes, buckets)
+        order = np.argsort(token, kind="stable")
+        bucket, weight = bucket[order], weight[order]
+        edge = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(tokens)))))
+        for d in group:
+            ids = np.fromiter((number[t] for t in d), np.int64, len(d))
+            times = np.fromiter(d.values(), np.float64, len(d))
+            lens = edge[ids + 1] - edge[ids]
+            at = np.repeat(edge[ids] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+            own, back = np.unique(bucket[at], return_inverse=True)
+            cols.append(own.astype(np.int32))
+            vals.append((np.bincount(back, weight[at] * np.repeat(times, lens), len(own)) / max(1.0, float((times * n_words[ids]).sum()))).astype(np.float32))
+            edges.append(edges[-1] + len(own))
+    return np.array(edges), np.concatenate(cols), np.concatenate(vals)
 
 
 @dataclass(frozen=True)
@@ -113,7 +118,7 @@ def train(documents: list[dict[str, int]], labels: list, *, classes: list, sizes
     n, k = len(labels), len(classes)
     y = np.array([classes.index(v) for v in labels], np.int64)
     used = np.flatnonzero(np.bincount(cols, minlength=buckets) >= min_documents)
-    at = np.full(buckets, -1)
+    at = np.full(buckets, -1, np.int32)
     at[used] = np.arange(len(used))
     own = at[cols] >= 0
     vals = (vals[own] * scale).astype(np.float32)
@@ -128,7 +133,7 @@ def train(documents: list[dict[str, int]], labels: list, *, classes: list, sizes
         lens = edges[docs + 1] - edges[docs]
         pick = np.repeat(edges[docs] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         which, back = np.unique(cols[pick], return_inverse=True)
-        groups.append((docs, which, np.repeat(np.arange(len(docs), dtype=np.int32), lens), back.astype(np.int32), vals[pick]))
+        groups.append((docs, which, np.repeat(np.arange(len(docs), dtype=np.uint8 if batch < 256 else np.int32), lens), back.astype(np.int32), vals[pick]))
     turn = np.concatenate([rng.permutation(len(groups)) for _ in range(-(-steps // max(1, len(groups))))])[:steps]
     for done, g in enumerate(turn):
         docs, which, row, back, v = groups[g]

@@ -22,7 +22,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, sample_bytes: int = 50_000, text: str = "text") -> subwords.Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, sample_bytes: int = 50_000, text: str = "text") -> subwords.Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = classify.sampled(known, sample / max(1, known.count()))  # about `sample` rows at most: safe to broadcast
