@@ -254,10 +254,10 @@ def np_granger(x, y, max_lag=5):
 def np_ccm(x, y, dim=3, tau=1, sub=1200):
     """Largest cross-map skill: how well neighbours in y's delay space tell x, over library sizes."""
     x, y = x[:sub], y[:sub]
-    first, n = (dim - 1) * tau, len(y) - (dim - 1) * tau
+    n = len(y) - (dim - 1) * tau
     if n < 4 * (dim + 1):
         return np.nan
-    w, target, best = np.stack([y[i * tau : i * tau + n] for i in range(dim)], 1), x[first:], 0.0
+    w, target, best = np.stack([y[i * tau : i * tau + n] for i in range(dim)], 1), x[:n], 0.0
     d = np.sqrt(((w[:, None, :] - w[None, :, :]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     for size in sorted({int(v) for v in np.geomspace(2 * (dim + 1), n, 8)}):

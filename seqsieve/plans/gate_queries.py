@@ -133,14 +133,14 @@ def fisher(spark, sf_dir):
 
 
 @register(
-    """WITH n AS (SELECT user_id, count(*) AS n, CAST(floor(count(*) * 0.7) AS BIGINT) AS base FROM events GROUP BY user_id), f AS (SELECT *, (n - base) // 3 AS size, f FROM n, range(0, 3) r(f)),
-  o AS (SELECT user_id, CAST(f AS INTEGER) AS fold, base + f * size AS d_end, base + f * size AS c_start, CASE WHEN f = 2 THEN n ELSE base + (f + 1) * size END AS c_end FROM f WHERE n - base >= 90
-        UNION ALL SELECT user_id, 0, base, base, n FROM n WHERE n - base < 90)
+    """WITH n AS (SELECT event_type, count(*) AS n, CAST(floor(count(*) * 0.7) AS BIGINT) AS base FROM events GROUP BY event_type), f AS (SELECT *, (n - base) // 3 AS size, f FROM n, range(0, 3) r(f)),
+  o AS (SELECT event_type, CAST(f AS INTEGER) AS fold, base + f * size AS d_end, base + f * size AS c_start, CASE WHEN f = 2 THEN n ELSE base + (f + 1) * size END AS c_end FROM f WHERE n - base >= 90
+        UNION ALL SELECT event_type, 0, base, base, n FROM n WHERE n - base < 90)
   SELECT * FROM o WHERE c_end - c_start >= 30"""
 )
 def walk_forward_folds(spark, sf_dir):
-    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("user_id", F.explode(evaluation.folds(F.col("n"))).alias("f")).select("user_id", *[F.col(f"f.{c}").cast(k).alias(c) for c, k in (("fold", "int"), ("d_end", "long"), ("c_start", "long"), ("c_end", "long"))])
+    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("event_type", F.explode(evaluation.folds(F.col("n"))).alias("f")).select("event_type", *[F.col(f"f.{c}").cast(k).alias(c) for c, k in (("fold", "int"), ("d_end", "long"), ("c_start", "long"), ("c_end", "long"))])
 
 
 def _fold_p(spark, sf_dir):
