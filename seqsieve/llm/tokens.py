@@ -8,7 +8,10 @@ before need not be encoded again. Unseen words go to the real tokenizer in one b
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+from array import array
 
 import numpy as np
 
@@ -21,20 +24,40 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin-1 letters with marks around it: the pre-tokenizer parts letters from marks, so each run has its own ids.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level BPE shows for each byte: itself if it is printable Latin-1, else the next one from 256 on."""
+    out, other = {}, 256
+    for byte in range(256):
+        plain = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
+        out[byte] = chr(byte if plain else other)
+        other += not plain
+    return out
+
+
+_SHOWN = _byte_characters()
+
+
 class WordEncoder:
     """ids(texts): uint16 ids of each UTF-8 text. Two generations of at most `keep` words bound the memory;
     a word longer than 64 bytes is kept for its batch only."""
 
     _by_path: dict[str, "WordEncoder"] = {}
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch
+        whole = Tokenizer.from_file(path)
+        self._encode = whole.encode_batch
+        self._encode_runs = Tokenizer(whole.model).encode_batch_fast  # a run is one piece, already in lower case
         self._keep = keep
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
+        self._runs: dict[str, bytes] = {"": b""}
 
     @classmethod
     def shared(cls, path: str) -> "WordEncoder":
@@ -43,24 +66,61 @@ class WordEncoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def _encoded(self, words: list[str], encode) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 20_000):
+            out += [array("H", e.ids).tobytes() for e in encode(words[at : at + 20_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        young, runs = self._young, self._runs
+        if len(runs) > self._keep:
+            runs.clear()
+            runs[""] = b""
+        parted, whole, unknown = [], [], set()
+        for w in fresh:
+            m = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
+            if m and len(w) <= 64 and b"<|" not in w:  # special tokens are not cut
+                a, b, c = m.groups()
+                b = b.lower()
+                parted.append((w, a, b, c))
+                unknown.update(x for x in (a, b, c) if x not in runs)
+            else:
+                whole.append(w)
+        unknown = list(unknown)
+        shown = [x if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN) for x in unknown]
+        runs.update(zip(unknown, self._encoded(shown, self._encode_runs)))
+        for w, a, b, c in parted:
+            young[w] = runs[a] + runs[b] + runs[c]
+        young.update(zip(whole, self._encoded([w.decode("utf-8", "replace") for w in whole], self._encode)))
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        collecting = gc.isenabled()
+        gc.disable()  # only short-lived lists are made, and a pass over the words that are kept is long
+        try:
+            return self._ids(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         young, old = self._young, self._old
-        unseen = set()
+        met: set[bytes] = set()
         for words in split:
-            unseen.update(w for w in words if w not in young)
-        fresh, passing = [], {}
-        for w in unseen:
-            if w in old:
-                young[w] = old[w]
-            else:
-                fresh.append(w)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self._encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                (young if len(w) <= 64 else passing)[w] = np.array(e.ids, "<u2").tobytes()
-        table = young if not passing else {**passing, **{w: young[w] for ws in split for w in ws if w in young}}
-        out = [np.frombuffer(b"".join(map(table.__getitem__, words)), "<u2") for words in split]
+            met.update(words)
+        fresh = []
+        for w in met:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    fresh.append(w)
+        self._learn(fresh)
+        out = [np.frombuffer(b"".join(map(young.__getitem__, words)), "<u2") for words in split]
+        for w in fresh:
+            if len(w) > 64:
+                del young[w]
         if len(young) > self._keep:
             self._old, self._young = young, {}
         return out
