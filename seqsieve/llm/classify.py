@@ -6,17 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .subwords import Model, Scorer
-
-_scorers: dict[int, tuple[Model, Scorer]] = {}
-
+from .tokens import kept
 
 def scorer_for(broadcast) -> Scorer:
     """One scorer for each model and Python worker, so that tokens met are remembered over tasks."""
     model = broadcast.value  # the worker keeps the value of a broadcast, so one object for all its tasks
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = (model, Scorer(model))
-    return _scorers[id(model)][1]
+    return kept(("scorer", id(model)), lambda: Scorer(model))
 
 
 def shipped(df: DataFrame, model: Model):
@@ -29,11 +24,3 @@ def sampled(rows: DataFrame, fraction, seed: int = 17) -> DataFrame:
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(place < fraction)
 
-
-def counted(text: str) -> dict[str, int]:
-    """Times of each token of a text."""
-    out: dict[str, int] = {}
-    for t in text.encode("utf-8", "surrogatepass").split():
-        t = t.decode("utf-8", "replace")
-        out[t] = out.get(t, 0) + 1
-    return out

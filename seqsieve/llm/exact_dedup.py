@@ -70,6 +70,7 @@ def find_copies(docs: DataFrame, *, average: int = 2048, hash_bits: int = 64, te
 
         from . import tokens
 
+        tokens.kept(None)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for at, texts in tokens.batches(batch.column("text")):
@@ -84,6 +85,7 @@ def find_copies(docs: DataFrame, *, average: int = 2048, hash_bits: int = 64, te
 
         from . import tokens
 
+        tokens.kept(None)
         for batch in batches:
             for _, texts in tokens.batches(batch.column("text")):
                 own = {c for t in texts for c in _chunks(t.lower(), average, hash_bits)}  # each chunk once for this batch

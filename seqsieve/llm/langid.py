@@ -38,9 +38,9 @@ def fit(docs: DataFrame, *, per_language: int = 800, sample_bytes: int = 50_000,
     if not found:
         return None, 1.0
     classes = sorted({r[2] for r in found})
-    documents, labels = [classify.counted(r[1]) for r in found], [r[2] for r in found]
-    held = [i for i in range(len(found)) if i % 5 == 4]
-    model = subwords.train([d for i, d in enumerate(documents) if i % 5 != 4], [y for i, y in enumerate(labels) if i % 5 != 4], classes=classes, **OPTIONS)
+    texts, labels = [r[1] for r in found], [r[2] for r in found]
+    held = [i for i in range(len(texts)) if i % 5 == 4]
+    model = subwords.train([t for i, t in enumerate(texts) if i % 5 != 4], [y for i, y in enumerate(labels) if i % 5 != 4], classes=classes, **OPTIONS)
     if not held:
         return model, 0.0
     scorer, truth = subwords.Scorer(model), np.array([classes.index(labels[i]) for i in held])

@@ -61,6 +61,7 @@ def remove_repeats(docs: DataFrame, *, average: int = 4, hash_bits: int = 64, te
 
         from . import tokens
 
+        tokens.kept(None)
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
         names = ["doc_id", "text_hash", "first", "h", "chunk"]
         for batch in batches:
@@ -75,6 +76,7 @@ def remove_repeats(docs: DataFrame, *, average: int = 4, hash_bits: int = 64, te
 
         from . import tokens
 
+        tokens.kept(None)
         for batch in batches:
             for _, texts in tokens.batches(batch.column("text")):
                 own = {c[1:] for t in texts for c in _hashed(t, hash_bits, average)}  # each chunk once for this batch

@@ -67,6 +67,7 @@ def with_fingerprints(docs: DataFrame, *, words: int = 3, text: str = "text") ->
 
         from . import tokens
 
+        tokens.kept(None)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for at, texts in tokens.batches(batch.column("text")):

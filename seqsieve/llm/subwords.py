@@ -12,6 +12,7 @@ white space); what a token adds is computed once and remembered, within bounded
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,14 +67,19 @@ def features(tokens: list[str], sizes: tuple[int, ...], buckets: int):
     return found, weight[owner], token[begins][owner], n_words
 
 
-def document_rows(documents: list[dict[str, int]], sizes, buckets, together: int = 100):
-    """CSR (edges, bucket, weight) of token counts by document; weights of a document sum to 1 (or it has no words).
+def counted(text: str) -> dict[str, int]:
+    """Times of each token of a text."""
+    return Counter(t.decode("utf-8", "replace") for t in text.encode("utf-8", "replace").split())
+
+
+def document_rows(texts: list[str], sizes, buckets, together: int = 100):
+    """CSR (edges, bucket, weight) of the texts' subwords; weights of a document sum to 1 (or it has no words).
 
     Some documents at a time are cut into subwords, so memory is that of the result.
     """
     edges, cols, vals = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    for first in range(0, len(documents), together):
-        group = documents[first : first + together]
+    for first in range(0, len(texts), together):
+        group = [counted(t) for t in texts[first : first + together]]
         tokens = list({t for d in group for t in d})
         number = {t: i for i, t in enumerate(tokens)}
         bucket, weight, token, n_words = features(tokens, sizes, buckets)
@@ -108,13 +114,13 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
-def train(documents: list[dict[str, int]], labels: list, *, classes: list, sizes=(3, 4, 5), buckets=1 << 17, dim=8, scale=100.0, steps=700, batch=64, rate=0.2, decay=1e-6, min_documents=5, seed=0) -> Model:
+def train(texts: list[str], labels: list, *, classes: list, sizes=(3, 4, 5), buckets=1 << 17, dim=8, scale=100.0, steps=700, batch=64, rate=0.2, decay=1e-6, min_documents=5, seed=0) -> Model:
     """Fit embeddings and softmax together by minibatch SGD with per-coordinate step sizes (Adagrad).
 
     Subwords in fewer than min_documents documents keep a vector of zero.
     """
     rng = np.random.default_rng(seed)
-    edges, cols, vals = document_rows(documents, sizes, buckets)
+    edges, cols, vals = document_rows(texts, sizes, buckets)
     n, k = len(labels), len(classes)
     y = np.array([classes.index(v) for v in labels], np.int64)
     used = np.flatnonzero(np.bincount(cols, minlength=buckets) >= min_documents)
@@ -161,7 +167,7 @@ def train(documents: list[dict[str, int]], labels: list, *, classes: list, sizes
 class Scorer:
     """Mean logits of whole texts by a model, with a bounded memory of tokens."""
 
-    def __init__(self, model: Model, keep: int = 400_000):
+    def __init__(self, model: Model, keep: int = 150_000):
         self._model, self._keep = model, keep
         self._reset()
 

@@ -41,12 +41,24 @@ def _byte_characters() -> dict[int, str]:
 _SHOWN = _byte_characters()
 
 
+_kept: dict = {}
+
+
+def kept(key, make=None):
+    """What this Python worker remembers between tasks: one thing at a time, made anew when another was asked for since.
+
+    Workers serve the tasks of all stages, so what one operator remembers would otherwise stay beside the next one's."""
+    if _kept.get("key") != key:
+        _kept.clear()
+        if make is not None:
+            _kept.update(key=key, value=make())
+    return _kept.get("value")
+
+
 class WordEncoder:
     """ids(texts): uint16 ids of each UTF-8 text. Two generations of at most `keep` words bound the memory;
     a word longer than 64 bytes is kept for its batch only."""
 
-    _by_path: dict[str, "WordEncoder"] = {}
-
     def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -62,9 +74,7 @@ class WordEncoder:
     @classmethod
     def shared(cls, path: str) -> "WordEncoder":
         """One encoder for each Python worker, so that its words serve all the worker's tasks."""
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        return kept(("words", path), lambda: cls(path))
 
     def _encoded(self, words: list[str], encode) -> list[bytes]:
         out = []

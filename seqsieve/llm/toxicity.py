@@ -15,26 +15,26 @@ from pyspark.sql import functions as F
 
 from . import classify, subwords
 
-OPTIONS = {"sizes": (3, 4, 5), "buckets": 1 << 17, "dim": 8, "scale": 100.0, "steps": 700, "min_documents": 5}
+OPTIONS = {"sizes": (3, 4, 5), "buckets": 1 << 17, "dim": 8, "scale": 100.0, "steps": 900, "min_documents": 10}
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, sample_bytes: int = 50_000, text: str = "text") -> subwords.Model:
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_bytes: int = 50_000, text: str = "text") -> subwords.Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = classify.sampled(known, sample / max(1, known.count()))  # about `sample` rows at most: safe to broadcast
-    texts = docs.select("doc_id", F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).collect())
-    documents, toxic = [classify.counted(r[1]) for r in rows], [int(r[2] > 0) for r in rows]
+    known_texts = docs.select("doc_id", F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in known_texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).collect())
+    texts, toxic = [r[1] for r in rows], [int(r[2] > 0) for r in rows]
     if len(set(toxic)) < 2:  # nothing to learn: a constant score
         import numpy as np
 
         share = min(max(sum(toxic) / len(toxic) if toxic else 0.0, 1e-9), 1 - 1e-9)
         return subwords.Model([0, 1], np.zeros((2, 2), np.float32), np.log([1 - share, share]), OPTIONS["sizes"])
-    return subwords.train(documents, toxic, classes=[0, 1], **OPTIONS)
+    return subwords.train(texts, toxic, classes=[0, 1], **OPTIONS)
 
 
 def score(docs: DataFrame, model: subwords.Model, *, threshold: float = 0.3, text: str = "text") -> DataFrame:
