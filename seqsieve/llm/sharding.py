@@ -6,7 +6,7 @@ most one slot, and a change of the shard list moves few slots. A row's place is
 one lookup, in a table whose size is fixed beforehand and that is therefore safe to broadcast.
 
 Cases: a null key hashes like the text "null-key" and so has one place; equal keys share a place; an empty table gives an
-empty result; extra columns are kept or ignored as the caller selects; shard names must be distinct and not empty.
+empty result; extra columns are kept, but columns named like the slot and the shard are replaced; shard names must be distinct and not empty.
 """
 
 from __future__ import annotations
@@ -61,4 +61,6 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, *, slo
     import pandas as pd
 
     lookup = spark.createDataFrame(pd.DataFrame({slot_name: np.arange(slots, dtype=np.int64), shard_name: np.array(shards, object)[table]}), f"`{slot_name}` long, `{shard_name}` string")
-    return df.withColumn(slot_name, slot_of(F.col(key), slots)).join(F.broadcast(lookup), slot_name)
+    slot = slot_of(F.col(key), slots)
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot_name.lower(), shard_name.lower())]
+    return df.select(*others, slot.alias(slot_name)).join(F.broadcast(lookup), slot_name)

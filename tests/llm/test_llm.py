@@ -8,12 +8,12 @@ import pytest
 
 from . import brute
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `key` string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `key` string, keep_id_0 string, m_key_1 int, shard string"
 
 
 def docs_of(spark, rows, parts=3):
     """rows (doc_id, text[, source]) as documents with extra columns whose names operators use inside."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), "x", "y") for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), "x", "y", "z", 1, "s") for r in rows]
     return spark.createDataFrame(full, DOCS).repartition(parts) if full else spark.createDataFrame([], DOCS)
 
 
