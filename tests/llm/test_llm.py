@@ -238,6 +238,44 @@ def test_links_lose_no_component(spark):
     assert {v: roots.get(v, v) for v in values} == {v: min(g) for g in want.values() for v in g}
 
 
+def test_near_copies_stage_keeps_no_near_copy(spark):
+    """All pairs at five-word similarity of 0.8, many of them further than two bits apart."""
+    import corpus_pipeline
+
+    rng, rows = np.random.default_rng(4), []
+    for g in range(25):
+        base = words(int(rng.integers(60, 400)), 1000 + g).split()
+        for k in range(5):
+            text = list(base)
+            for j in rng.integers(0, len(text), int(rng.integers(1, 3 + len(text) // 40))):
+                text[j] = f"edit{g}x{k}x{j}"
+            rows.append((len(rows), " ".join(text)))
+    dense = words(300, 7).split()
+    for k in range(60):
+        text = list(dense)
+        text[int(rng.integers(0, 300))] = f"dense{k}"
+        rows.append((len(rows), " ".join(text)))
+    rows += [(1000 + i, t) for i, t in enumerate(["", " ", "one two", "one  TWO", "one three"])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                far += bin(brute.simhash(rows[i][1]) ^ brute.simhash(rows[j][1])).count("1") > 2 if i < 125 else 0
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    assert far > 20
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), "").collect()]
+    assert sorted(got) == sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+
+
 def test_packing(spark, odd_rows):
     from seqsieve.llm import packing
     from seqsieve.llm.tokens import vocabulary_path
