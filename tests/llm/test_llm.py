@@ -276,6 +276,16 @@ def test_near_copies_stage_keeps_no_near_copy(spark):
     assert sorted(got) == sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
 
 
+def test_near_copies_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    near = lambda seed, k: words(200, seed) + f" end{k}"
+    rows = [(1, near(1, 0)), (5, near(1, 1)), (5, words(90, 2)), (2, near(3, 0)), (2, near(3, 1)), (None, near(1, 2)), (None, near(4, 0)), (None, near(4, 1)), (None, words(80, 6))]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), "").collect()]
+    assert len(got) == 5 and {rows[0], rows[2], rows[8]} <= set(got)
+    assert len(set(rows[3:5]) & set(got)) == len(set(rows[6:8]) & set(got)) == 1
+
+
 def test_packing(spark, odd_rows):
     from seqsieve.llm import packing
     from seqsieve.llm.tokens import vocabulary_path
