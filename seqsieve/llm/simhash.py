@@ -1,17 +1,23 @@
 """SimHash fingerprints of word shingles, and near-duplicate groups by multi-index hashing.
 
-Linking fingerprints at `distance` 2 or less. A fingerprint has two segments of 32 bits. Two fingerprints differ in at
-most two bits exactly if some value lies within one bit of both: flip one of the differing bits in each. So each
-fingerprint enumerates the Hamming balls of radius one within its segments, 1 + 32 + 32 probes, each a segment value
-beside the other segment as it is; a probe's table entry then holds only fingerprints within one bit of the probe. An
-entry has at most 65 of them however hot a segment value is, and each is linked to the least of its entry, after the
-whole distance is verified. No link between groups is lost, and no bucket is paired up.
-
-Equal fingerprints are collapsed before probing, so copies cost one row.
-
-Cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; rows with a null
-doc_id get a component like others but are never its id, unless no row of it has an id (then null); repeated rows get
-equal results; an empty table gives an empty result; other columns are ignored.
+Linking fingerprints at two or fewer differing bits. A fingerprint has two segments of 32 bits, high and low, and each
+segment has a table of who holds which value. If two fingerprints differ in at most two bits, their high segments are
+equal or their low ones differ in at most one bit. So the high table is asked for each own value (a Hamming ball of radius
+zero), and the low table for the ball of radius one around the own value. Of two values a bit apart the one without the
+bit asks, so a ball is its centre and the centre with each of its zero bits set: 16 rows on average. Table matches are
+candidates, and the complete distance is verified.
+
+A segment value held by more than `hot` fingerprints would pair up many. Its rows are looked up by (segment, value, other
+segment) instead: askers a bit away enumerate the ball of radius one of their other segment, and holders of the same value
+enumerate theirs, meet at its points and are linked to the least one there. At most 33 fingerprints share a point and all
+are within two bits, so components are those of all pairs and the work stays linear.
+
+Equal fingerprints are collapsed before, so copies cost one row.
+
+Cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; a very long text is
+fingerprinted whole, in bounded memory; rows with a null doc_id get a component like others but are never its id, unless no
+row of it has an id (then null); repeated rows get equal results; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -77,23 +83,46 @@ def with_fingerprints(docs: DataFrame, *, words: int = 3, text: str = "text") ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
+LOW = (1 << 32) - 1
+
+
+def _ball(value, zero_bits_only: bool = False):
+    """array<long>: a 32-bit value and its neighbours a bit away, or only those with a bit more."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col(value).bitwiseXOR(bit(i)))
+    return F.concat(F.array(value), F.filter(flips, lambda v: v > F.col(value)) if zero_bits_only else flips)
+
+
+def links(fps: DataFrame, *, hot: int = 64) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints with two or fewer differing bits.
 
-    The probes of one entry meet in one aggregate; only entries with more than two members list them, at most 65.
+    fps (fp long, distinct) is read several times, so pass a written table. Segment values held more than `hot` times take
+    the way by both segments; the result does not depend on `hot`.
     """
-    low = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    high = F.transform(F.sequence(F.lit(32), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    probes = fps.select("fp", F.explode(F.concat(F.array("fp"), low, high)).alias("probe"))
-    entry = probes.groupBy("probe").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(fp)").alias("x")).where("n > 1")
-    entry = written(entry, "entries")
-    pairs = entry.select("a", "b")
-    third = entry.where("n = 3").select("a", F.expr("x ^ a ^ b").alias("b"))
-    more = written(entry.where("n > 3").select("probe", "a"), "entries-more")
-    if not more.isEmpty():  # list the members of the larger entries: the fingerprints in the ball around the probe
-        around = more.select("a", F.explode(F.expr("concat(array(probe), transform(sequence(0, 63), i -> probe ^ shiftleft(1L, i)))")).alias("b"))
-        pairs = pairs.union(around.distinct().join(fps, around["b"] == fps["fp"], "left_semi"))
-    return pairs.union(third).where("a <> b and bit_count(a ^ b) <= 2").distinct()
+    tasks = max(1, -(-fps.count() // 20_000))
+    parted = fps.select("fp", F.expr("shiftrightunsigned(fp, 32)").alias("high"), F.col("fp").bitwiseAND(F.lit(LOW)).alias("low"))
+    side = lambda segment, value, other: F.struct(F.lit(segment).alias("segment"), F.col(value).alias("value"), F.col(other).alias("other"))
+    table = parted.select("fp", F.explode(F.array(side(0, "high", "low"), side(1, "low", "high"))).alias("s")).select("s.*", "fp")
+    # (segment, value asked for, own value, other, fp): the high segment's own value, the low segment's ball.
+    spread = parted.repartition(tasks, "fp")
+    asked = spread.select("fp", F.lit(0).alias("segment"), F.col("high").alias("value"), F.col("high").alias("own"), F.col("low").alias("other"))
+    asked = asked.union(spread.select("fp", F.lit(1), F.explode(_ball("low", zero_bits_only=True)), "low", "high"))
+    crowded = written(table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("segment", "value"), "crowded")
+    calm, rest = asked, None
+    if not crowded.isEmpty():
+        here = crowded.withColumn("crowd", F.lit(True))
+        marked = asked.join(here, ["segment", "value"], "left").join(here.select("segment", F.col("value").alias("own"), F.col("crowd").alias("own_crowd")), ["segment", "own"], "left")
+        calm = marked.where("crowd is null and own_crowd is null")
+        near = marked.where("(crowd or own_crowd) and value <> own").select("fp", "segment", "value", F.explode(_ball("other")).alias("other"))
+        near = near.join(table.withColumnRenamed("fp", "b"), ["segment", "value", "other"]).select(F.col("fp").alias("a"), "b")
+        same = table.join(here, ["segment", "value"]).select("fp", "segment", "value", F.explode(_ball("other")).alias("point"))
+        first = same.groupBy("segment", "value", "point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        rest = near.union(same.join(first, ["segment", "value", "point"]).select("a", F.col("fp").alias("b")))
+    met = calm.join(table.select("segment", "value", F.col("fp").alias("b")), ["segment", "value"]).where("value <> own or fp < b")
+    pairs = met.select(F.col("fp").alias("a"), "b")
+    if rest is not None:
+        pairs = pairs.union(rest)
+    return pairs.where("a <> b and bit_count(a ^ b) <= 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, *, words: int = 3, text: str = "text") -> DataFrame:
