@@ -144,14 +144,35 @@ def test_top_scores(spark):
     rows = [(i, rng.normal(size=6).tolist(), "x", 1) for i in range(230)] + [(1000 + i, [0.5] * 6, "x", 1) for i in range(90)]
     rows += [(400, None, "x", 1), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x", 1), (402, [math.nan] * 6, "x", 1), (403, [math.inf] * 6, "x", 1), (None, [1.0] * 6, "x", 1), (50, [0.25] * 6, "x", 1), (450, [0.1] * 3, "x", 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, kth string, shard int")
-    want = brute.top_scores([(r[0], None if r[1] is None else [None if x is None else float(np.float32(x)) for x in r[1]]) for r in rows if r[0] is not None])
-    for shard_rows, block in ((1000, 1000), (40, 3)):
-        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(frame, shard_rows=shard_rows, block=block).collect())
-        plain = lambda rs: sorted((q, s, v) for q, _, v, s in rs)  # noqa: E731  the two rows with id 50 share ranks
+    exact = lambda v: None if v is None else [None if x is None else float(np.float32(x)) for x in v]
+    want = brute.top_scores([(r[0], exact(r[1])) for r in rows if r[0] is not None])
+    plain = lambda rs: sorted((q, s, v) for q, _, v, s in rs)  # noqa: E731  the two rows with id 50 share ranks
+    for shard_rows, block, pivots in ((1000, 1000, 8), (40, 3, 8), (20, 5, 1)):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(frame, shard_rows=shard_rows, block=block, pivots=pivots).collect())
         assert plain(got) == plain(want)
     assert topk.nearest(spark.createDataFrame([], frame.schema)).count() == 0
 
 
+def test_top_scores_of_any_size(spark):
+    """Components of 1e6, 1e12 and 1e30, ids beyond 2^53, ties there, empty vectors."""
+    from seqsieve.llm import topk
+
+    rng = np.random.default_rng(6)
+    big = 1 << 60
+    rows = [(big + i, (rng.normal(size=4) * 10.0 ** (6 * (i % 3))).tolist()) for i in range(150)]
+    rows += [(3000 + i, [1e12, 1.0, 0.0, 0.0]) for i in range(30)] + [(5000 + i, [1e12 + 1, 2.0, 3.0, 0.25 * i]) for i in range(30)]
+    rows += [(7000, []), (7001, []), (7050, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(q, r, v, max(-(2**63), min(2**63 - 1, s))) for q, r, v, s in brute.top_scores(rows)]
+    for shard_rows in (1000, 30):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(frame, shard_rows=shard_rows, pivots=6).collect())
+        assert got == sorted(want)
+    huge = [(i, (rng.normal(size=3) * 1e300).tolist()) for i in range(60)]
+    wide = [(q, r, v, max(-(2**63), min(2**63 - 1, s))) for q, r, v, s in brute.top_scores(huge, every=7)]
+    frame = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(frame, every=7, shard_rows=15).collect()) == sorted(wide)
+
+
 def _plain_line_dedup(rows, average):
     """Repeated chunks of lines, found by comparing chunk texts."""
     from seqsieve.llm import line_dedup
@@ -218,6 +239,13 @@ def test_links_lose_no_component(spark):
             for b in rng.integers(0, 64, rng.integers(0, 4)):
                 v ^= 1 << int(b)
             values.add(v)
+    for fixed in (0, 32):  # many hold one value of a segment
+        base = int(rng.integers(0, 2**62))
+        for _ in range(60):
+            v = base
+            for b in rng.integers(fixed, fixed + 32, rng.integers(0, 6)):
+                v ^= 1 << int(b)
+            values.add(v)
     values = sorted(v - 2**64 if v >> 63 else v for v in values)
     parent = {v: v for v in values}
 
@@ -234,8 +262,9 @@ def test_links_lose_no_component(spark):
     for v in values:
         want.setdefault(find(v), []).append(v)
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
-    roots = {r.node: r.root for r in connected_components(simhash.links(frame)).collect()}
-    assert {v: roots.get(v, v) for v in values} == {v: min(g) for g in want.values() for v in g}
+    for hot in (1, 3, 64):
+        roots = {r.node: r.root for r in connected_components(simhash.links(frame, hot=hot)).collect()}
+        assert {v: roots.get(v, v) for v in values} == {v: min(g) for g in want.values() for v in g}
 
 
 def test_near_copies_stage_keeps_no_near_copy(spark):
