@@ -43,7 +43,7 @@ def op5_ball_tree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return cleaned.select("doc_id", "n_lines", "removed_lines", "removed_runs", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,28 +173,36 @@ def test_top_scores_of_any_size(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(frame, every=7, shard_rows=15).collect()) == sorted(wide)
 
 
-def _plain_line_dedup(rows, average):
-    """Repeated chunks of lines, found by comparing chunk texts."""
-    from seqsieve.llm import line_dedup
-
+def _plain_line_dedup(rows, least_words, alone):
+    """What goes by whole texts of passages: every pair of neighbouring lines, and every long line, with an earlier place."""
     import hashlib
 
-    seen = defaultdict(set)
-    for doc_id, text in set(rows):
-        lines = (text or "").encode().split(b"\n")
-        for a, z in line_dedup.line_chunks(lines, average):
-            if z - a > 1:
-                seen[b"\n".join(lines[a:z])].add((doc_id is not None, doc_id or 0, hashlib.sha256((text or "").encode()).hexdigest(), a))
+    order = lambda d, t: (d is not None, d or 0, hashlib.md5((t or "").encode()).digest())
+    seen = {}
+    documents = sorted({(d, t or "") for d, t in rows}, key=lambda r: order(*r))
+    for doc_id, text in documents:
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for part in [tuple(lines[i : i + 2])] * (i + 1 < len(lines)) + [(lines[i],)]:
+                seen.setdefault(part, (doc_id, text, i))
     out = []
     for doc_id, text in rows:
-        lines = (text or "").encode().split(b"\n")
-        kept = []
-        for a, z in line_dedup.line_chunks(lines, average):
-            me = (doc_id is not None, doc_id or 0, hashlib.sha256((text or "").encode()).hexdigest(), a)
-            places = seen.get(b"\n".join(lines[a:z]), {me})
-            if z - a < 2 or len(places) < 2 or me == min(places):
-                kept += lines[a:z]
-        out.append((doc_id, b"\n".join(kept).decode()))
+        lines = (text or "").split("\n")
+        gone = [False] * len(lines)
+        for i in range(len(lines)):
+            if i + 1 < len(lines) and seen[tuple(lines[i : i + 2])] != (doc_id, text or "", i):
+                gone[i] = gone[i + 1] = True
+            if len(lines[i].split()) >= alone and seen[(lines[i],)] != (doc_id, text or "", i):
+                gone[i] = True
+        at = 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and gone[end]:
+                end += 1
+            if end > at and sum(len(x.split()) for x in lines[at:end]) < least_words:
+                gone[at:end] = [False] * (end - at)
+            at = max(end, at + 1)
+        out.append((doc_id, "\n".join(x for x, g in zip(lines, gone) if not g)))
     return out
 
 
@@ -203,19 +211,38 @@ def test_line_chunks(spark, bits):
     from seqsieve.llm import line_dedup
 
     rng = np.random.default_rng(2)
-    passage = [f"line {i} of the passage" for i in range(12)]
+    passage = [f"line {i} of the passage with some words" for i in range(12)]
+    short = [f"a short {k} of few lines " + " ".join(f"s{i}" for i in range(12)) for k in range(3)]
+    long = " ".join(f"long{i}" for i in range(55))
     rows = []
     for i in range(25):
         own = [f"own {i} {j}" for j in rng.integers(0, 1000, 6)]
-        rows.append((i, "\n".join(own[:3] + (passage if i % 3 else []) + own[3:])))
-    rows += [(4, rows[4][1]), (90, None), (91, ""), (92, "single"), (None, "\n".join(passage)), (93, "a\na\na\na\na\na\na\na")]
+        rows.append((i, "\n".join(own[:3] + (passage if i % 3 else short[: i % 4] + [long] * (i % 2)) + own[3:])))
+    rows += [(4, rows[4][1]), (90, None), (91, ""), (92, "single"), (None, "\n".join(passage)), (93, "a\na\na\na\na\na\na\na"), (94, "\n".join(["own words " * 6] * 20)), (95, words(20_000, 3).replace(" w1", "\nw1")), (96, long)]
     got = line_dedup.remove_repeats(docs_of(spark, rows), hash_bits=bits).select("doc_id", "text").collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
-    assert sorted(map(tuple, got), key=key) == sorted(_plain_line_dedup(rows, 4), key=key)
-    assert any("passage" in (b or "") for _, b in rows[1:3]) and sum(len(t) for _, t in got) < sum(len(t or "") for _, t in rows)
+    assert sorted(map(tuple, got), key=key) == sorted(_plain_line_dedup(rows, 20, 50), key=key)
+    texts = {t for r in got for t in r.text.split("\n")}
+    assert {t for _, x in rows for t in (x or "").split("\n")} == texts and sum(len(r.text) for r in got) < sum(len(t or "") for _, t in rows)
     assert line_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_line_boundaries_follow_content():
+    """Chunks cover the lines, depend on the lines around them only, and a moved passage is cut as before."""
+    from seqsieve.llm import line_dedup
+
+    rng = np.random.default_rng(4)
+    h = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 4000)]
+    chunks = line_dedup.line_chunks(h, 2)
+    assert [a for a, _ in chunks[1:]] == [z for _, z in chunks[:-1]] and chunks[-1][1] == len(h)
+    assert all(2 <= z - a <= 32 for a, z in chunks[:-1]) and 2.5 < len(h) / len(chunks) < 3.5
+    ends = {z for _, z in chunks}
+    moved = {z - 7 for _, z in line_dedup.line_chunks([int(x) for x in rng.integers(0, 99, 7)] + h, 2)}
+    assert len(ends - moved) < 20
+    lines = [b"x %d" % v for v in h[:50]]
+    assert len(set(line_dedup.line_hashes(lines))) == 50 and line_dedup.passages(lines[:2], line_dedup.line_hashes(lines[:2]), 2, 50) == [(0, 2)]
+
+
 def test_simhash_components(spark, odd_rows):
     from seqsieve.llm import simhash
 
