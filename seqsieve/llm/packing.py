@@ -7,7 +7,8 @@ indexed by remaining capacity. A group wastes about one window, so the padding a
 one window in a thousand, while no task ever holds more than its groups.
 
 Cases: a null text counts as empty and packs its end id alone; rows with a null or a repeated doc_id are each packed;
-ties of length go by doc_id and then by checksum; an empty table gives no rows; other columns are ignored.
+ties of length go by doc_id and then by checksum; a very long text is tokenized whole in its task and cut into full windows;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +33,16 @@ def cut_pieces(docs: DataFrame, *, vocabulary: str, end_id: int = 2, window: int
         from . import tokens
 
         encoder = tokens.WordEncoder.shared(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for at, texts in tokens.batches(batch.column("text")):
-                out = []
-                for k, ids in enumerate(encoder.ids(texts)):
-                    data, n = memoryview(ids.astype("<u4").tobytes() + end), len(ids) + 1
-                    for a in range(0, n, window):
-                        z = min(n, a + window)
-                        out.append((doc_ids[at + k], a, z - a, zlib.crc32(data[4 * a : 4 * z]), n))
+            for at, texts in tokens.batches(batch.column("text"), 1 << 22):
+                ids, ends = encoder.ended(texts, end_id)
+                data, out, begin = memoryview(ids.tobytes()), [], 0
+                for doc_id, end in zip(doc_ids[at : at + len(texts)], ends.tolist()):
+                    for a in range(begin, end, window):
+                        z = min(end, a + window)
+                        out.append((doc_id, a - begin, z - a, zlib.crc32(data[4 * a : 4 * z]), end - begin))
+                    begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
@@ -96,7 +97,7 @@ def best_fit_decreasing(lengths, window: int) -> tuple[list[int], list[int]]:
 
 
 def pack(pieces: DataFrame, *, window: int = 4096, group: int = 4096) -> DataFrame:
-    """pieces with sequence_id and offset. pieces is read twice, so pass a written table."""
+    """pieces(..., place long) with sequence_id and offset. pieces is read twice, so pass a written table."""
     groups = max(1, round(pieces.count() / group))
 
     def fit(pdf):
@@ -106,10 +107,12 @@ def pack(pieces: DataFrame, *, window: int = 4096, group: int = 4096) -> DataFra
         pdf["offset"] = np.array(offset, "int64")
         return pdf.drop(columns="bucket")
 
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # `place` deals rows that are equal in all else to different groups.
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "place"), F.lit(groups))).drop("place")
     return dealt.groupBy("bucket").applyInPandas(fit, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, *, vocabulary: str, end_id: int = 2, window: int = 4096, group: int = 4096, text: str = "text") -> DataFrame:
-    pieces = written(cut_pieces(docs, vocabulary=vocabulary, end_id=end_id, window=window, text=text), "pieces")
+    pieces = cut_pieces(docs, vocabulary=vocabulary, end_id=end_id, window=window, text=text)
+    pieces = written(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, window=window, group=group)

@@ -6,7 +6,8 @@ repeated task leaves no half-written or doubled container, and any reader of Par
 
 Cases: a null text counts as empty; a document without tokens holds the end id alone; rows with a null doc_id come
 first; rows that share a doc_id are ordered by a hash of their texts and each is kept; an empty table gives an empty
-folder of files; other columns of the input are ignored; a long document makes one large container.
+folder of files; other columns of the input are ignored; a very long document makes one large container; a container of more
+than 2^19 different ids, more than the vocabulary has, is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CONTAINER = "part int, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
+#: Bytes of text that are tokenized together.
+TOGETHER = 1 << 22
 
 
 def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: int = 1, container_ids: int = 1 << 21, text: str = "text") -> None:
@@ -31,26 +34,25 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str, end_id: in
 
         encoder = tokens.WordEncoder.shared(vocabulary)
         part, before = TaskContext.get().partitionId(), 0
-        names, parts, held = [], [], 0
+        names, lengths, parts, held = [], [], [], 0
 
         def container():
-            ids = np.concatenate(parts)
-            columns = [[part], [before], [len(ids)], [names], [[len(p) for p in parts]], [ans.encode(ids)]]
+            columns = [[part], [before], [held], [names], [np.concatenate(lengths)], [ans.encode(np.concatenate(parts))]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
-        end = np.array([end_id], "<u4")
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for at, texts in tokens.batches(batch.column("text")):
-                for k, ids in enumerate(encoder.ids(texts)):
-                    names.append(doc_ids[at + k])
-                    parts.append(np.concatenate((ids.astype("<u4"), end)))
-                    held += len(ids) + 1
-                    if held >= container_ids:
-                        yield container()
-                        before += held
-                        names, parts, held = [], [], 0
+            for at, texts in tokens.batches(batch.column("text"), min(TOGETHER, 4 * container_ids)):
+                ids, ends = encoder.ended(texts, end_id)
+                names += doc_ids[at : at + len(texts)]
+                lengths.append(np.diff(ends, prepend=0))
+                parts.append(ids)
+                held += len(ids)
+                if held >= container_ids:
+                    yield container()
+                    before += held
+                    names, lengths, parts, held = [], [], [], 0
         if parts:
             yield container()
 
