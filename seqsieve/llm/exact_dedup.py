@@ -7,8 +7,9 @@ only recipes, the ordered lists of identifiers, are compared and moved; texts ar
 aggregated before the shuffle, so a group with a third of all rows costs each task one row.
 
 Cases: a null text counts as empty, and all empty texts are one group; the row with the largest doc_id of a group
-stays; a null doc_id is the smallest; of rows that repeat the same doc_id and text exactly one stays; an empty table
-gives an empty result; other columns are ignored.
+stays; a null doc_id is the smallest; of rows that repeat the same doc_id and text exactly one stays; a very long
+text is cut into chunks in its task, and only its recipe moves on; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -61,9 +62,10 @@ def _chunks(text: bytes, average: int, bits: int):
         at = end
 
 
-def find_copies(docs: DataFrame, *, average: int = 2048, hash_bits: int = 64, text: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def find_copies(docs: DataFrame, *, average: int = 2048, hash_bits: int = 64, text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256[, row]) for every row. row names a column of different longs, if docs
+    has one that tells its rows apart."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(row).alias("row")] if row is not None else []))
 
     def recipe(batches):
         import pyarrow as pa
@@ -75,10 +77,10 @@ def find_copies(docs: DataFrame, *, average: int = 2048, hash_bits: int = 64, te
             doc_ids = batch.column("doc_id").to_pylist()
             for at, texts in tokens.batches(batch.column("text")):
                 low = [t.lower() for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[at : at + len(low)], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in low]), pa.array([[h for h, _ in _chunks(t, average, hash_bits)] for t in low], pa.list_(pa.int64()))],
-                    ["doc_id", "text_sha256", "recipe"],
-                )
+                out = [pa.array(doc_ids[at : at + len(low)], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in low]), pa.array([[h for h, _ in _chunks(t, average, hash_bits)] for t in low], pa.list_(pa.int64()))]
+                if row is not None:
+                    out.append(batch.column("row").slice(at, len(low)))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_sha256", "recipe", *["row"] * (row is not None)])
 
     def chunk(batches):
         import pyarrow as pa
@@ -104,7 +106,8 @@ def find_copies(docs: DataFrame, *, average: int = 2048, hash_bits: int = 64, te
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "text_sha256", "i", "h", "chunk"])
 
-    recipes = written(source.mapInArrow(recipe, "doc_id long, text_sha256 string, recipe array<bigint>").withColumn("row", F.monotonically_increasing_id()), "recipes")
+    recipes = source.mapInArrow(recipe, "doc_id long, text_sha256 string, recipe array<bigint>" + ", row long" * (row is not None))
+    recipes = written(recipes if row is not None else recipes.withColumn("row", F.monotonically_increasing_id()), "recipes")
     distinct = source.mapInArrow(chunk, "h long, chunk binary").groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
     shared = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "collisions")
     key = [F.col("recipe")]
@@ -118,5 +121,5 @@ def find_copies(docs: DataFrame, *, average: int = 2048, hash_bits: int = 64, te
     named = recipes.withColumn("key", F.struct(*key))
     groups = named.groupBy("key").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return named.join(groups, "key").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", *([F.col("row").alias(row)] if row is not None else [])
     )

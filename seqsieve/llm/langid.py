@@ -1,12 +1,13 @@
 """Language of whole texts: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy (subwords.py).
 
 The classifier is fitted on a bounded sample: about `per_language` documents of each language (of at most `sample_bytes`
-bytes, drawn by a hash of doc_id), collected to the driver. A fifth of them fits the temperature of the softmax and the
+bytes, drawn by a hash of doc_id), and about `most` of all languages, collected to the driver. Longer texts are predicted but
+never learned from. A fifth of them fits the temperature of the softmax and the
 score below which a prediction is rejected: the least at which the accepted ones are right with the rate `accuracy`.
 Every document is predicted, over its whole text; `accepted` says whether its score reaches the rejection threshold.
 
 Cases: a null text or one without letters is `und` with score 0 and not accepted; without any training document every
-prediction is `und`; repeated rows are predicted alike; an empty table gives an empty result.
+prediction is `und`; repeated rows are predicted alike; a very long text is predicted whole, in its task; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, *, per_language: int = 800, sample_bytes: int = 50_000, accuracy: float = 0.99, text: str = "text", lang: str = "lang"):
+def fit(docs: DataFrame, *, per_language: int = 800, most: int = 16_000, sample_bytes: int = 50_000, accuracy: float = 0.99, text: str = "text", lang: str = "lang"):
     """(model, rejection threshold); a model of None where there is nothing to learn from."""
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= sample_bytes))
-    rates = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"))  # one row for each language
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row for each language
+    each = min(per_language, most / max(1, sizes.count()))
+    rates = sizes.select("lang", (F.lit(float(each)) / F.col("n")).alias("rate"))
     found = classify.sampled(known.join(F.broadcast(rates), "lang"), F.col("rate")).select("doc_id", "text", "lang").distinct().collect()
     found = sorted((r.doc_id, r.text, r.lang) for r in found)
     if not found:

@@ -1,11 +1,12 @@
 """Toxicity of whole texts: averaged subword embeddings and a linear softmax, trained jointly in numpy (subwords.py).
 
 The classifier is fitted on a bounded sample of labelled documents (about `sample` documents of at most `sample_bytes`
-bytes, drawn by a hash of doc_id), collected to the driver; every document is scored, over its whole text.
+bytes, drawn by a hash of doc_id), collected to the driver; every document is scored, over its whole text. Longer texts are
+scored but never learned from, so words that occur only in them have no weight.
 
 Cases: a null or empty text, or one without words, gets the score of the bias alone; a document with conflicting labels
-counts as toxic; null labels are left out; without any labelled document, or with one class only, scores are the share of
-toxic ones (0 without labels); repeated rows are scored alike; an empty table gives an empty result.
+counts as toxic; of several texts under a labelled doc_id the one with the least hash is learned from; null labels are left out; without any labelled document, or with one class only, scores are the share of
+toxic ones (0 without labels); repeated rows are scored alike; a very long text is scored whole, in its task; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, sample_bytes:
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = classify.sampled(known, sample / max(1, known.count()))  # about `sample` rows at most: safe to broadcast
     known_texts = docs.select("doc_id", F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
-    rows = sorted((r.doc_id, r.text, r.toxic) for r in known_texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).collect())
+    one = known_texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = sorted((r.doc_id, r.text, r.toxic) for r in one.select("doc_id", "t.text", "toxic").collect())  # at most one for each chosen label
     texts, toxic = [r[1] for r in rows], [int(r[2] > 0) for r in rows]
     if len(set(toxic)) < 2:  # nothing to learn: a constant score
         import numpy as np
