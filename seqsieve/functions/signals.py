@@ -117,10 +117,15 @@ def long(draws: DataFrame, names) -> DataFrame:
 
 
 def recurrence_mean(draws: DataFrame) -> DataFrame:
-    """Mean over a draw's balls of the draws since the ball was last seen; never seen counts as N. One window per ball."""
+    """Mean over a draw's balls of the draws since the ball was last seen; never seen counts as N. A ball's last appearance
+    before each stretch is found first (few rows), then windows look within a stretch, so no ball's draws meet in a task."""
     n = draws.agg(F.count(F.lit(1)).alias("n"))
-    balls = draws.select("t", F.explode("reds").alias("ball"))
-    since = balls.withColumn("since", F.col("t") - F.lag("t").over(Window.partitionBy("ball").orderBy("t")))
+    balls = draws.select("t", F.explode("reds").alias("ball")).withColumn("s", F.floor(F.col("t") / series.STRETCH))
+    ends = balls.groupBy("ball", "s").agg(F.max("t").alias("end"))
+    before = Window.partitionBy("ball").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("ball", "s", F.max("end").over(before).alias("carried"))
+    inside = F.lag("t").over(Window.partitionBy("ball", "s").orderBy("t"))
+    since = balls.withColumn("inside", inside).join(ends, ["ball", "s"]).select("t", (F.col("t") - F.coalesce("inside", "carried")).alias("since"))
     return series.with_scalars(since, n).groupBy("t").agg(F.avg(F.coalesce("since", "n")).alias("x"))
 
 
@@ -167,9 +172,18 @@ def presence_of(draws: DataFrame, keys: list[str]) -> DataFrame:
 
 SERIES = {"red_recurrence_mean": recurrence_mean, "lp_red_centroid_velocity": centroid_velocity, "lp_blue_resid_autocorr": blue_resid_autocorr, "lp_red_entropy_rate": entropy_rate}
 
-#: Families of signals, for diversity among elites.
-FAMILIES = {n: ("gap" if "gap" in n or n in ("red_delta_mean", "red_consecutive", "red_pair_meandist") else "modular" if "mod" in n else "phase" if n in ("vector_mag", "vector_phase", "complex_field") else "blue" if n.startswith("blue") else "count" if n in ("red_parity", "red_low_count", "red_prime_count", "red_runs") else "level") for n in SIGNALS}
+# Families of signals, for diversity among elites; a signal not named here is of the family "other".
+FAMILIES = {
+    "red_sum": "sum_energy", "red_sum_rev": "sum_energy", "red_sum_block": "sum_energy", "red_energy": "sum_energy",
+    "red_mean": "mean", "red_weighted": "mean", "red_span": "span", "red_delta_mean": "delta",
+    "red_gap_mean": "gap", "red_gap_max": "gap", "red_gap_std": "gap",
+    "red_runs": "runs", "red_low_count": "count", "red_prime_count": "count", "red_zone_entropy": "entropy",
+    "red_recurrence_mean": "recurrence", "red_consecutive": "recurrence", "blue": "blue", "blue_resid": "blue",
+    "vector_mag": "vector", "vector_phase": "vector", "complex_field": "vector", "red_parity": "parity",
+    "red_sum_mod11": "mod", "red_sum_mod16": "mod",
+}
 
 
 def family(sig: str, first: str | None = None) -> str:
+    """The family of a signal; of a formula that of its first operand."""
     return f"comp:{FAMILIES.get(first or '', 'other')}" if sig == "comp" else FAMILIES.get(sig, "other")

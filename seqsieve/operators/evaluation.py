@@ -20,44 +20,120 @@ def rank_p(real: DataFrame, surrogates: DataFrame, keys: list[str], direction: s
     return out.select(*keys, "stat", "sur_mean", "sur_std", F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), z)).alias("z"), ((1 + F.col("hits")) / (1 + F.col("k_sur"))).alias("p_raw"), "k_sur", "sur_max", "sur_min")
 
 
-def evaluate(rows: DataFrame, tests: list[str], *, k: int, null: str = "shuffle", seed: int = 0, knobs: dict | None = None) -> DataFrame:
-    """Evaluation rows of every series (series_id, t, x) under every test. Surrogates are made once and serve all tests;
-    series and surrogates are spread over tasks."""
-    real = statistics.packed(rows, ["series_id"])
-    made = resampling.surrogate_series(real, null, k, seed)
-    out = None
-    for test in tests:
-        own = (knobs or {}).get(test, {})
-        got = rank_p(statistics.measure(real, test, ["series_id"], **own), statistics.measure(made, test, ["series_id", "sid"], **own), ["series_id"], statistics.TESTS[test][1])
-        got = got.select(F.col("series_id").alias("sig"), F.lit(test).alias("test"), F.lit(statistics.TESTS[test][2]).alias("tier"), F.lit(statistics.TESTS[test][1]).alias("direction"), F.lit(null).alias("sur_type"), *got.columns[1:])
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def evaluate_pair(rows: DataFrame, test: str, *, k: int, seed: int = 0, **knobs) -> DataFrame:
-    """Evaluation row of (series_id, t, x, y): surrogates shuffle x against y, in time, by one permutation each."""
-    real = statistics.measure(statistics.packed(rows, ["series_id"], ["x", "y"]), test, ["series_id"], **knobs)
-    moved = resampling.shuffled(rows.select("series_id", "t", "x"), k, seed, ["series_id"]).join(rows.select("series_id", "t", "y"), ["series_id", "t"])
-    return rank_p(real, statistics.measure(statistics.packed(moved, ["series_id", "sid"], ["x", "y"]), test, ["series_id", "sid"], **knobs), ["series_id"], statistics.TESTS[test][1])
-
-
-def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str = "q") -> DataFrame:
-    """evals with Benjamini-Hochberg q-values within the keys; an evaluation table is one row per hypothesis, so small."""
-    up = Window.partitionBy(*keys).orderBy(p)
-    out = evals.withColumn("_r", F.rank().over(up)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, p))  # ties share the last rank
-    out = out.withColumn("_q", F.col(p) * F.col("_n") / (F.col("_r") + same - 1))
-    least = F.min("_q").over(Window.partitionBy(*keys).orderBy(F.col(p).desc()))
-    return out.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), least))).drop("_r", "_n", "_q")
-
-
-def fisher(rows: DataFrame, keys: list[str], p: str = "p_raw", most: int = 64) -> DataFrame:
+def grid(packed: DataFrame, jobs: dict[str | None, list[tuple[str, dict, int]]], *, null: str = "shuffle", seed: int = 0, parts: int = 16, bundles: int = 4) -> DataFrame:
+    """Evaluation rows (series_id, test, knobs, stat, sur_mean, ..., sur_min) of packed series (series_id, x[, y]).
+
+    jobs has (test, knobs, k) for a series_id, or under None for all others. Series are dealt into `bundles`; a bundle goes to at
+    most `parts` tasks, each of which makes its share of the surrogates, one at a time, and puts each to all the series' tests:
+    surrogates are neither stored nor moved, and a permutation serves a bundle. What comes back is a number for each surrogate
+    and test. A task holds a bundle, so take more bundles for many or long series.
+    """
+    import json
+
+    import numpy as np
+    import pandas as pd
+
+    columns = [c for c in ("x", "y") if c in packed.columns]
+
+    def run(pdf):
+        orders, out, part = {}, [], int(pdf["part"].iloc[0])
+        held = [(name, [np.asarray(v, float) for v in values], jobs.get(name, jobs.get(None, []))) for name, *values in zip(pdf["series_id"], *[pdf[c] for c in columns])]
+        most = max((k for *_, own in held for _, _, k in own), default=0)
+        for sid in [*([-1] if part == 0 else []), *range(part, most, parts)]:
+            for name, values, own in held:
+                wanted = [(test, knobs) for test, knobs, k in own if sid < k]
+                if wanted:
+                    made = values if sid < 0 else resampling.surrogate(values, null, seed, name, sid, orders)
+                    for test, knobs in wanted:
+                        stat = statistics.TESTS[test][0](*made, **knobs)
+                        out.append((name, test, json.dumps(knobs, sort_keys=True), sid, float(stat) if np.isfinite(stat) else np.nan))
+        return pd.DataFrame(out, columns=["series_id", "test", "knobs", "sid", "stat"]).astype({"sid": "int32", "stat": "float64"})
+
+    rows = packed.select("series_id", F.pmod(F.xxhash64("series_id"), F.lit(bundles)).alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *columns)
+    stats = rows.groupBy("bundle", "part").applyInPandas(run, "series_id string, test string, knobs string, sid int, stat double").where("not isnan(stat)")
+    # A series' statistics under one test are as many as its surrogates: k numbers meet in one row.
+    own = F.col("sid") < 0
+    one = stats.groupBy("series_id", "test", "knobs").agg(F.max(F.when(own, F.col("stat"))).alias("stat"), F.collect_list(F.when(~own, F.col("stat"))).alias("s"))
+    high = F.col("test").isin(*[t for t, (_, way, _) in statistics.TESTS.items() if way == "high"])
+    mean = F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.col("k_sur")
+    spread = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, v: a + (v - F.col("sur_mean")) * (v - F.col("sur_mean"))) / F.col("k_sur"))
+    hits = F.size(F.filter("s", lambda v: F.when(high, v >= F.col("stat")).otherwise(v <= F.col("stat"))))
+    one = one.withColumn("k_sur", F.size("s").cast("long")).where("stat is not null and k_sur > 0").withColumn("sur_mean", mean).withColumn("sur_std", spread)
+    z = F.when(F.col("sur_std") < 1e-6, 0.0).otherwise((F.col("stat") - F.col("sur_mean")) / F.when(F.col("sur_std") >= 1e-6, F.col("sur_std")))
+    return one.select("series_id", "test", "knobs", "stat", "sur_mean", "sur_std", F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), z)).alias("z"), ((1 + hits) / (1 + F.col("k_sur"))).alias("p_raw"), "k_sur", F.array_max("s").alias("sur_max"), F.array_min("s").alias("sur_min"))
+
+
+def labelled(rows: DataFrame, null: str) -> DataFrame:
+    """Rows of grid() with the tests' tiers and directions, and the kind of surrogates."""
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(v) for t, d in statistics.TESTS.items() for v in (t, d[i])]), F.col("test"))
+    return rows.select(F.col("series_id").alias("sig"), "test", pick(2).alias("tier"), pick(1).alias("direction"), F.lit(null).alias("sur_type"), *rows.columns[3:])
+
+
+def evaluate(rows: DataFrame, tests: list[str], *, k: int | dict[str, int], null: str = "shuffle", seed: int = 0, knobs: dict | None = None, bundles: int = 4) -> DataFrame:
+    """Evaluation rows of every series (series_id, t, x) under every test; k surrogates, or so many by test."""
+    many = lambda t: k if isinstance(k, int) else k[t]
+    jobs = {None: [(t, (knobs or {}).get(t, {}), many(t)) for t in tests]}
+    return labelled(grid(statistics.packed(rows, ["series_id"]), jobs, null=null, seed=seed, bundles=bundles), null)
+
+
+def evaluate_long(rows: DataFrame, test: str, *, k: int, seed: int = 0, **knobs) -> DataFrame:
+    """The same for series of any length, under a test with a distributed form, against the same shuffles."""
+    measured = statistics.DISTRIBUTED[test]
+    made = measured(resampling.shuffled(rows.select("series_id", "t", "x"), k, seed, ["series_id"]), ["series_id", "sid"], **knobs)
+    out = rank_p(measured(rows, ["series_id"], **knobs), made, ["series_id"], statistics.TESTS[test][1])
+    return labelled(out.select("series_id", F.lit(test).alias("test"), F.lit("").alias("knobs"), *out.columns[1:]), "shuffle")
+
+
+def evaluate_pair(rows: DataFrame, tests: str | list[str], *, k: int, seed: int = 0, **knobs) -> DataFrame:
+    """Evaluation rows of (series_id, t, x, y): surrogates shuffle x and y by the same permutation, which keeps what they share
+    at one time and breaks what passes from one to the next."""
+    jobs = {None: [(t, knobs, k) for t in ([tests] if isinstance(tests, str) else tests)]}
+    return grid(statistics.packed(rows, ["series_id"], ["x", "y"]), jobs, seed=seed).drop("knobs")
+
+
+def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str = "q", parts: int = 64) -> DataFrame:
+    """evals with Benjamini-Hochberg q-values within the keys; a null p counts as no hypothesis and gets a null q.
+
+    Equal p-values are counted first. The different ones are parted at about equal quantiles; counts of the parts give ranks
+    of their starts, and the least of the later parts goes to the earlier ones, so no task sorts all of them.
+    """
+    keys = list(keys)
+    counts = evals.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)], 1000).alias("_e"), F.sum("_c").alias("_n"))
+    rows = counts.join(edges, keys) if keys else _beside(counts, edges)
+    rows = rows.withColumn("_part", F.size(F.filter("_e", lambda e: e < F.col("_p")))).drop("_e")
+    own = Window.partitionBy(*keys, "_part")
+    sums = rows.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))
+    along = Window.partitionBy(*keys).orderBy("_part")  # at most `parts` rows for each key
+    sums = sums.select(*keys, "_part", (F.sum("_s").over(along) - F.col("_s")).alias("_before"))
+    rows = rows.join(sums, [*keys, "_part"])
+    rows = rows.withColumn("_q", F.col("_p") * F.col("_n") / (F.col("_before") + F.sum("_c").over(own.orderBy("_p"))))
+    least = rows.groupBy(*keys, "_part").agg(F.min("_q").alias("_m"))
+    later = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(least.select(*keys, "_part", F.min("_m").over(later).alias("_after")), [*keys, "_part"])
+    q = F.least(F.lit(1.0), F.min("_q").over(own.orderBy(F.col("_p").desc())), F.col("_after"))
+    found = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_p", F.greatest(F.lit(0.0), q).alias(name))
+    same = F.col(p) == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return evals.join(found, same, "left").drop("_p", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    from seqsieve.operators import series
+
+    return series.with_scalars(rows, one)
+
+
+def fisher(rows: DataFrame, keys: list[str], p: str = "p_raw") -> DataFrame:
     """(keys, n, p_comb): Fisher's combination. p outside (0, 1] is dropped; none gives 1. For 2n degrees of freedom the
-    tail is exp(-h) * sum h^i / i!, i < n, with h = -sum ln p."""
+    tail is exp(-h) * sum h^i / i!, i < n, with h = -sum ln p; terms are taken in logarithms, so none is out of range."""
     ok = F.when((F.col(p) > 0) & (F.col(p) <= 1), F.ln(p))
     one = rows.groupBy(*keys).agg((-F.coalesce(F.sum(ok), F.lit(0.0))).alias("h"), F.count(ok).cast("int").alias("n"))
-    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term")), lambda a, i: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * F.col("h") / i).alias("term")))
-    return one.select(*keys, "n", F.when(F.col("n") == 0, 1.0).otherwise(F.exp(-F.col("h")) * terms["sum"]).alias("p_comb"))
+    # ln of term i is i ln h - ln i! - h; each is below 0, and the sum of their exponentials is the tail.
+    step = lambda a, i: F.struct((a["sum"] + F.exp(a["log"])).alias("sum"), (a["log"] + F.ln(F.greatest(F.col("h"), F.lit(1e-300))) - F.ln(i.cast("double"))).alias("log"))
+    terms = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), F.struct(F.lit(0.0).alias("sum"), (-F.col("h")).alias("log")), step)
+    return one.select(*keys, "n", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), terms["sum"])).alias("p_comb"))
 
 
 def folds(n: Column, n_folds: int = 3, discovery: float = 0.7, least: int = 30) -> Column:

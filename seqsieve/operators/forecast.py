@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, series
+from seqsieve.operators import evaluation, resampling, series
 
 LOG_REDS = math.log(math.comb(33, 6))
 LOG_BLUE = math.log(16.0)
@@ -41,8 +41,10 @@ def regime(draws: DataFrame, signal: str = "predict_gap_max", window: int = 150,
     near = series.with_scalars(rows, mean).where(F.abs(F.col("v") - F.col("regime")) <= tolerance)
     few = near.agg((F.count(F.lit(1)) < least).alias("few"))
     chosen = series.with_scalars(near, few).where("not few").select("t", "reds", "blue").union(series.with_scalars(rows.where(F.col("t") >= F.col("n") - window), few).where("few").select("t", "reds", "blue"))
-    # Beyond some thousand draws a weight is zero in a double, so ranks are only taken among the newest ones.
-    ranked = chosen.orderBy(F.col("t").desc()).limit(20_000).withColumn("age", F.row_number().over(Window.orderBy(F.col("t").desc())) - 1)
+    # Ranks are only taken among the newest draws: all weights beyond these sum to less than the scores are rounded to.
+    enough = math.ceil(math.log(1e-12 * (1 - decay)) / math.log(decay)) if 0 < decay < 1 else None
+    newest = chosen if enough is None else chosen.orderBy(F.col("t").desc()).limit(enough)
+    ranked = newest.withColumn("age", F.row_number().over(Window.orderBy(F.col("t").desc())) - 1)
     return picks(ranked, F.pow(F.lit(decay), "age"))
 
 
@@ -50,7 +52,8 @@ def backtest(draws: DataFrame, targets: int = 500, window: int = 150, decay: flo
     """(t, red_hits, blue_hit) for the last `targets` draws, each forecast from the `window` draws strictly before it.
     A draw joins the at most `window` targets that it serves, by an equi-join on t."""
     n = draws.agg(F.count(F.lit(1)).alias("n"))
-    train = draws.select("t", "reds", "blue", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("age")).withColumn("target", F.col("t") + F.col("age"))
+    late = series.with_scalars(draws, n).where(F.col("t") >= F.col("n") - targets - window)  # others serve no target
+    train = late.select("t", "reds", "blue", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("age")).withColumn("target", F.col("t") + F.col("age"))
     wanted = series.with_scalars(draws, n).where((F.col("t") >= F.col("n") - targets) & (F.col("t") > 0)).select(F.col("t").alias("target"), F.col("reds").alias("actual_reds"), F.col("blue").alias("actual_blue"))
     forecast = picks(train.join(wanted.select("target"), "target"), F.pow(F.lit(decay), F.col("age") - 1), ["target"])
     return forecast.join(wanted, "target").select(F.col("target").alias("t"), F.size(F.array_intersect("reds", "actual_reds")).alias("red_hits"), (F.col("blue") == F.col("actual_blue")).cast("int").alias("blue_hit"))
@@ -63,24 +66,99 @@ def backtest_summary(hits: DataFrame) -> DataFrame:
     return hits.agg(n.alias("n"), F.avg("red_hits").alias("mean_red_hits"), ((F.avg("red_hits") - 36 / 33) / F.sqrt(var / n)).alias("z"), F.avg("blue_hit").alias("blue_rate"))
 
 
+_BALLS = "concat(transform(reds, r -> struct('red' as colour, r as ball)), array(struct('blue' as colour, blue as ball)))"
+
+
+def signal_picks(train: DataFrame, keys: list[str] = (), reds: int = 6) -> DataFrame:
+    """(keys, colour, ball): the six red balls and the blue one whose frequency differs most between the draws of train(keys, v,
+    reds, blue) above the median of v and the others; ties go to the smaller ball."""
+    keys = list(keys)
+    med = train.groupBy(*keys).agg(F.percentile("v", 0.5).alias("med"))
+    rows = train.join(med, keys) if keys else series.with_scalars(train, med)
+    rows = rows.withColumn("hi", F.col("v") > F.col("med"))
+    sides = rows.groupBy(*keys).agg(F.sum(F.col("hi").cast("int")).alias("hi_n"), F.sum((~F.col("hi")).cast("int")).alias("lo_n"))
+    freq = rows.select(*keys, "hi", F.explode(F.expr(_BALLS)).alias("b")).groupBy(*keys, "b.colour", "b.ball").agg(F.sum(F.col("hi").cast("int")).alias("h"), F.sum((~F.col("hi")).cast("int")).alias("l"))
+    freq = freq.join(sides, keys) if keys else series.with_scalars(freq, sides)
+    gap = F.abs(F.col("h") / F.nullif(F.col("hi_n"), F.lit(0)) - F.col("l") / F.nullif(F.col("lo_n"), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*keys, "colour").orderBy(F.col("score").desc(), "ball"))  # 33 balls and 16
+    return freq.withColumn("score", F.round(F.coalesce(gap, F.lit(0.0)), 12)).withColumn("k", place).where(((F.col("colour") == "red") & (F.col("k") <= reds)) | ((F.col("colour") == "blue") & (F.col("k") == 1))).select(*keys, "colour", "ball")
+
+
+def _parted(draws: DataFrame, signal: str, frac: float) -> tuple[DataFrame, DataFrame]:
+    """Training draws with v, and the rest without repeats."""
+    rows = draws.withColumn("v", signals.column(signal))
+    rows = series.with_scalars(rows, rows.agg(F.count(F.lit(1)).alias("n"))).withColumn("cut", F.floor(F.col("n") * (1 - frac)))
+    return rows.where("t < cut").select("t", "reds", "blue", "v"), rows.where("t >= cut").dropDuplicates(["reds", "blue"])
+
+
 def pick_by_signal(draws: DataFrame, signal: str, frac: float = 0.2) -> DataFrame:
     """One row (train_n, test_n, red_hits, red_expected, blue_hits, blue_expected): in the training part, balls whose
     frequency differs most between draws above and below the signal's median are picked; hits are counted in the rest."""
-    rows = draws.withColumn("v", signals.column(signal))
-    rows = series.with_scalars(rows, rows.agg(F.count(F.lit(1)).alias("n"))).withColumn("cut", F.floor(F.col("n") * (1 - frac)))
-    train = rows.where("t < cut")
-    train = series.with_scalars(train, train.agg(F.percentile("v", 0.5).alias("med"), F.count(F.lit(1)).alias("train_n")))
-    sides = train.agg(F.sum((F.col("v") > F.col("med")).cast("int")).alias("hi_n"), F.sum((F.col("v") <= F.col("med")).cast("int")).alias("lo_n"))
-    balls = series.with_scalars(train, sides)
-    ball = F.explode(F.concat(F.transform("reds", lambda r: F.struct(F.lit("red").alias("colour"), r.alias("ball"))), F.array(F.struct(F.lit("blue").alias("colour"), F.col("blue").alias("ball")))))
-    freq = balls.select("v", "med", "hi_n", "lo_n", ball.alias("b")).groupBy("b.colour", "b.ball").agg((F.sum((F.col("v") > F.col("med")).cast("int")) / F.max("hi_n")).alias("hi"), (F.sum((F.col("v") <= F.col("med")).cast("int")) / F.max("lo_n")).alias("lo"))
-    score = freq.withColumn("score", F.round(F.abs(F.col("hi") - F.col("lo")), 12)).withColumn("k", F.row_number().over(Window.partitionBy("colour").orderBy(F.col("score").desc(), "ball")))
-    chosen = score.agg(F.array_sort(F.collect_list(F.when((F.col("colour") == "red") & (F.col("k") <= 6), F.col("ball")))).alias("pick_reds"), F.max(F.when((F.col("colour") == "blue") & (F.col("k") == 1), F.col("ball"))).alias("pick_blue"))
-    test = series.with_scalars(rows.where("t >= cut").dropDuplicates(["reds", "blue"]), chosen)
+    train, rest = _parted(draws, signal, frac)
+    is_red = F.col("colour") == "red"
+    chosen = signal_picks(train).agg(F.array_sort(F.collect_list(F.when(is_red, F.col("ball")))).alias("pick_reds"), F.max(F.when(~is_red, F.col("ball"))).alias("pick_blue"))
+    test = series.with_scalars(rest, chosen)
     n = F.count(F.lit(1))
     return test.agg(F.max("cut").alias("train_n"), n.alias("test_n"), F.sum(F.size(F.array_intersect("reds", "pick_reds"))).alias("red_hits"), (n * 36 / 33).alias("red_expected"), F.sum((F.col("blue") == F.col("pick_blue")).cast("int")).alias("blue_hits"), (n / 16).alias("blue_expected"))
 
 
+def pick_accuracy(draws: DataFrame, signal: str, frac: float = 0.2, *, k: int = 100, seed: int = 0) -> DataFrame:
+    """One row (hits, sur_mean, as_good, k_sur, p): the picks' hits beside those of picks made after the signal was shuffled
+    against the training draws, which breaks what it says of them. Hits of a pick are a sum over the picked balls' own counts
+    in the rest, so surrogates never meet the draws there."""
+    train, rest = _parted(draws, signal, frac)
+    counts = rest.select(F.explode(F.expr(_BALLS)).alias("b")).groupBy("b.colour", "b.ball").agg(F.count(F.lit(1)).alias("c"))
+    moved = resampling.shuffled(train.select("t", "v"), k, seed).join(train.select("t", "reds", "blue"), "t")
+    hits = lambda picked, keys: picked.join(F.broadcast(counts), ["colour", "ball"], "left").groupBy(*keys).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("h"))  # noqa: E731  49 rows at most
+    real = hits(signal_picks(train), []).withColumnRenamed("h", "hits")
+    made = series.with_scalars(hits(signal_picks(moved, ["sid"]), ["sid"]), real)
+    out = made.agg(F.max("hits").alias("hits"), F.avg("h").alias("sur_mean"), F.sum((F.col("h") >= F.col("hits")).cast("int")).alias("as_good"), F.count(F.lit(1)).alias("k_sur"))
+    return out.withColumn("p", F.least(F.lit(1.0), (F.col("as_good") + 0.5) / F.col("k_sur")))
+
+
+def walk_forward(draws: DataFrame, *, train_n: int = 300, decay: float = 0.99, k: int = 200, seed: int = 0, reds: int = 6, parts: int = 16) -> DataFrame:
+    """One row (n, hit_rate, random_rate, sur_mean, p_random, above_random): each draw from train_n on, but for the last, is
+    forecast by the balls that weigh most in the train_n draws before it (the newest 1, each step back decay); beside the same
+    on draws in shuffled order. No row of hits for fewer than train_n + 20 draws.
+
+    The draws, as one packed row, go to `parts` tasks; each walks its share of the orders once, with 33 running weights.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from seqsieve.operators import statistics
+
+    columns = [f"r{i}" for i in range(1, 7)]
+    wide = draws.select(F.lit("draws").alias("series_id"), "t", *[F.element_at("reds", i).cast("double").alias(c) for i, c in enumerate(columns, 1)])
+    packed = statistics.packed(wide, ["series_id"], columns)
+
+    def run(pdf):
+        r, part, out = np.stack([np.asarray(pdf[c].iloc[0], np.int64) for c in columns], 1) - 1, int(pdf["part"].iloc[0]), []
+        share = -(-k // parts)
+        for sid in [*([-1] if part == 0 else []), *range(part * share, min(k, (part + 1) * share))]:
+            x = r if sid < 0 else r[resampling.order_of(len(r), seed, sid)]
+            if len(x) <= train_n + 20:
+                continue
+            weight, hits, gone = np.zeros(33), 0, decay**train_n
+            for t in range(len(x) - 1):
+                if t >= train_n:
+                    top = np.lexsort((np.arange(33), -np.round(weight, 9)))[:reds]
+                    hits += int(np.isin(top, x[t]).sum())
+                weight *= decay
+                weight[x[t]] += 1
+                if t >= train_n:
+                    weight[x[t - train_n]] -= gone
+            out.append((sid, len(x) - 1 - train_n, hits / (len(x) - 1 - train_n) / reds))
+        return pd.DataFrame(out, columns=["sid", "n", "rate"]).astype({"sid": "int32", "n": "int64", "rate": "float64"})
+
+    rates = packed.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *columns).groupBy("part").applyInPandas(run, "sid int, n long, rate double")
+    real = F.col("sid") < 0
+    one = rates.agg(F.max(F.when(real, F.col("n"))).alias("n"), F.max(F.when(real, F.col("rate"))).alias("hit_rate"), F.collect_list(F.when(~real, F.col("rate"))).alias("s"))  # k numbers
+    p = (1 + F.size(F.filter("s", lambda v: v >= F.col("hit_rate")))) / (1 + F.size("s"))
+    out = one.select("n", "hit_rate", F.lit(reds / 33).alias("random_rate"), (F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("s"), F.lit(0))).alias("sur_mean"), F.when(F.col("n").isNotNull(), p).alias("p_random"))
+    return out.withColumn("above_random", F.coalesce((F.col("hit_rate") > F.col("sur_mean")) & (F.col("p_random") < 0.05), F.lit(False)))
+
+
 # ---- pre-registration
 
 
@@ -133,3 +211,12 @@ def leaderboard(scored: DataFrame, baseline: str = "random") -> DataFrame:
     one = lambda c: F.coalesce((F.col(c) >= 1).cast("int"), F.lit(0))
     out = rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("red_hit").alias("red_hits"), F.sum("blue_hit").alias("blue_hits"), F.avg("red_loss").alias("red_loss"), F.avg("blue_loss").alias("blue_loss"), F.avg(F.col("red_hit") - F.coalesce("base_red", F.lit(0))).alias("mean_edge"), F.sum(one("red_hit")).alias("any_red"), F.sum(one("base_red")).alias("base_any_red"))
     return edge(out, "any_red", "base_any_red", "n")
+
+
+def scored_summary(scored: DataFrame, ours: str, baseline: str = "random") -> DataFrame:
+    """One row over the issues that both methods have scored: n, sums and means of hits, and how often ours did no worse."""
+    done = scored.where("red_hit is not null")
+    one = lambda method, tag: done.where(F.col("method") == method).select("issue", F.col("red_hit").alias(f"{tag}_red"), F.coalesce("blue_hit", F.lit(0)).alias(f"{tag}_blue"))
+    rows = one(ours, "our").join(one(baseline, "base"), "issue")
+    no_worse = (F.col("our_red") + F.col("our_blue") >= F.col("base_red") + F.col("base_blue")).cast("int")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("our_red").alias("red_hits"), F.avg("our_red").alias("mean_red"), F.sum("base_red").alias("base_red_hits"), F.avg("base_red").alias("base_mean_red"), F.sum("our_blue").alias("blue_hits"), F.sum("base_blue").alias("base_blue_hits"), F.sum(no_worse).alias("no_worse"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqsieve.functions import formula
-from seqsieve.operators import evaluation, resampling, series
+from seqsieve.functions import formula, signals
+from seqsieve.operators import evaluation, resampling, scans, series, statistics
 
 
 def hit_rates(rows: DataFrame, n: int, *, learn: tuple[float, float], test: tuple[float, float], rules=("cont", "rev"), k: int = 2, least: int = 30, keys: list[str] = ()) -> DataFrame:
@@ -44,6 +44,28 @@ def hit_rate_p(rows: DataFrame, n: int, *, k: int = 40, seed: int = 0, gate=out_
     return series.with_scalars(real, p).withColumn("p", F.least(F.lit(1.0), (F.col("as_good") + 0.5) / F.greatest(F.lit(1), F.col("k_sur"))))
 
 
+def out_of_time_p(rows: DataFrame, n: int, *, k: int = 40, seed: int = 0, train: float = 0.85, blind: float = 0.91, rules=("cont", "rev"), old: int = 2, least: int = 30) -> DataFrame:
+    """The out-of-time row with sur_mean, as_good, k_sur and p: the rule frozen on the real series is read on shuffled series,
+    and what it says of each step is held to the real step."""
+    real = out_of_time(rows, n, train, blind, rules)
+    truth = formula.forecasts(rows, old).where(F.col("t") >= int(blind * n)).select("t", "actual")
+    made = formula.forecasts(resampling.shuffled(rows.select("t", "x"), k, seed), old, ["sid"]).drop("actual").where(F.col("t") >= int(blind * n))
+    said = F.element_at(F.create_map(*[c for r in rules for c in (F.lit(r), F.col(r))]), F.col("rule"))
+    held = series.with_scalars(made.join(truth, "t"), real.select("rule", "hit_rate")).withColumn("said", said).where("said <> 0 and actual <> 0")
+    rate = held.groupBy("sid").agg(F.avg((F.col("said") == F.col("actual")).cast("double")).alias("h"), F.count(F.lit(1)).alias("c"), F.max("hit_rate").alias("hit_rate")).where(F.col("c") >= least)
+    p = rate.agg(F.avg("h").alias("sur_mean"), F.coalesce(F.sum((F.col("h") >= F.col("hit_rate")).cast("int")), F.lit(0)).alias("as_good"), F.count(F.lit(1)).alias("k_sur"))
+    return series.with_scalars(real, p).withColumn("p", F.when(F.col("hit_rate").isNotNull() & (F.col("k_sur") > 0), F.least(F.lit(1.0), (F.col("as_good") + 0.5) / F.greatest(F.lit(1), F.col("k_sur")))))
+
+
+def reevaluate(rows: DataFrame, n: int, tests: list[str], *, frac: float = 0.2, k: int = 25, seed: int = 0, knobs: dict | None = None) -> DataFrame:
+    """Evaluation rows of the same tests on the last part of every series (series_id, t, x), heavy tests with half the
+    surrogates (10 at least); no rows where that part has fewer than 60 draws."""
+    cut = int(n * (1 - frac))
+    tail = rows.where(F.col("t") >= (cut if n - cut >= 60 else n)).withColumn("t", F.col("t") - cut)
+    many = {t: k if statistics.TESTS[t][2] == "light" else max(10, k // 2) for t in tests}
+    return evaluation.evaluate(tail.select("series_id", "t", "x"), tests, k=many, seed=seed, knobs=knobs)
+
+
 def parts(rows: DataFrame, n: int, n_folds: int = 3, discovery: float = 0.7) -> DataFrame:
     """rows(series_id, t, x) as the series of each fold's parts: (series_id, fold, part, t, x), t from 0 in each part.
     The few folds are a broadcast table; a row goes to the parts that hold it."""
@@ -54,7 +76,8 @@ def parts(rows: DataFrame, n: int, n_folds: int = 3, discovery: float = 0.7) ->
 
 def confirm(rows: DataFrame, test: str, n: int, *, k: int = 60, seed: int = 0, n_folds: int = 3, discovery: float = 0.7, knobs: dict | None = None) -> DataFrame:
     """Verdict of every series (series_id, t, x): p of the frozen test on each fold's two parts, each against its own
-    surrogates. The values of x must not look outside their own part (row-local signals and formulas do not)."""
+    surrogates, of which heavy tests have a third (20 at least). The values of x must not look outside their own part (row-local signals and formulas do not)."""
+    k = k if statistics.TESTS[test][2] == "light" else max(20, k // 3)
     split = parts(rows, n, n_folds, discovery).withColumn("series_id", F.concat_ws("#", "series_id", "fold", "part"))
     evals = evaluation.evaluate(split, [test], k=k, seed=seed, knobs={test: knobs or {}})
     bits = F.split("sig", "#")
@@ -92,3 +115,36 @@ def p_histogram(evals: DataFrame, p: str = "p_raw") -> DataFrame:
     return evals.where(F.col(p).between(0, 1)).groupBy(which.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ingest(draws: DataFrame, candidates: DataFrame, *, k: int = 40, k_control: int = 60, seed: int = 0) -> DataFrame:
+    """A fate row for each of candidates(sig, test): (sig, test, label, p_shuffle, ctrl_label, artifact, absorbed). A label first,
+    from the candidate's own test; only survivors are put to the control on fair random draws, and those that are none there are
+    absorbed. An unknown signal or test is ERROR. Candidates of one submission are a short list, which comes to the driver."""
+    asked = sorted({(r.sig, r.test) for r in candidates.select("sig", "test").distinct().collect() if r.sig is not None and r.test is not None})
+    known = [(s, t) for s, t in asked if (s in signals.SIGNALS or s in signals.SERIES) and t in statistics.TESTS and t not in statistics.PAIRED]
+    spark, fates = draws.sparkSession, None
+    for test in sorted({t for _, t in known}):
+        names = {s: [test] for s, t in known if t == test}
+        one = scans.label_axes(draws, names, k=k, seed=seed).select("sig", F.lit(test).alias("test"), "label", "p_shuffle")
+        alive = sorted(r.sig for r in one.where("label = 'SURVIVOR'").select("sig").collect())
+        control = scans.artifacts(draws, {s: [test] for s in alive}, k=k_control, seed=seed) if alive else spark.createDataFrame([], "sig string, artifact boolean")
+        one = one.join(F.broadcast(control), "sig", "left")
+        fates = one if fates is None else fates.unionByName(one)
+    empty = spark.createDataFrame([(s, t, "ERROR", None, None) for s, t in asked if (s, t) not in known], "sig string, test string, label string, p_shuffle double, artifact boolean")
+    fates = empty if fates is None else fates.unionByName(empty)
+    control = F.when(F.col("artifact"), "SURVIVOR").when(~F.col("artifact"), "NOT_SURVIVOR")
+    return fates.select("sig", "test", "label", "p_shuffle", control.alias("ctrl_label"), "artifact", ((F.col("label") == "SURVIVOR") & ~F.coalesce("artifact", F.lit(True))).alias("absorbed"))
+
+
+def model_card(verdicts: DataFrame, n_folds: int = 3, control: bool | None = None) -> DataFrame:
+    """Verdict rows (sig, disc_combined_p, conf_combined_p, n_confirm, verdict) as reports: what was found, and what it may be
+    taken for."""
+    note = F.when(F.col("verdict") == "SIGNAL", "structure that held up in parts not searched; review by a person is due").when(F.col("verdict") == "UNCONFIRMED", "seen in discovery only: overfitting, stopped here").otherwise("nothing beyond chance in either part")
+    return verdicts.select("sig", F.lit(n_folds).alias("n_folds"), F.col("disc_combined_p").alias("discovery_combined_p"), F.col("conf_combined_p").alias("confirmation_combined_p"), F.col("n_confirm").alias("n_folds_confirmed"), "verdict", F.lit(control).cast("boolean").alias("positive_control_passed"), note.alias("note"))
+
+
+def digest(history: DataFrame, last: int = 24, order: str = "cycle_id") -> DataFrame:
+    """One row over the last cycles of history(cycle_id, alert, best_q, artifact_prone array): how many alerts, which signals made
+    their own structure, and the newest cycle's best q."""
+    recent = history.orderBy(F.col(order).desc()).limit(last)
+    prone = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("artifact_prone", F.array().cast("array<string>"))))))  # of `last` rows
+    return recent.agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last_cycle"), F.max_by("best_q", order).alias("best_q"), F.coalesce(F.sum(F.coalesce(F.col("alert"), F.lit(False)).cast("int")), F.lit(0)).alias("alerts"), F.array_join(prone, ",").alias("artifacts"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The names of the failure labels below.
 def failure_labels(state: DataFrame) -> DataFrame:
     """state(cycle_id, best_q, best_p, fdr_q, alert, n_eval, wf_verdict, wf_n_confirm, max_abs_z, n_artifact) to
     (cycle_id, label): what went wrong in a cycle, null_honest where nothing was claimed."""
@@ -89,11 +90,81 @@ def promote(candidates: DataFrame, signatures: DataFrame) -> DataFrame:
     return candidates.join(signatures.where("signed_by is not null").select("gkey").distinct(), "gkey", "left_semi")
 
 
-#: Actions that a learning loop may and may not take by itself.
-ALLOWED = frozenset({"avoid", "tilt", "propose", "record", "recheck"})
-FORBIDDEN = frozenset({"lower_threshold", "skip_gate", "edit_data", "promote", "hide_failure"})
+def formula_records(found: DataFrame) -> DataFrame:
+    """found(sig, test, disc_p, wf_verdict) with gate and place: the walk-forward verdict if there is one, else UNCONFIRMED for a
+    discovery p below .05, else NULL; places by gate, then by p, null last. A submission's records are a short list."""
+    from pyspark.sql import Window
 
+    gate = F.when(F.col("wf_verdict").isin("SIGNAL", "UNCONFIRMED"), F.col("wf_verdict")).when(F.coalesce(F.col("disc_p") < 0.05, F.lit(False)), "UNCONFIRMED").otherwise("NULL")
+    rank = F.when(F.col("gate") == "SIGNAL", 0).when(F.col("gate") == "UNCONFIRMED", 1).otherwise(2)
+    return found.withColumn("gate", gate).withColumn("place", F.row_number().over(Window.orderBy(rank, F.coalesce("disc_p", F.lit(1.0)), "sig", "test")))
 
-def closed(actions: list[str]) -> list[str]:
-    """The actions that are not allowed; an unknown one is not."""
-    return [a for a in actions if a in FORBIDDEN or a not in ALLOWED]
+
+def self_check(state: DataFrame, last: int = 5) -> DataFrame:
+    """state(cycle_id, best_q, spectral_q, hit_rate, sur_mean, oos_p, oos_n, above_random, cross_consistent, oot_p, oot_hit, oot_n)
+    to (cycle_id, score, warnings array): a cycle's results that a leak, a flaw or too little data would explain.
+
+    Weights by rule: too perfect a hit rate out of sample or out of time 3, fewer than 30 steps 1, a best q more than .15 from the
+    mean of the last cycles before (three at least) 1, structure that does not forecast 2, a spectral find the search missed 2."""
+    from pyspark.sql import Window
+
+    # A state table has a row for each cycle; ranks of cycles are taken over its key only.
+    before = Window.orderBy("cycle_id").rowsBetween(-last, -1)
+    rows = state.withColumn("_m", F.avg("best_q").over(before)).withColumn("_c", F.count("best_q").over(before))
+    q, no = F.coalesce("best_q", F.lit(1.0)), F.lit(False)
+    rules = {
+        "oos_trivial": (3, (F.col("hit_rate") == 1.0) & (F.col("sur_mean") >= 0.99) & (F.col("oos_p") >= 0.95)),
+        "oos_few": (1, F.col("oos_n") < 30),
+        "oot_trivial": (3, (F.col("oot_hit") >= 0.99) & (F.col("oot_p") >= 0.95)),
+        "oot_few": (1, F.col("oot_p").isNotNull() & F.col("oot_hit").isNotNull() & (F.coalesce("oot_n", F.lit(0)) < 30)),
+        "best_q_drift": (1, (F.col("_c") >= 3) & (F.abs(q - F.col("_m")) > 0.15)),
+        "structure_without_forecast": (2, (q < 0.05) & F.coalesce("cross_consistent", no) & F.col("above_random").isNotNull() & ~F.coalesce("above_random", no)),
+        "search_missed": (2, (q >= 0.05) & (F.col("spectral_q") < 0.01)),
+    }
+    hit = {n: F.coalesce(c, no) for n, (_, c) in rules.items()}
+    score = sum((F.when(hit[n], w).otherwise(0) for n, (w, _) in rules.items()), F.lit(0))
+    warnings = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in hit.items()]), lambda x: x.isNotNull())
+    return rows.select("cycle_id", score.alias("score"), warnings.alias("warnings"))
+
+
+def diverse(evals: DataFrame, most: int = 12, each: int = 3) -> DataFrame:
+    """evals(gkey, family, direction, z) to at most `most` rows, the most extreme in their tests' own directions, at most `each`
+    of a family. A family keeps its first `each` before families meet."""
+    from pyspark.sql import Window
+
+    extreme = F.when(F.col("direction") == "high", F.col("z")).otherwise(-F.col("z"))
+    rows = evals.withColumn("extremity", extreme).dropDuplicates(["gkey"])
+    own = F.row_number().over(Window.partitionBy("family").orderBy(F.col("extremity").desc(), "gkey"))
+    return rows.withColumn("place", own).where(F.col("place") <= each).orderBy(F.col("extremity").desc(), "gkey").limit(most)
+
+
+def cached(asked: DataFrame, cache: DataFrame, keys=("gkey", "fingerprint", "k", "null_type", "seed")) -> tuple[DataFrame, DataFrame]:
+    """(rows of the cache that answer asked(keys), asked rows that it does not answer)."""
+    keys = list(keys)
+    return cache.join(asked.select(*keys).distinct(), keys, "left_semi"), asked.join(cache.select(*keys), keys, "left_anti")
+
+
+# Signals that learning may take as its aim, those it must not, where its input comes from and its output goes.
+FEEDBACK = frozenset({"oot_blind_p", "bh_fdr_q", "random_control_label", "null_positive_control", "zero_hypothesis_cross", "wf_verdict"})
+FORBIDDEN = frozenset({"in_sample_accuracy", "backtest_fit", "train_auc", "discovery_only_p", "any_discovery_only_metric"})
+SOURCES = frozenset({"car1_gate_state", "car3_proposal_fate", "failure_taxonomy", "avoidance_prior", "ingest_fate"})
+SINKS = frozenset({"sigmap_injection", "avoidance_prior_injection", "bias_corrector.json"})
+
+
+def learning_audit(ops: DataFrame) -> DataFrame:
+    """ops(op_id, kind, input_sources, output_sinks, used_feedback arrays, objective) to (op_id, n_findings, verdict): ALERT for an
+    aim or a feedback that is forbidden, for no or unknown sources, and, where an operation writes, for no or unknown sinks."""
+    known = lambda names: F.array(*[F.lit(n) for n in sorted(names)])
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    strange = lambda c, names: F.size(F.filter(listed(c), lambda x: ~F.array_contains(known(names), x)))
+    writes = F.coalesce(F.col("kind").isin("absorb", "correct_bias"), F.lit(False))
+    none = lambda c: (F.size(listed(c)) == 0).cast("int")
+    bad = F.size(F.filter(listed("used_feedback"), lambda x: F.array_contains(known(FORBIDDEN), x)))
+    aim = F.coalesce(F.col("objective").isin(*sorted(FORBIDDEN)), F.lit(False)).cast("int")
+    found = none("input_sources") + strange("input_sources", SOURCES) + F.when(writes, none("output_sinks") + strange("output_sinks", SINKS)).otherwise(0) + bad + aim
+    return ops.select("op_id", found.cast("int").alias("n_findings"), F.when(found > 0, "ALERT").otherwise("OK").alias("verdict"))
+
+
+def needs_recheck(learned, confirmed_by_person):
+    """Whether a signal must pass confirmation before use: learning made it, and no person has confirmed it."""
+    return F.coalesce(learned, F.lit(False)) & ~F.coalesce(confirmed_by_person, F.lit(False))

@@ -13,9 +13,9 @@ def order_key(seed: int, *parts: Column) -> Column:
 
 
 def shuffled(df: DataFrame, k: int, seed: int, keys: list[str] = ()) -> DataFrame:
-    """k uniform permutations (sid 0..k-1) of df's rows by t. Ranks are taken in 4096 slices of the hash, so a permutation
+    """k uniform permutations (sid 0..k-1) of df's rows by t. Ranks are taken in 256 slices of the hash, so a permutation
     of a long series is not sorted in one task."""
-    rows = df.withColumn("sid", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_h", order_key(seed, F.col("sid"), F.col("t"))).withColumn("_s", F.substring("_h", 1, 3))
+    rows = df.withColumn("sid", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_h", order_key(seed, F.col("sid"), F.col("t"))).withColumn("_s", F.substring("_h", 1, 2))
     sums = rows.groupBy(*keys, "sid", "_s").agg(F.count(F.lit(1)).alias("_n"))
     sums = sums.select(*keys, "sid", "_s", (F.sum("_n").over(Window.partitionBy(*keys, "sid").orderBy("_s")) - F.col("_n")).alias("_base"))
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "sid", "_s").orderBy("_h")))
@@ -94,19 +94,45 @@ def twin_surrogate(x: np.ndarray, rng: np.random.Generator, m: int = 3, theiler:
     return out
 
 
-KINDS = {"shuffle": lambda x, rng: rng.permutation(x), "aaft": phase_surrogate, "iaaft": iterated_surrogate, "twin": twin_surrogate}
+def order_of(n: int, seed: int, sid: int) -> np.ndarray:
+    """The permutation of n rows that shuffled() makes of a series: place i takes the row order_of(...)[i]."""
+    import hashlib
 
+    head = f"{seed}:{sid}:".encode()
+    digests = b"".join([hashlib.md5(head + str(t).encode()).digest() for t in range(n)])
+    high, low = np.frombuffer(digests, ">u8").reshape(n, 2).T
+    return np.lexsort((low, high))
 
-def surrogate_series(packed: DataFrame, kind: str, k: int, seed: int) -> DataFrame:
-    """packed(series_id string, x array<double>) to (series_id, sid, x): one row for each surrogate, made in parallel."""
-    make = KINDS[kind]
 
-    def run(batches):
-        import zlib
+#: kind: (values, generator of the surrogate) -> values. "shuffle" is not here: its order is that of shuffled().
+KINDS = {"aaft": phase_surrogate, "iaaft": iterated_surrogate, "twin": twin_surrogate}
 
-        for pdf in batches:
-            pdf["x"] = [make(np.asarray(x, float), np.random.default_rng([seed, zlib.crc32(s.encode()), int(i)])) for s, i, x in zip(pdf["series_id"], pdf["sid"], pdf["x"])]
-            yield pdf
 
-    rows = packed.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("sid"), "x")
-    return rows.repartition(F.xxhash64("series_id", "sid")).mapInPandas(run, "series_id string, sid int, x array<double>")
+def surrogate(columns: list[np.ndarray], kind: str, seed: int, name: str, sid: int, orders: dict) -> list[np.ndarray]:
+    """A surrogate of a packed series; two columns are shuffled together. orders remembers permutations between series."""
+    import zlib
+
+    if kind == "shuffle":
+        key = (len(columns[0]), seed, sid)
+        if key not in orders:
+            if len(orders) > 64:
+                orders.clear()
+            orders[key] = order_of(*key)
+        return [c[orders[key]] for c in columns]
+    rng = np.random.default_rng([seed, zlib.crc32(name.encode()), sid])
+    return [KINDS[kind](columns[0], rng), *columns[1:]]
+
+
+def surrogate_series(packed: DataFrame, kind: str, k: int, seed: int, together: int = 8) -> DataFrame:
+    """packed(series_id string, x array<double>) to (series_id, sid, x): one row for each surrogate. A series goes to k /
+    together tasks, each of which makes that many."""
+    import pandas as pd
+
+    def run(pdf):
+        orders: dict = {}
+        name, part, x = pdf["series_id"].iloc[0], int(pdf["part"].iloc[0]), np.asarray(pdf["x"].iloc[0], float)
+        sids = range(part * together, min(k, (part + 1) * together))
+        return pd.DataFrame({"series_id": name, "sid": list(sids), "x": [surrogate([x], kind, seed, name, i, orders)[0] for i in sids]})
+
+    rows = packed.select("series_id", F.explode(F.sequence(F.lit(0), F.lit((k - 1) // together))).alias("part"), "x")
+    return rows.groupBy("series_id", "part").applyInPandas(run, "series_id string, sid int, x array<double>")

@@ -6,39 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, resampling, series
+from seqsieve.operators import evaluation, resampling, series, statistics
 
 SPECTRAL = ("fft_peak", "acf_max", "dfa_alpha", "mi_max")
+PAIRS = (("red_sum", "blue"), ("red_mean", "blue"), ("blue", "red_sum"), ("blue", "red_mean"))
 
 
-def spectral_scan(draws: DataFrame, names: list[str], *, k: int = 100, seed: int = 0, tests=SPECTRAL) -> DataFrame:
-    """Every signal under every spectral test, with q over all of them, best first."""
-    return evaluation.bh_fdr(evaluation.evaluate(signals.long(draws, names), list(tests), k=k, seed=seed)).orderBy("p_raw", "sig", "test")
+def signal_series(draws: DataFrame, names: list[str]) -> DataFrame:
+    """(series_id, t, x) of signals: row-local ones from one pass, those that look at other draws each by its own plan."""
+    local = [n for n in names if n in signals.SIGNALS]
+    out = signals.long(draws, local) if local else None
+    for name in names:
+        if name not in signals.SIGNALS:
+            own = signals.SERIES[name](draws).select(F.lit(name).alias("series_id"), "t", F.col("x").cast("double").alias("x"))
+            out = own if out is None else out.unionByName(own)
+    return out
 
 
-def causal_scan(draws: DataFrame, pairs: list[tuple[str, str]], *, k: int = 20, seed: int = 0, tests=("ccm", "granger")) -> DataFrame:
-    """Directed pairs of signals under the causal tests, against joint time shuffles of the source."""
+def spectral_scan(draws: DataFrame, names: list[str] | None = None, *, k: int = 100, k_fft: int = 2500, seed: int = 0, tests=SPECTRAL) -> DataFrame:
+    """Every signal (all, if none are named) under every spectral test, with q over all of them, best first. The spectral peak
+    has more surrogates, as its p must stand against the whole grid."""
+    names = list(names or [*signals.SIGNALS, *signals.SERIES])
+    many = {t: k_fft if t == "fft_peak" else k for t in tests}
+    bundles = max(1, round(len(names) * draws.count() / 4_000_000))  # some 32 MB of values in a task
+    evals = evaluation.evaluate(signal_series(draws, names), list(tests), k=many, seed=seed, bundles=bundles)
+    return evaluation.bh_fdr(evals).orderBy("p_raw", "sig", "test")
+
+
+def causal_scan(draws: DataFrame, pairs: list[tuple[str, str]] = PAIRS, *, k: int = 20, seed: int = 0, tests=("ccm", "granger")) -> DataFrame:
+    """Directed pairs of signals under the causal tests, against joint time shuffles; z is 0 by definition."""
     names = sorted({n for p in pairs for n in p})
     wide = signals.wide(draws, names)
     rows = wide.select("t", F.explode(F.array(*[F.struct(F.lit(f"{a}>{b}").alias("series_id"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("s")).select("s.series_id", "t", "s.x", "s.y")
-    out = None
-    for test in tests:
-        got = evaluation.evaluate_pair(rows, test, k=k, seed=seed).withColumn("test", F.lit(test))
-        out = got if out is None else out.unionByName(got)
-    return evaluation.bh_fdr(out)
+    return evaluation.bh_fdr(evaluation.evaluate_pair(rows, list(tests), k=k, seed=seed).withColumn("z", F.lit(0.0)))
 
 
 def ball_stats(draws: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """(keys, colour, ball, drift, momentum, n) by sums over draws and over neighbours in t: no series is built."""
+    """(keys, colour, ball, drift, momentum, n) by sums over draws, each beside the one before it: no series is built."""
     n = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = signals.presence_of(draws, keys)
+    beside = series.with_lags(draws.select(*keys, "t", "reds", "blue", F.struct("reds", "blue").alias("_d")), 1, "_d", "_lags", keys)
+    one = lambda colour, ball, before: F.struct(F.lit(colour).alias("colour"), ball.alias("ball"), F.coalesce(before, F.lit(False)).cast("int").alias("before"))
+    balls = F.concat(F.transform("reds", lambda r: one("red", r, F.array_contains("_r", r))), F.array(one("blue", F.col("blue"), F.col("_b") == F.col("blue"))))
+    rows = beside.withColumn("_r", F.col("_lags")[0]["reds"]).withColumn("_b", F.col("_lags")[0]["blue"]).select(*keys, "t", F.explode(balls).alias("b")).select(*keys, "t", "b.*")
     rows = rows.join(F.broadcast(n), keys) if keys else series.with_scalars(rows, n)
     late = F.col("t") >= F.floor(F.col("n") / 2)
     own = [*keys, "colour", "ball"]
-    half = rows.groupBy(*own).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"), F.sum(late.cast("int")).alias("late"), F.sum((F.col("t") == 0).cast("int")).alias("first"), F.sum((F.col("t") == F.col("n") - 1).cast("int")).alias("last"))
-    after = rows.select(*own, (F.col("t") + 1).alias("t"))
-    both = rows.select(*own, "t").join(after, [*own, "t"]).groupBy(*own).agg(F.count(F.lit(1)).alias("both"))
-    out = half.join(both, own, "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    out = rows.groupBy(*own).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"), F.sum(late.cast("int")).alias("late"), F.sum((F.col("t") == 0).cast("int")).alias("first"), F.sum((F.col("t") == F.col("n") - 1).cast("int")).alias("last"), F.sum("before").alias("both"))
     m = F.col("c") / F.col("n")
     top = F.col("both") - m * (2 * F.col("c") - F.col("first") - F.col("last")) + (F.col("n") - 1) * m * m
     low = F.col("c") - F.col("n") * m * m
@@ -46,14 +59,16 @@ def ball_stats(draws: DataFrame, keys: list[str] = ()) -> DataFrame:
     return out.select(*own, (F.col("late") / late_n - (F.col("c") - F.col("late")) / early_n).alias("drift"), F.when(low > 1e-12, top / F.when(low > 1e-12, low)).otherwise(0.0).alias("momentum"), "n")
 
 
-def ball_drift_scan(draws: DataFrame, *, k: int = 100, seed: int = 0) -> DataFrame:
-    """Two-sided shuffle p-values of drift and momentum for each ball that was ever drawn, and q within each family.
-    Draws are shuffled whole, so all balls share the permutations."""
-    real = ball_stats(draws).select("colour", "ball", "drift", "momentum")
-    made = ball_stats(resampling.shuffled(draws.select("t", "reds", "blue"), k, seed), ["sid"]).select("colour", "ball", F.col("drift").alias("d"), F.col("momentum").alias("m"))
+def ball_drift_scan(draws: DataFrame, *, k: int = 100, seed: int = 0, keys: list[str] = ()) -> DataFrame:
+    """Two-sided shuffle p-values of drift and momentum for each ball that was ever drawn, and q within each family (and the
+    keys). Draws are shuffled whole, so all balls share the permutations."""
+    keys = list(keys)
+    own = [*keys, "colour", "ball"]
+    real = ball_stats(draws, keys).select(*own, "drift", "momentum")
+    made = ball_stats(resampling.shuffled(draws.select(*keys, "t", "reds", "blue"), k, seed, keys), [*keys, "sid"]).select(*own, F.col("drift").alias("d"), F.col("momentum").alias("m"))
     eps = 1e-9  # equal statistics must count as equal, whatever the order of their sums
-    p = made.join(real, ["colour", "ball"]).groupBy("colour", "ball").agg(F.max("drift").alias("drift"), F.max("momentum").alias("momentum"), ((1 + F.sum((F.abs("d") >= F.abs("drift") - eps).cast("int"))) / (1 + k)).alias("p_drift"), ((1 + F.sum((F.abs("m") >= F.abs("momentum") - eps).cast("int"))) / (1 + k)).alias("p_momentum"))
-    return evaluation.bh_fdr(evaluation.bh_fdr(p, "p_drift", name="q_drift"), "p_momentum", name="q_momentum")
+    p = made.join(real, own).groupBy(*own).agg(F.max("drift").alias("drift"), F.max("momentum").alias("momentum"), ((1 + F.sum((F.abs("d") >= F.abs("drift") - eps).cast("int"))) / (1 + k)).alias("p_drift"), ((1 + F.sum((F.abs("m") >= F.abs("momentum") - eps).cast("int"))) / (1 + k)).alias("p_momentum"))
+    return evaluation.bh_fdr(evaluation.bh_fdr(p, "p_drift", keys, "q_drift"), "p_momentum", keys, "q_momentum")
 
 
 def mann_kendall(draws: DataFrame) -> DataFrame:
@@ -82,29 +97,92 @@ def rolling_scan(draws: DataFrame, n: int, window: int = 200, step: int = 50) ->
     return got.groupBy("w").agg(F.max(F.abs("drift")).alias("max_drift"), F.max(F.abs("momentum")).alias("max_momentum"))
 
 
-def label_axes(draws: DataFrame, names: list[str], *, tests=("acf_max", "perm_entropy"), k: int = 40, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """(sig, p_shuffle, p_aaft, p_marginal, label): least p over the tests under shuffles, random phases, and on draws
-    remade without memory from their marginals."""
-    real = signals.long(draws, names)
-    least = lambda rows, null: evaluation.evaluate(rows, list(tests), k=k, null=null, seed=seed).groupBy("sig").agg(F.min("p_raw").alias("p"))
+def rolling_verdict(draws: DataFrame, n: int, window: int = 200, step: int = 50, *, k: int = 100, seed: int = 0, q: float = 0.05) -> DataFrame:
+    """One row (n_windows, n_sig_windows, frac_sig, verdict): in how many sliding windows some ball drifts or follows itself at
+    q; LOCAL where that is more than 1.5 times as often as chance gives."""
+    scan = ball_drift_scan(windows(draws.select("t", "reds", "blue"), n, window, step), k=k, seed=seed, keys=["w"])
+    each = scan.groupBy("w").agg((F.least(F.min("q_drift"), F.min("q_momentum")) < q).cast("int").alias("sig"))
+    out = each.agg(F.count(F.lit(1)).alias("n_windows"), F.coalesce(F.sum("sig"), F.lit(0)).alias("n_sig_windows"), F.coalesce(F.avg("sig"), F.lit(0.0)).alias("frac_sig"))
+    return out.withColumn("verdict", F.when(F.col("frac_sig") <= 1.5 * q, "NULL").otherwise("LOCAL_STRUCTURE"))
+
+
+def _label(alpha: float):
+    """Of least p-values under shuffles, random phases and on remade draws; a survivor has a flag too."""
+    label = F.when(F.coalesce(F.col("p_shuffle") >= alpha, F.lit(True)), "NULL").when(F.coalesce(F.col("p_aaft") >= alpha, F.lit(True)), "LINEAR_TIME_ARTIFACT").otherwise("SURVIVOR")
+    flag = F.when(label == "SURVIVOR", F.when(F.coalesce(F.col("p_marginal") < alpha, F.lit(False)), "composition_robust").otherwise("composition_linked"))
+    return label, flag
+
+
+def label_axes(draws: DataFrame, axes: dict[str, list[str]] | list[str], *, tests=("acf_max", "perm_entropy"), k: int = 40, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(sig, p_shuffle, p_aaft, p_marginal, label, flag): least p of each signal over its tests (or `tests`) under shuffles,
+    under random phases, and on draws remade without memory from their marginals."""
+    axes = axes if isinstance(axes, dict) else {n: list(tests) for n in axes}
+    jobs = {n: [(t, {}, k) for t in own] for n, own in axes.items()}
+
+    def least(rows: DataFrame, null: str, name: str) -> DataFrame:
+        got = evaluation.grid(statistics.packed(rows, ["series_id"]), jobs, null=null, seed=seed)
+        return got.groupBy(F.col("series_id").alias("sig")).agg(F.min("p_raw").alias(name))
+
+    real = signal_series(draws, list(axes))
     remade = resampling.subset_marginal(draws, 1, seed).select("t", "reds", "blue")
-    out = least(real, "shuffle").withColumnRenamed("p", "p_shuffle").join(least(real, "aaft").withColumnRenamed("p", "p_aaft"), "sig").join(least(signals.long(remade, names), "shuffle").withColumnRenamed("p", "p_marginal"), "sig")
-    label = F.when(F.col("p_shuffle") >= alpha, "NULL").when(F.col("p_aaft") >= alpha, "LINEAR_TIME_ARTIFACT").when(F.col("p_marginal") < alpha, "ARTIFACT_BY_CONSTRUCTION").otherwise("SURVIVOR")
-    return out.withColumn("label", label)
+    names = draws.sparkSession.createDataFrame([(n,) for n in axes], "sig string")  # one row for each signal asked for
+    out = names.join(least(real, "shuffle", "p_shuffle"), "sig", "left").join(least(real, "aaft", "p_aaft"), "sig", "left").join(least(signal_series(remade, list(axes)), "shuffle", "p_marginal"), "sig", "left")
+    label, flag = _label(alpha)
+    return out.withColumn("label", label).withColumn("flag", flag)
 
 
-def artifacts(draws: DataFrame, names: list[str], *, k: int = 40, seed: int = 0) -> DataFrame:
-    """(sig, artifact): a signal that survives on fair random draws of the same length makes its own structure."""
+def artifacts(draws: DataFrame, axes: dict[str, list[str]] | list[str], *, tests=("acf_max", "perm_entropy"), k: int = 40, seed: int = 0) -> DataFrame:
+    """(sig, artifact): a signal that survives on fair random draws, as many as these, makes its own structure."""
     fair = resampling.random_draws(draws.sparkSession, draws.count(), seed + 1)
-    return label_axes(fair, names, k=k, seed=seed).select("sig", (F.col("label") == "SURVIVOR").alias("artifact"))
+    return label_axes(fair, axes, tests=tests, k=k, seed=seed).select("sig", (F.col("label") == "SURVIVOR").alias("artifact"))
+
+
+def artifact_prone(draws: DataFrame, evals: DataFrame, known: DataFrame | None = None, *, below: float = 0.2, k: int = 25, seed: int = 0) -> DataFrame:
+    """Signals that make their own structure, among those of evals with some p below the bound: others cannot win anyway. Those
+    known(sig) already are not tried again. The names that come to the driver are some of the registry's."""
+    asked = evals.where(F.col("p_raw") < below).select("sig").distinct()
+    if known is not None:
+        asked = asked.join(known.select("sig"), "sig", "left_anti")
+    names = sorted(r.sig for r in asked.collect() if r.sig in signals.SIGNALS or r.sig in signals.SERIES)
+    found = artifacts(draws, names, tests=("acf_max", "mi_max", "perm_entropy", "fft_peak"), k=k, seed=seed).where("artifact").select("sig") if names else draws.sparkSession.createDataFrame([], "sig string")
+    return found if known is None else found.unionByName(known.select("sig")).distinct()
+
+
+# The axes that are scanned, as (group, signal, tests).
+AXES = (
+    ("baseline", "red_sum", ("acf_max", "mi_max", "dfa_alpha")),
+    ("baseline", "blue", ("acf_max", "mi_max")),
+    ("algebraic", "red_sum_mod3", ("acf_max", "perm_entropy", "mi_max")),
+    ("algebraic", "red_sum_mod7", ("acf_max", "perm_entropy", "mi_max")),
+    ("algebraic", "red_sum_mod11", ("acf_max", "perm_entropy", "mi_max")),
+    ("algebraic", "red_sum_mod31", ("acf_max", "perm_entropy")),
+    ("algebraic", "red_prod_mod33", ("acf_max", "perm_entropy", "mi_max")),
+    ("combinatorial", "red_pair_meandist", ("acf_max", "perm_entropy", "mi_max")),
+    ("combinatorial", "red_gap_mean", ("acf_max", "perm_entropy", "mi_max")),
+    ("combinatorial", "red_runs", ("acf_max", "perm_entropy")),
+    ("combinatorial", "red_zone_entropy", ("acf_max", "perm_entropy", "mi_max")),
+    ("parity_prime_energy", "red_parity", ("acf_max", "perm_entropy", "mi_max")),
+    ("parity_prime_energy", "red_prime_count", ("acf_max", "perm_entropy", "mi_max")),
+    ("parity_prime_energy", "red_energy", ("acf_max", "perm_entropy", "mi_max")),
+    ("parity_prime_energy", "red_centroid", ("acf_max", "perm_entropy", "mi_max")),
+    ("parity_prime_energy", "red_recurrence_mean", ("acf_max", "perm_entropy")),
+)
+
+
+def axis_scan(draws: DataFrame, axes=AXES, *, k: int = 40, k_control: int = 60, seed: int = 0) -> DataFrame:
+    """(group, sig, p_shuffle, p_aaft, p_marginal, label, flag, artifact_prone) of every axis; one that survives on fair random
+    draws too is ARTIFACT_BY_CONSTRUCTION."""
+    tests = {sig: list(own) for _, sig, own in axes}
+    table = draws.sparkSession.createDataFrame([(group, sig) for group, sig, _ in axes], "group string, sig string")
+    out = table.join(label_axes(draws, tests, k=k, seed=seed), "sig").join(artifacts(draws, tests, k=k_control, seed=seed), "sig")
+    return out.select("group", "sig", "p_shuffle", "p_aaft", "p_marginal", F.when(F.col("artifact"), "ARTIFACT_BY_CONSTRUCTION").otherwise(F.col("label")).alias("label"), "flag", F.col("artifact").alias("artifact_prone"))
 
 
 def cross_null(rows: DataFrame, tests: list[str], *, k: int = 40, seed: int = 0, nulls=("shuffle", "aaft", "iaaft"), compat: bool = False) -> DataFrame:
-    """p-values of each (sig, test) under several nulls, and whether all of them (any, if compat) are below .05."""
+    """p-values of each (sig, test) under several nulls ("twin" is one too), and whether all of them (any, if compat) are below .05."""
     out = None
     for null in nulls:
         got = evaluation.evaluate(rows, tests, k=k, null=null, seed=seed).select("sig", "test", F.col("p_raw").alias(f"p_{null}"))
         out = got if out is None else out.join(got, ["sig", "test"])
     test = F.least if compat else F.greatest
     return out.withColumn("consistent", test(*[F.col(f"p_{n}") for n in nulls]) < 0.05)
-

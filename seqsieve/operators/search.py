@@ -14,30 +14,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.functions import formula, signals
-from seqsieve.operators import evaluation, statistics
+from seqsieve.operators import evaluation, series, statistics
 
-#: Ranges of the tests' knobs (low, high, step), floats kept as floats.
+# Ranges of the tests' and signals' knobs (low, high, step), floats kept as floats; ways to reorder draws.
 KNOBS = {
+    "fft_peak": {},
     "acf_max": {"maxlag": (5, 60, 1)},
+    "dfa_alpha": {},
     "mi_max": {"maxlag": (2, 30, 1), "bins": (6, 20, 1)},
     "corr_dim_slope": {"m_max": (3, 9, 1), "tau": (1, 3, 1)},
     "perm_entropy": {"order": (2, 5, 1), "delay": (1, 3, 1)},
     "approx_entropy": {"m": (1, 3, 1), "r_factor": (0.10, 0.40, 0.05)},
-    "rq_determinism": {"r_factor": (0.05, 0.30, 0.05)},
+    "rq_determinism": {"m": (2, 4, 1), "r_factor": (0.05, 0.30, 0.05)},
     "sample_entropy": {"m": (1, 3, 1), "r_factor": (0.10, 0.40, 0.05)},
     "multiscale_se": {"m": (1, 3, 1), "r_factor": (0.10, 0.40, 0.05), "tau_max": (3, 6, 1)},
+    "transfer_entropy": {"k_history": (1, 3, 1), "bins": (4, 10, 1)},
 }
+SIGNAL_KNOBS = {"vector_mag": {"div": (30, 36, 1)}, "vector_phase": {"div": (30, 36, 1)}, "complex_field": {"div": (30, 36, 1)}}
+REORDERS = ("identity", "reverse", "block", "shuffle")
+DEPTH = 2
 UNIVARIATE = [t for t in statistics.TESTS if t not in statistics.PAIRED]
 
 
-def random_knobs(test: str, rng: random.Random) -> dict:
+def _drawn(ranges: dict, rng: random.Random) -> dict:
     out = {}
-    for name, (low, high, step) in KNOBS.get(test, {}).items():
+    for name, (low, high, step) in ranges.items():
         value = low + step * rng.randrange(int(round((high - low) / step)) + 1)
         out[name] = round(value, 6) if isinstance(step, float) else int(value)
     return out
 
 
+def random_knobs(test: str, rng: random.Random) -> dict:
+    return _drawn(KNOBS.get(test, {}), rng)
+
+
+def _nudged(own: dict, ranges: dict, rng: random.Random) -> dict:
+    """One knob a step up or down, within its range."""
+    if not ranges:
+        return own
+    name = rng.choice(sorted(ranges))
+    low, high, step = ranges[name]
+    value = min(high, max(low, own.get(name, low) + step * rng.choice((-1, 1))))
+    return own | {name: round(value, 6) if isinstance(step, float) else int(value)}
+
+
 def random_formula(rng: random.Random, depth: int = 0) -> dict:
     names = list(signals.SIGNALS)
     b = random_formula(rng, depth + 1) if depth < 1 and rng.random() < 0.3 else rng.choice(names)
@@ -45,33 +65,45 @@ def random_formula(rng: random.Random, depth: int = 0) -> dict:
 
 
 def random_genome(rng: random.Random, tests: list[str] = UNIVARIATE, prune: frozenset = frozenset()) -> dict:
-    """A genome whose signal is not pruned; signals come from the registry as it is now."""
+    """A genome whose signal is not pruned; signals come from the registry as it is now. Three in ten look at reordered draws."""
     test = rng.choice(tests)
     names = [n for n in signals.SIGNALS if n not in prune] or list(signals.SIGNALS)
-    if rng.random() < 0.4:
-        return {"sig": "comp", "test": test, "params": {"_test": random_knobs(test, rng), "_comp": random_formula(rng)}}
-    return {"sig": rng.choice(names), "test": test, "params": {"_test": random_knobs(test, rng)}}
+    sig = "comp" if rng.random() < 0.4 else rng.choice(names)
+    params = {"_sig": _drawn(SIGNAL_KNOBS.get(sig, {}), rng), "_test": random_knobs(test, rng), "_reorder": rng.choice(REORDERS) if rng.random() < 0.3 else "identity"}
+    if sig == "comp":
+        params["_comp"] = random_formula(rng)
+    return {"sig": sig, "test": test, "params": params}
 
 
-def mutate(genome: dict, rng: random.Random) -> dict:
+def mutate(genome: dict, rng: random.Random, tests: list[str] | None = None) -> dict:
+    """Another test or signal, a knob a step away, another part of the formula; now and then another order of the draws."""
     out = json.loads(json.dumps(genome))
-    kind = rng.random()
-    if kind < 0.35:
-        out["params"]["_test"] = random_knobs(out["test"], rng)
-    elif out["sig"] == "comp":
-        c = out["params"]["_comp"]
-        part = rng.choice(("op", "a", "b", "k", "read"))
-        c[part] = random_formula(rng)[part]
-    else:
+    params, kind = out["params"], rng.random()
+    if out["sig"] == "comp":
+        if kind < 0.3:
+            params["_test"] = _nudged(params.get("_test", {}), KNOBS.get(out["test"], {}), rng)
+        else:
+            part = rng.choice(("op", "a", "b", "k", "read"))
+            params["_comp"][part] = random_formula(rng)[part]
+    elif kind < 0.15 and tests:
+        out["test"] = rng.choice(tests)
+        params["_test"] = random_knobs(out["test"], rng)
+    elif kind < 0.35:
         out["sig"] = rng.choice(list(signals.SIGNALS))
+        params["_sig"] = _drawn(SIGNAL_KNOBS.get(out["sig"], {}), rng)
+    elif kind < 0.85 or out["sig"] not in SIGNAL_KNOBS:
+        params["_test"] = _nudged(params.get("_test", {}), KNOBS.get(out["test"], {}), rng)
+    else:
+        params["_sig"] = _nudged(params.get("_sig", {}), SIGNAL_KNOBS[out["sig"]], rng)
+    if rng.random() < 0.12:
+        params["_reorder"] = rng.choice(REORDERS)
     return out
 
 
 def recombine(a: dict, b: dict, rng: random.Random) -> dict:
-    """The signal of one under the test of the other, with that test's knobs."""
-    out = {"sig": a["sig"], "test": b["test"], "params": {"_test": dict(b["params"].get("_test", {}))}}
-    if "_comp" in a["params"]:
-        out["params"]["_comp"] = json.loads(json.dumps(a["params"]["_comp"]))
+    """The signal of one, with its knobs and order, under the test of the other, with that test's knobs."""
+    params = json.loads(json.dumps(a["params"])) | {"_test": dict(b["params"].get("_test", {}))}
+    out = {"sig": a["sig"], "test": b["test"], "params": params}
     return mutate(out, rng) if rng.random() < 0.2 else out
 
 
@@ -83,34 +115,90 @@ def cross(a: dict, b: dict, rng: random.Random) -> dict:
     return out
 
 
+def nest(f: dict, rng: random.Random) -> dict:
+    """A formula one level deeper: an operand that is a signal becomes a formula of two signals. At full depth it stays."""
+    out = json.loads(json.dumps(f))
+    leaves = [part for part in ("a", "b") if isinstance(out.get(part), str)]
+    if formula.depth_of(out) >= DEPTH or not leaves:
+        return out
+    child = random_formula(rng, 1)
+    out[rng.choice(leaves)] = child
+    return out
+
+
+def breed(elites: list[dict], rng: random.Random, n: int = 6, tests=("mi_max", "acf_max")) -> tuple[list[dict], int]:
+    """(genomes, generation) from formulas that passed: up to half of them mutated elites, the others crossed, mutated or new,
+    each nested with chance one half. The generation is the greatest depth. Tests take turns."""
+    pool = []
+    for f in elites[: n // 2]:
+        pool.append(mutate({"sig": "comp", "test": tests[0], "params": {"_comp": f, "_test": {}}}, rng)["params"]["_comp"])
+    while len(pool) < n:
+        if len(elites) > 1 and rng.random() < 0.6:
+            child = cross(*rng.sample(elites, 2), rng)
+        else:
+            child = json.loads(json.dumps(rng.choice(elites))) if elites and rng.random() < 0.5 else random_formula(rng)
+        child = nest(child, rng) if rng.random() < 0.5 else child
+        if formula.depth_of(child) <= DEPTH:
+            pool.append(child)
+    pool = [f for f in pool if formula.depth_of(f) <= DEPTH]
+    made = [{"sig": "comp", "test": tests[i % len(tests)], "params": {"_sig": {}, "_test": random_knobs(tests[i % len(tests)], rng), "_reorder": "identity", "_comp": f}} for i, f in enumerate(pool)]
+    return made, max(formula.depth_of(f) for f in pool)
+
+
 def key_of(genome: dict) -> str:
     return formula.key(genome["sig"], genome["test"], genome["params"])
 
 
-def series_of(draws: DataFrame, genomes: list[dict]) -> DataFrame:
-    """(series_id, t, x) of the genomes' signals: plain ones in one pass, formulas each by its own plan."""
-    plain = sorted({g["sig"] for g in genomes if g["sig"] != "comp"})
-    out = signals.long(draws, plain) if plain else None
-    for c in {json.dumps(g["params"]["_comp"], sort_keys=True) for g in genomes if g["sig"] == "comp"}:
-        own = formula.evaluate(draws, json.loads(c)).select(F.lit(c).alias("series_id"), "t", "x")
-        out = own if out is None else out.unionByName(own)
+def series_key(genome: dict) -> str:
+    """What tells the series of two genomes apart."""
+    p = genome["params"]
+    return json.dumps([genome["sig"], p.get("_sig") or {}, p.get("_comp"), p.get("_reorder") or "identity"], sort_keys=True)
+
+
+def series_of(draws: DataFrame, genomes: list[dict], seed: int = 0) -> DataFrame:
+    """(series_id, t, x, y) of the genomes' series, y being the blue ball: row-local signals of one order of the draws in one pass,
+    formulas each by its own plan."""
+    out, by_order = None, {}
+    for g in genomes:
+        by_order.setdefault(g["params"].get("_reorder") or "identity", {})[series_key(g)] = g
+    n = draws.count() if any(order in ("reverse", "block") for order in by_order) else 0
+    for order, own in by_order.items():
+        d = series.reordered(draws.select("t", "reds", "blue"), order, n, seed)
+        local = {k: g for k, g in own.items() if g["sig"] in signals.SIGNALS}
+        parts = []
+        if local:
+            cells = [F.struct(F.lit(k).alias("series_id"), signals.column(g["sig"], **(g["params"].get("_sig") or {})).alias("x")) for k, g in local.items()]
+            parts.append(d.select("t", F.col("blue").cast("double").alias("y"), F.explode(F.array(*cells)).alias("s")).select("s.series_id", "t", "s.x", "y"))
+        for k, g in own.items():
+            if k not in local:
+                x = formula.evaluate(d, g["params"]["_comp"]) if g["sig"] == "comp" else signals.SERIES[g["sig"]](d)
+                parts.append(x.join(d.select("t", F.col("blue").cast("double").alias("y")), "t").select(F.lit(k).alias("series_id"), "t", F.col("x").cast("double").alias("x"), "y"))
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
     return out
 
 
 def evaluate_genomes(draws: DataFrame, genomes: list[dict], *, k_light: int = 40, k_heavy: int = 20, null: str = "shuffle", seed: int = 0) -> list[dict]:
-    """Evaluation rows of all genomes, by one job for each test and knob setting; few rows come back."""
+    """Evaluation rows of all genomes by one job (one more for paired tests, whose target is the blue ball); few rows come back."""
     found = []
-    groups: dict[tuple, list[dict]] = {}
-    for g in genomes:
-        groups.setdefault((g["test"], json.dumps(g["params"].get("_test", {}), sort_keys=True)), []).append(g)
-    for (test, knobs), members in groups.items():
-        k = k_light if statistics.TESTS[test][2] == "light" else k_heavy
-        rows = evaluation.evaluate(series_of(draws, members), [test], k=k, null=null, seed=seed, knobs={test: json.loads(knobs)})
-        by_series = {r.sig: r.asDict() for r in rows.collect()}
-        for g in members:
-            sid = g["sig"] if g["sig"] != "comp" else json.dumps(g["params"]["_comp"], sort_keys=True)
-            if sid in by_series:
-                found.append(by_series[sid] | {"sig": g["sig"], "params": json.dumps(g["params"], sort_keys=True), "gkey": key_of(g)})
+    for paired in (False, True):
+        own = [g for g in genomes if (g["test"] in statistics.PAIRED) == paired]
+        if not own:
+            continue
+        jobs: dict[str, list] = {}
+        for g in own:
+            one = (g["test"], g["params"].get("_test") or {}, k_light if statistics.TESTS[g["test"]][2] == "light" else k_heavy)
+            jobs.setdefault(series_key(g), [])
+            if one not in jobs[series_key(g)]:
+                jobs[series_key(g)].append(one)
+        packed = statistics.packed(series_of(draws, own, seed), ["series_id"], ["x", "y"] if paired else ["x"])
+        rows = evaluation.grid(packed, jobs, null="shuffle" if paired else null, seed=seed)
+        got = {(r.series_id, r.test, r.knobs): r.asDict() for r in rows.collect()}
+        for g in own:
+            r = got.get((series_key(g), g["test"], json.dumps(g["params"].get("_test") or {}, sort_keys=True)))
+            if r is not None:
+                _, direction, tier = statistics.TESTS[g["test"]]
+                found.append(r | {"sig": g["sig"], "direction": direction, "tier": tier, "sur_type": null, "params": json.dumps(g["params"], sort_keys=True), "gkey": key_of(g)})
     return found
 
 
@@ -123,6 +211,30 @@ class Frontier:
     cache: dict[tuple, dict] = field(default_factory=dict)
     best_z: list[float] = field(default_factory=list)
 
+    def save(self, spark, path: str) -> None:
+        """Write elites, tried keys and results as Parquet tables under path, replacing what is there."""
+        text = lambda rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+        tables = {"elites": text(self.elites), "tried": text(sorted(self.tried)), "best_z": text(self.best_z), "cache": text([[list(k), v] for k, v in self.cache.items()])}
+        for name, table in tables.items():
+            table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Frontier":
+        """The frontier written there; an empty one if there is none."""
+        def rows(name: str) -> list:
+            try:
+                return [json.loads(r.value) for r in spark.read.schema("value string").parquet(f"{path}/{name}").collect()]
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                return []
+
+        return cls(elites=rows("elites"), tried=set(rows("tried")), best_z=rows("best_z"), cache={tuple(k): v for k, v in rows("cache")})
+
+    @property
+    def coverage(self) -> int:
+        return len(self.tried)
+
     def update(self, evals: list[dict], most: int = 12) -> None:
         """Elites are the most extreme in their test's own direction."""
         sign = lambda e: e["z"] if e["direction"] == "high" else -e["z"]
@@ -154,12 +266,12 @@ def evolve(draws: DataFrame, *, epochs: int = 3, pop: int = 12, seed: int = 0, f
         evals += got
         frontier.update(got)
         half = [genome(e) for e in got[: max(2, len(got) // 2)]]
-        population = [recombine(rng.choice(half), rng.choice(half), rng) if rng.random() < 0.5 else mutate(rng.choice(half), rng) for _ in range(pop)] if half else []
+        population = [recombine(rng.choice(half), rng.choice(half), rng) if rng.random() < 0.5 else mutate(rng.choice(half), rng, tests) for _ in range(pop)] if half else []
         population = [g for g in population if key_of(g) not in frontier.tried]
     return list({e["gkey"]: e for e in evals}.values()), frontier
 
 
-def tune(draws: DataFrame, sig: str, test: str, *, discovery: float = 0.7, k: int = 40, steps: int = 4, anchors: int = 6, seed: int = 0) -> tuple[dict, float]:
+def tune(draws: DataFrame, sig: str, test: str, *, comp: dict | None = None, discovery: float = 0.7, k: int = 40, steps: int = 4, anchors: int = 6, seed: int = 0) -> tuple[dict, float]:
     """The test's knobs with the most extreme z on the discovery part: a grid of anchors for each knob, evaluated together,
     then coordinate steps of half the size until none helps."""
     n = draws.count()
@@ -168,7 +280,7 @@ def tune(draws: DataFrame, sig: str, test: str, *, discovery: float = 0.7, k: in
     memo: dict[str, float] = {}
 
     def scores(settings: list[dict]) -> list[float]:
-        new = [{"sig": sig, "test": test, "params": {"_test": s}} for s in settings if json.dumps(s, sort_keys=True) not in memo]
+        new = [{"sig": sig, "test": test, "params": {"_test": s} | ({"_comp": comp} if comp else {})} for s in settings if json.dumps(s, sort_keys=True) not in memo]
         for e in evaluate_genomes(part, new, k_light=k, k_heavy=k, seed=seed):
             memo[json.dumps(json.loads(e["params"])["_test"], sort_keys=True)] = sign * e["z"]
         return [memo.get(json.dumps(s, sort_keys=True), -math.inf) for s in settings]
@@ -191,3 +303,21 @@ def tune(draws: DataFrame, sig: str, test: str, *, discovery: float = 0.7, k: in
         else:
             size = {name: v / 2 for name, v in size.items()}
     return best, top
+
+
+# What the formula search tunes, as (signal, test).
+POOL = (("red_sum", "acf_max"), ("red_sum", "mi_max"), ("red_sum", "dfa_alpha"), ("red_sum", "perm_entropy"), ("blue", "acf_max"), ("blue", "mi_max"), ("comp", "acf_max"), ("comp", "mi_max"), ("comp", "dfa_alpha"))
+
+
+def diff_search(draws: DataFrame, *, candidates: int = len(POOL), discovery: float = 0.7, k: int = 40, steps: int = 4, anchors: int = 6, seed: int = 0) -> list[dict]:
+    """Records (sig, test, params, z, disc_p) of the pool's templates, each tuned on the discovery part only and then measured
+    there once more with surrogates it was not tuned on. What they are worth is for the gates to say."""
+    rng, n, out = random.Random(seed), draws.count(), []
+    part = draws.where(F.col("t") < int(n * discovery))
+    for i in range(candidates):
+        sig, test = POOL[i % len(POOL)]
+        comp = random_formula(rng) if sig == "comp" else None
+        knobs, z = tune(draws, sig, test, comp=comp, discovery=discovery, k=k, steps=steps, anchors=anchors, seed=seed)
+        out.append({"sig": sig, "test": test, "params": {"_test": knobs} | ({"_comp": comp} if comp else {}), "z": z})
+    got = {e["gkey"]: e["p_raw"] for e in evaluate_genomes(part, out, k_light=k, k_heavy=k, seed=seed + 1)}
+    return [r | {"disc_p": got.get(key_of(r))} for r in out]

@@ -1,7 +1,7 @@
 """Order-dependent building blocks that never sort a whole table in one task.
 
-A series is (t long, x double) with t dense from 0, or several of them with key columns. Shifts are equi-joins on t + k.
-Running sums and fills work in two levels: totals of stretches of t first (few rows), then windows within a stretch.
+A series is (t long, x double) with t dense from 0, or several of them with key columns. Shifts are equi-joins on t + k, or
+windows over stretches that overlap by the largest lag. Running sums and fills work in two levels: totals of stretches of t first (few rows), then windows within a stretch.
 """
 
 from __future__ import annotations
@@ -12,13 +12,28 @@ from pyspark.sql import functions as F
 STRETCH = 4096
 
 
-def dense_index(df: DataFrame, stretch: Column, order: list[str], name: str = "t") -> DataFrame:
-    """df with a dense 0-based rank by `order`; stretch must not decrease along that order."""
-    rows = df.withColumn("_s", stretch)
-    sums = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    sums = sums.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_base"))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy(*order)) - 1)
-    return rows.join(sums, "_s").withColumn(name, (F.col("_base") + F.col("_k")).cast("long")).drop("_s", "_k", "_base")
+def dense_index(df: DataFrame, stretch: Column, order: list[str], name: str = "t", within: Column | None = None) -> DataFrame:
+    """df with a dense 0-based rank by `order`, in three levels. Neither stretch, nor within in a stretch, may decrease along
+    that order; stretches are few, and `within` parts those that grow with the table."""
+    rows = df.withColumn("_s", stretch).withColumn("_w", within if within is not None else F.lit(0))
+    small = rows.groupBy("_s", "_w").agg(F.count(F.lit(1)).alias("_n"))
+    large = small.groupBy("_s").agg(F.sum("_n").alias("_m"))
+    large = large.select("_s", (F.sum("_m").over(Window.orderBy("_s")) - F.col("_m")).alias("_base"))
+    small = small.withColumn("_before", F.sum("_n").over(Window.partitionBy("_s").orderBy("_w")) - F.col("_n")).join(large, "_s")
+    small = small.select("_s", "_w", (F.col("_base") + F.col("_before")).alias("_base"))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_s", "_w").orderBy(*order)) - 1)
+    return rows.join(small, ["_s", "_w"]).withColumn(name, (F.col("_base") + F.col("_k")).cast("long")).drop("_s", "_w", "_k", "_base")
+
+
+def with_lags(df: DataFrame, most: int, column: str, name: str = "_lags", keys: list[str] = ()) -> DataFrame:
+    """df with name = array of column at t - 1, ..., t - most (null where there is none). t is dense. The last `most` rows of
+    each stretch go to the next one too, so a window sees no more than a stretch."""
+    if not 1 <= most < STRETCH:
+        raise ValueError("lags must be fewer than a stretch")
+    own = F.floor(F.col("t") / STRETCH)
+    rows = df.withColumn("_s", F.explode(F.when(F.col("t") % STRETCH >= STRETCH - most, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "_s").orderBy("t")
+    return rows.withColumn(name, F.array(*[F.lag(column, i).over(w) for i in range(1, most + 1)])).where(F.col("_s") == own).drop("_s")
 
 
 def shifted(df: DataFrame, lag: int, column: str, name: str, keys: list[str] = ()) -> DataFrame:
@@ -28,10 +43,11 @@ def shifted(df: DataFrame, lag: int, column: str, name: str, keys: list[str] = (
 
 
 def lagged_pairs(df: DataFrame, lags: list[int], keys: list[str] = (), column: str = "x") -> DataFrame:
-    """(keys, lag, t, a, b): b is the value at t and a the one `lag` before."""
-    early = df.select(*keys, F.col("t").alias("_t"), F.col(column).alias("a"), F.explode(F.array(*map(F.lit, lags))).alias("lag"))
-    early = early.withColumn("t", F.col("_t") + F.col("lag")).drop("_t")
-    return early.join(df.select(*keys, "t", F.col(column).alias("b")), [*keys, "t"])
+    """(keys, lag, t, a, b): b is the value at t and a the one `lag` before. Pairs with a missing value are left out."""
+    rows = with_lags(df.select(*keys, "t", column), max(lags), column, "_lags", keys)
+    pairs = F.array(*[F.struct(F.lit(i).alias("lag"), F.col("_lags")[i - 1].alias("a")) for i in lags])
+    rows = rows.select(*keys, "t", F.col(column).alias("b"), F.explode(pairs).alias("p"))
+    return rows.select(*keys, "p.lag", "t", "p.a", "b").where("a is not null and b is not null")
 
 
 def running(df: DataFrame, column: str, name: str, keys: list[str] = ()) -> DataFrame:

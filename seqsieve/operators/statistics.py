@@ -1,8 +1,9 @@
 """Test statistics: one number for a series (or a pair of series).
 
-acf_max, autocorr, drift, perm_entropy, mi_max and transfer_entropy have a distributed form over (keys, t, x), by joins on
-t + lag and grouped counts. All tests have a numpy form over a packed series, for grids of many series and surrogates,
-where each task holds one series; the quadratic ones look at the first `sub` points, as their definition says.
+acf_max, autocorr, drift, perm_entropy, mi_max, dfa_alpha and transfer_entropy have a distributed form over (keys, t, x), for
+series of any length, by overlapping stretches and grouped counts. All tests have a numpy form over a packed series, for grids
+of many series and surrogates, where a task holds one series of at most LONGEST points; the quadratic ones look at the first
+`sub` points, as their definition says.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from seqsieve.operators import series
 
+#: Points of a packed series; a longer one is an error that names the distributed forms.
+LONGEST = 1 << 22
+
 # ---- distributed forms
 
 
@@ -26,12 +30,12 @@ def acf_max(df: DataFrame, keys: list[str], maxlag: int = 40) -> DataFrame:
 
 
 def autocorr(df: DataFrame, keys: list[str], lag: int = 1) -> DataFrame:
-    """(keys, stat): sum of centred products over the sum of centred squares; 0 for a constant series."""
-    one = df.groupBy(*keys).agg(F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count(F.lit(1)).alias("n"))
+    """(keys, stat): sum of centred products over the sum of centred squares; 0 for a constant series or one of few points."""
+    one = df.groupBy(*keys).agg(F.avg("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("x").alias("n"))
     pairs = series.lagged_pairs(df, [lag], keys).groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") + F.col("b")).alias("s"), F.count(F.lit(1)).alias("m2"))
-    top = F.col("ab") - F.col("m") * F.col("s") + F.col("m2") * F.col("m") * F.col("m")
+    top = F.coalesce(F.col("ab") - F.col("m") * F.col("s") + F.col("m2") * F.col("m") * F.col("m"), F.lit(0.0))
     low = F.col("s2") - F.col("n") * F.col("m") * F.col("m")
-    return one.join(pairs, keys).select(*keys, F.when(low > 1e-12, top / F.when(low > 1e-12, low)).otherwise(0.0).alias("stat"))
+    return one.join(pairs, keys, "left").select(*keys, F.when(low > 1e-12, top / F.when(low > 1e-12, low)).otherwise(0.0).alias("stat"))
 
 
 def drift(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,6 +45,23 @@ def drift(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(n, keys).groupBy(*keys).agg((F.avg(F.when(late, F.col("x"))) - F.avg(F.when(~late, F.col("x")))).alias("stat"))
 
 
+def dfa_alpha(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, stat): slope of log10 of the mean residual about a line, by segments of the running sum of x less its mean,
+    over log10 of the segments' length; null with fewer than three lengths. A row goes to the at most 20 lengths."""
+    one = df.groupBy(*keys).agg(F.avg("x").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    rows = df.join(one, keys) if keys else series.with_scalars(df, one)
+    rows = series.running(rows.withColumn("_d", F.col("x") - F.col("_m")), "_d", "_y", keys)
+    top = F.log10(F.greatest(F.lit(11), F.floor(F.col("_n") / 4)).cast("double"))
+    scales = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.floor(F.pow(F.lit(10.0), 1 + i * (top - 1) / 19) + 1e-9)))
+    rows = rows.withColumn("_s", F.explode(scales)).withColumn("_many", F.floor(F.col("_n") / F.col("_s"))).where((F.col("_many") >= 4) & (F.col("t") < F.col("_many") * F.col("_s")))
+    part = rows.withColumn("_g", F.floor(F.col("t") / F.col("_s"))).withColumn("_at", (F.col("t") % F.col("_s")).cast("double"))
+    line = F.coalesce(F.nanvl(F.corr("_y", "_at"), F.lit(0.0)), F.lit(0.0))
+    part = part.groupBy(*keys, "_s", "_g").agg(F.sqrt(F.greatest(F.lit(0.0), F.var_pop("_y") * (1 - line * line))).alias("_r"))
+    f = part.groupBy(*keys, "_s").agg(F.log10(F.greatest(F.avg("_r"), F.lit(1e-300))).alias("_f"))
+    out = f.groupBy(*keys).agg(F.regr_slope("_f", F.log10(F.col("_s").cast("double"))).alias("stat"), F.count(F.lit(1)).alias("_c"))
+    return out.select(*keys, F.when(F.col("_c") >= 3, F.col("stat")).alias("stat"))
+
+
 def entropy(counts: DataFrame, keys: list[str], column: str = "c") -> DataFrame:
     """(keys, stat): entropy (ln) of the counts of each key."""
     n = counts.groupBy(*keys).agg(F.sum(column).alias("n"), F.sum(F.col(column) * F.ln(F.col(column))).alias("s"))
@@ -189,7 +210,8 @@ def np_multiscale_se(x, m=2, r_factor=0.2, tau_max=5, sub=1200):
     return float(np.mean(got)) if got else np.nan
 
 
-def np_rq_determinism(x, r_factor=0.1, sub=600):
+def np_rq_determinism(x, m=2, r_factor=0.1, sub=600):
+    """Lines of two points count, whatever m: it is a knob that searches turn, without effect."""
     x = x[:sub]
     close = np.abs(x[:, None] - x[None, :]) <= r_factor * (x.std() + 1e-12)
     # a recurrence counts if a neighbour on its diagonal recurs too
@@ -199,9 +221,7 @@ def np_rq_determinism(x, r_factor=0.1, sub=600):
 
 
 def np_corr_dim_slope(x, m_max=7, tau=1, sub=1200):
-    x = x[:sub] if len(x) <= sub else ((x - x.mean()) / (x.std() + 1e-12))[:sub]
-    if len(x) < sub:
-        x = (x - x.mean()) / (x.std() + 1e-12)
+    x = ((x - x.mean()) / (x.std() + 1e-12))[:sub]  # the whole series sets the scale
     radii, slopes = np.linspace(-1.5, 0.2, 14), []
     for m in range(2, m_max + 1):
         n = len(x) - (m - 1) * tau
@@ -220,17 +240,27 @@ def np_corr_dim_slope(x, m_max=7, tau=1, sub=1200):
     return float(slopes[-1] - slopes[0]) if len(slopes) >= 2 else np.nan
 
 
-def np_transfer_entropy(x, y, bins=8, sub=2000):
+def np_transfer_entropy(x, y, k_history=1, bins=8, sub=2000):
+    """The past is the last k_history values of each."""
     x, y = x[:sub], y[:sub]
-    if len(x) < 3:
+    n = len(x) - k_history
+    if n < 2:
         return np.nan
     a, b = _bins(x, bins), _bins(y, bins)
-    c = np.zeros((bins, bins, bins))
-    np.add.at(c, (a[:-1], b[:-1], b[1:]), 1)
-    c /= c.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        v = c * np.log2(c * c.sum((0, 2))[None, :, None] / (c.sum(2)[:, :, None] * c.sum(0)[None]))
-    return max(0.0, float(np.nansum(v)))
+    past = lambda s: sum(s[i : i + n] * bins**i for i in range(k_history))
+    size = bins**k_history
+    one, many = np.unique((past(a) * size + past(b)) * bins + b[k_history:], return_counts=True)
+    p, own, nxt = many / n, one // bins % size, one % bins
+    from_both, from_own, step = one // bins, own, own * bins + nxt
+    total = lambda key: dict(zip(*_sums(key, p)))
+    pb, po, ps = total(from_both), total(from_own), total(step)
+    return max(0.0, float(sum(q * np.log2(q * po[o] / (pb[f] * ps[s])) for q, f, o, s in zip(p, from_both, from_own, step))))
+
+
+def _sums(key, weight):
+    """(different keys, sums of their weights)."""
+    names, at = np.unique(key, return_inverse=True)
+    return names.tolist(), np.bincount(at, weight).tolist()
 
 
 def np_granger(x, y, max_lag=5):
@@ -251,27 +281,38 @@ def np_granger(x, y, max_lag=5):
     return float((rests[p] - full) / p / (full / (n - 2 * p - 1))) if full > 0 else np.nan
 
 
-def np_ccm(x, y, dim=3, tau=1, sub=1200):
-    """Largest cross-map skill: how well neighbours in y's delay space tell x, over library sizes."""
-    x, y = x[:sub], y[:sub]
+def np_ccm(x, y, dim=3, tau=1, block=256):
+    """Largest cross-map skill: how well neighbours in y's delay space tell x, over library sizes. Distances are taken in
+    blocks of rows; the work is quadratic in the series."""
     n = len(y) - (dim - 1) * tau
     if n < 4 * (dim + 1):
         return np.nan
-    w, target, best = np.stack([y[i * tau : i * tau + n] for i in range(dim)], 1), x[:n], 0.0
-    d = np.sqrt(((w[:, None, :] - w[None, :, :]) ** 2).sum(2))
-    np.fill_diagonal(d, np.inf)
-    for size in sorted({int(v) for v in np.geomspace(2 * (dim + 1), n, 8)}):
-        near = np.argsort(d[:, :size], 1, kind="stable")[:, : dim + 1]
-        dist = np.take_along_axis(d, near, 1)
-        weight = np.exp(-dist / np.maximum(dist[:, :1], 1e-12))
-        guess = (weight * target[near]).sum(1) / weight.sum(1)
-        ok = np.isfinite(guess)
-        if ok.sum() > 2 and guess[ok].std() > 0 and target[ok].std() > 0:
-            best = max(best, float(np.corrcoef(guess[ok], target[ok])[0, 1]))
+    w, target = np.stack([y[i * tau : i * tau + n] for i in range(dim)], 1), x[:n]
+    sizes = sorted({int(v) for v in np.geomspace(2 * (dim + 1), n, 8)})
+    guess = np.empty((len(sizes), n))
+    square = (w**2).sum(1)
+    for a in range(0, n, block):
+        own = np.arange(a, min(n, a + block))
+        d = square[own, None] - 2 * w[own] @ w.T + square
+        d[np.arange(len(own)), own] = np.inf
+        for k, size in enumerate(sizes):
+            many = min(size, 2 * (dim + 1))  # a few more than wanted, so that equal distances go by place
+            near = np.sort(np.argpartition(d[:, :size], many - 1, 1)[:, :many], 1)
+            exact = np.sqrt(((w[own, None] - w[near]) ** 2).sum(2))
+            exact[near == own[:, None]] = np.inf
+            first = np.argsort(exact, 1, kind="stable")[:, : dim + 1]
+            near, dist = np.take_along_axis(near, first, 1), np.take_along_axis(exact, first, 1)
+            weight = np.exp(-dist / np.maximum(dist[:, :1], 1e-12))
+            guess[k, own] = (weight * target[near]).sum(1) / weight.sum(1)
+    best = 0.0
+    for g in guess:
+        ok = np.isfinite(g)
+        if ok.sum() > 2 and g[ok].std() > 0 and target[ok].std() > 0:
+            best = max(best, float(np.corrcoef(g[ok], target[ok])[0, 1]))
     return best
 
 
-#: name: (function, direction in which structure lies, tier)
+# The tests' names, the direction in which structure lies, and the tier. name: (function, direction, tier)
 TESTS = {
     "fft_peak": (np_fft_peak, "high", "light"),
     "acf_max": (np_acf_max, "high", "light"),
@@ -290,20 +331,27 @@ TESTS = {
 PAIRED = ("transfer_entropy", "ccm", "granger")
 
 
-def packed(df: DataFrame, keys: list[str], columns: list[str] = ("x",)) -> DataFrame:
-    """(keys, columns as arrays in order of t): one row for each series."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", *columns))).alias("_p"))
+#: Distributed forms by the tests' names.
+DISTRIBUTED = {"acf_max": acf_max, "dfa_alpha": dfa_alpha, "mi_max": mi_max, "perm_entropy": perm_entropy}
+
+
+def packed(df: DataFrame, keys: list[str], columns: list[str] = ("x",), longest: int = LONGEST) -> DataFrame:
+    """(keys, columns as arrays in order of t): one row for each series. A series of more than `longest` points fails the job;
+    no more than these are ever gathered."""
+    own = F.when(F.col("t") < longest, F.struct("t", *columns))
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("_p"), F.max("t").alias("_t"))
+    told = F.raise_error(F.lit(f"a series of more than {longest} points does not fit a task: use the distributed forms of statistics.DISTRIBUTED, or a longer limit"))
+    rows = rows.withColumn("_p", F.when(F.col("_t") < longest, F.col("_p")).otherwise(told.cast(rows.schema["_p"].dataType)))
     return rows.select(*keys, *[F.col("_p").getField(c).cast("array<double>").alias(c) for c in columns])
 
 
 def measure(rows: DataFrame, test: str, keys: list[str], **knobs) -> DataFrame:
-    """(keys, stat) of packed series; null where the test cannot be evaluated."""
+    """(keys, stat) of packed series, one at a time; null where the test cannot be evaluated."""
     fn, names = partial(TESTS[test][0], **knobs), ("x", "y") if test in PAIRED else ("x",)
 
-    def run(batches):
-        for pdf in batches:
-            stats = [fn(*[np.asarray(v, float) for v in vs]) for vs in zip(*[pdf[c] for c in names])]
-            yield pdf[keys].assign(stat=[s if np.isfinite(s) else None for s in stats])
+    def run(pdf):
+        stats = [fn(*[np.asarray(v, float) for v in vs]) for vs in zip(*[pdf[c] for c in names])]
+        return pdf[keys].assign(stat=[s if np.isfinite(s) else None for s in stats])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return rows.select(*keys, *names).mapInPandas(run, f"{schema}, stat double")
+    return rows.select(*keys, *names).groupBy(*keys).applyInPandas(run, f"{schema}, stat double")

@@ -41,7 +41,14 @@ def windowed(events: DataFrame, kind: str, late: str = "10 minutes") -> DataFram
     return out.select(*keys, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n", "total")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream yields from all that is available now, as a table in memory (for small results)."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream yields from all that is available now: written, with its checkpoint, to a folder that driver and executors
+    share, and read back. In complete mode each batch replaces the table, so a repeated one does no harm."""
+    path, schema = f"{folder}/rows", stream.schema
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    stream.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(path if mode == "complete" else f"{path}/batch=-1")
+    stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(path).select(*schema.names)

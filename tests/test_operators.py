@@ -269,7 +269,8 @@ def test_governance(spark):
         state = spark.createDataFrame([tuple((base | change).values())], schema)
         assert governance.audit(state).first().verdict == want
     assert [r.label for r in governance.failure_labels(spark.createDataFrame([tuple(base.values())], schema)).collect()] == ["null_honest"]
-    assert governance.closed(["avoid", "lower_threshold", "unknown"]) == ["lower_threshold", "unknown"]
+    ops = spark.createDataFrame([(1, "absorb", ["ingest_fate"], ["sigmap_injection"], ["bh_fdr_q"], None), (2, "propose", ["ingest_fate"], None, ["train_auc"], None), (3, "absorb", None, ["elsewhere"], None, "backtest_fit")], "op_id int, kind string, input_sources array<string>, output_sinks array<string>, used_feedback array<string>, objective string")
+    assert sorted(map(tuple, governance.learning_audit(ops).collect())) == [(1, 0, "OK"), (2, 1, "ALERT"), (3, 3, "ALERT")]
     texts = spark.createDataFrame([("proven beyond doubt",), ("maybe proven",), ("nothing",), (None,)], "x string")
     assert [r[0] for r in texts.select(governance.overclaims(F.col("x"), ["proven"], ["maybe"])).collect()] == ["OVERCLAIM", "HEDGED", "NONE", "NONE"]
 
