@@ -99,9 +99,7 @@ def forecasts(df: DataFrame, k: int = 2, keys: list[str] = ()) -> DataFrame:
     """(keys, t, x) with actual (sign of the next step) and the causal sign forecasts cont, rev, mean and osc; 0 where a
     rule has nothing to go by. k is at least 2."""
     k = max(2, int(k))
-    out = df.select(*keys, "t", "x")
-    for lag, name in ((-1, "after"), (1, "before"), (k, "old")):
-        out = series.shifted(out, lag, "x", name, keys)
+    out = series.shifted_all(df.select(*keys, "t", "x"), {"after": -1, "before": 1, "old": k}, "x", keys)
     out = series.running(out, "x", "cum", keys)
     cont = F.when(F.col("t") >= 1, F.signum(F.col("x") - F.col("before"))).otherwise(0.0)
     mean = F.when(F.col("t") >= 1, F.signum((F.col("t") + 1) * F.col("x") - F.col("cum"))).otherwise(0.0)

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators import resampling, statistics
+from seqsieve.operators import resampling, series, statistics
+from seqsieve.sources.shared import written
 
 
 def rank_p(real: DataFrame, surrogates: DataFrame, keys: list[str], direction: str = "high") -> DataFrame:
@@ -95,19 +96,21 @@ def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str =
     """evals with Benjamini-Hochberg q-values within the keys; a null p counts as no hypothesis and gets a null q.
 
     Equal p-values are counted first. The different ones are parted at about equal quantiles; counts of the parts give ranks
-    of their starts, and the least of the later parts goes to the earlier ones, so no task sorts all of them.
+    of their starts, and the least of the later parts goes to the earlier ones, so no task sorts all of them. The evaluations,
+    and what is found of them on the way, are written first, as each is read more than once.
     """
     keys = list(keys)
+    evals = written(evals, "evals")
     counts = evals.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     edges = counts.groupBy(*keys).agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)], 1000).alias("_e"), F.sum("_c").alias("_n"))
-    rows = counts.join(edges, keys) if keys else _beside(counts, edges)
-    rows = rows.withColumn("_part", F.size(F.filter("_e", lambda e: e < F.col("_p")))).drop("_e")
+    rows = counts.join(edges, keys) if keys else series.with_scalars(counts, edges)
+    rows = written(rows.withColumn("_part", F.size(F.filter("_e", lambda e: e < F.col("_p")))).drop("_e"), "p-values")
     own = Window.partitionBy(*keys, "_part")
     sums = rows.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))
     along = Window.partitionBy(*keys).orderBy("_part")  # at most `parts` rows for each key
     sums = sums.select(*keys, "_part", (F.sum("_s").over(along) - F.col("_s")).alias("_before"))
     rows = rows.join(sums, [*keys, "_part"])
-    rows = rows.withColumn("_q", F.col("_p") * F.col("_n") / (F.col("_before") + F.sum("_c").over(own.orderBy("_p"))))
+    rows = written(rows.withColumn("_q", F.col("_p") * F.col("_n") / (F.col("_before") + F.sum("_c").over(own.orderBy("_p")))), "q-values")
     least = rows.groupBy(*keys, "_part").agg(F.min("_q").alias("_m"))
     later = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(least.select(*keys, "_part", F.min("_m").over(later).alias("_after")), [*keys, "_part"])
@@ -119,12 +122,6 @@ def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str =
     return evals.join(found, same, "left").drop("_p", *[f"_k{i}" for i in range(len(keys))])
 
 
-def _beside(rows: DataFrame, one: DataFrame) -> DataFrame:
-    from seqsieve.operators import series
-
-    return series.with_scalars(rows, one)
-
-
 def fisher(rows: DataFrame, keys: list[str], p: str = "p_raw") -> DataFrame:
     """(keys, n, p_comb): Fisher's combination. p outside (0, 1] is dropped; none gives 1. For 2n degrees of freedom the
     tail is exp(-h) * sum h^i / i!, i < n, with h = -sum ln p; terms are taken in logarithms, so none is out of range."""

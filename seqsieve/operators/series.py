@@ -28,18 +28,33 @@ def dense_index(df: DataFrame, stretch: Column, order: list[str], name: str = "t
 def with_lags(df: DataFrame, most: int, column: str, name: str = "_lags", keys: list[str] = ()) -> DataFrame:
     """df with name = array of column at t - 1, ..., t - most (null where there is none). t is dense. The last `most` rows of
     each stretch go to the next one too, so a window sees no more than a stretch."""
-    if not 1 <= most < STRETCH:
-        raise ValueError("lags must be fewer than a stretch")
-    own = F.floor(F.col("t") / STRETCH)
-    rows = df.withColumn("_s", F.explode(F.when(F.col("t") % STRETCH >= STRETCH - most, F.array(own, own + 1)).otherwise(F.array(own))))
+    rows, own = _reaching(df, most, 0), F.floor(F.col("t") / STRETCH)
     w = Window.partitionBy(*keys, "_s").orderBy("t")
     return rows.withColumn(name, F.array(*[F.lag(column, i).over(w) for i in range(1, most + 1)])).where(F.col("_s") == own).drop("_s")
 
 
+def _reaching(df: DataFrame, back: int, ahead: int) -> DataFrame:
+    """df with its stretch _s; the last `back` rows of a stretch also go to the next one, the first `ahead` to the one before."""
+    if back >= STRETCH or ahead >= STRETCH:
+        raise ValueError("shifts must be shorter than a stretch")
+    own, place = F.floor(F.col("t") / STRETCH), F.col("t") % STRETCH
+    to = F.array(own, F.when(place >= STRETCH - back, own + 1), F.when(place < ahead, own - 1))
+    return df.withColumn("_s", F.explode(F.filter(to, lambda s: s.isNotNull())))
+
+
 def shifted(df: DataFrame, lag: int, column: str, name: str, keys: list[str] = ()) -> DataFrame:
-    """df with name = column at t - lag (null where there is none)."""
-    other = df.select(*keys, (F.col("t") + lag).alias("t"), F.col(column).alias(name))
-    return df.join(other, [*keys, "t"], "left")
+    """df with name = column at t - lag (null where there is none). t is dense; rows without a neighbour in a gap get null."""
+    return shifted_all(df, {name: lag}, column, keys)
+
+
+def shifted_all(df: DataFrame, lags: dict[str, int], column: str, keys: list[str] = ()) -> DataFrame:
+    """df with several shifts of a column, by name, from one pass."""
+    rows = _reaching(df, max(0, *lags.values()), max(0, *(-v for v in lags.values())))
+    w = Window.partitionBy(*keys, "_s").orderBy("t")
+    for name, lag in lags.items():
+        there = F.lag(F.struct(F.col("t").alias("t"), F.col(column).alias("v")), lag).over(w)
+        rows = rows.withColumn(name, F.when(there["t"] == F.col("t") - lag, there["v"]))
+    return rows.where(F.col("_s") == F.floor(F.col("t") / STRETCH)).drop("_s")
 
 
 def lagged_pairs(df: DataFrame, lags: list[int], keys: list[str] = (), column: str = "x") -> DataFrame:

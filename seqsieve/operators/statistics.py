@@ -71,8 +71,7 @@ def entropy(counts: DataFrame, keys: list[str], column: str = "c") -> DataFrame:
 def perm_entropy(df: DataFrame, keys: list[str], order: int = 3, delay: int = 1, sub: int = 2000) -> DataFrame:
     """(keys, stat): entropy of ordinal patterns of all full windows among the first sub points; ties by position."""
     rows = df.where(F.col("t") < sub)
-    for i in range(1, order):
-        rows = series.shifted(rows, -i * delay, "x", f"x{i}", keys)
+    rows = series.shifted_all(rows, {f"x{i}": -i * delay for i in range(1, order)}, "x", keys)
     rows = rows.where(F.col(f"x{order - 1}").isNotNull())
     values = F.array(*[F.struct(F.col("x" if i == 0 else f"x{i}").alias("v"), F.lit(i).alias("i")) for i in range(order)])
     pattern = F.concat_ws("", F.transform(F.array_sort(values), lambda s: s["i"].cast("string")))

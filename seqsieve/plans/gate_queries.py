@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
 from seqsieve.operators import evaluation, forecast, gates, governance, resampling, scans, search, series, statistics
-from seqsieve.plans.signal_queries import DRAWS, SUM, X, keyed, r6, sums
+from seqsieve.plans.signal_queries import DRAWS, GAPS, SUM, X, keyed, r6, sums
 from seqsieve.sources import draws as draw_source
 from seqsieve.sources.draws import derived, table
+from seqsieve.sources.shared import shared_dir
 from seqsieve.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -49,7 +51,14 @@ def _two(spark, sf_dir):
     return derived(spark, sf_dir).select(F.lit("red_sum>blue").alias("series_id"), "t", signals.column("red_sum").alias("x"), signals.column("blue").alias("y"))
 
 
-@register()
+@register(
+    f"""WITH {DRAWS}, s AS (SELECT t, {SUM} AS x, CAST(blue AS DOUBLE) AS y FROM draws),
+  m AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY md5('3:' || sid || ':' || t)) - 1 AS t, x, y FROM s, range(0, 40) r(sid) UNION ALL SELECT -1, t, x, y FROM s), w AS (SELECT * FROM m WHERE t < 2000),
+  b AS (SELECT sid, t, least(7, floor((x - min(x) OVER p) / (max(x) OVER p - min(x) OVER p) * 8)) AS xb, least(7, floor((y - min(y) OVER p) / (max(y) OVER p - min(y) OVER p) * 8)) AS yb FROM w WINDOW p AS (PARTITION BY sid)),
+  c AS (SELECT sid, xb, yb, zb, count(*) AS c FROM (SELECT *, lead(yb) OVER (PARTITION BY sid ORDER BY t) AS zb FROM b) WHERE zb IS NOT NULL GROUP BY ALL),
+  g AS (SELECT sid, greatest(0, sum(m)) AS stat FROM (SELECT sid, c / sum(c) OVER (PARTITION BY sid) * log2(c * sum(c) OVER (PARTITION BY sid, yb) / (sum(c) OVER (PARTITION BY sid, xb, yb) * sum(c) OVER (PARTITION BY sid, yb, zb))) AS m FROM c) GROUP BY sid)
+  SELECT 'red_sum>blue' AS series_id, round(max(r), 6) AS stat, round(avg(stat), 6) AS sur_mean, round((1 + count(*) FILTER (stat >= r)) / (1.0 + count(*)), 6) AS p_raw, count(*) AS k_sur FROM g, (SELECT stat AS r FROM g WHERE sid = -1) WHERE sid >= 0"""
+)
 def joint_shuffle(spark, sf_dir):
     out = evaluation.evaluate_pair(_two(spark, sf_dir), "transfer_entropy", k=40, seed=3)
     return out.select("series_id", *[r6(F.col(c)).alias(c) for c in ("stat", "sur_mean", "p_raw")], "k_sur")
@@ -199,26 +208,94 @@ def oot_hitrate(spark, sf_dir):
     return _rates(gates.out_of_time(rows, rows.count()))
 
 
-@register()
+#: Directions of a series and of its shuffles (sid -1 is the series itself), and what the two rules say.
+_STEPS = """m AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY md5('{seed}:' || sid || ':' || t)) - 1 AS t, x FROM s, range(0, {k}) r(sid) UNION ALL SELECT -1, t, x FROM s),
+  f AS (SELECT sid, t, sign(lead(x) OVER w - x) AS actual, coalesce(sign(x - lag(x) OVER w), 0) AS cont, (SELECT count(*) FROM s) AS n FROM m WINDOW w AS (PARTITION BY sid ORDER BY t))"""
+
+
+@register(
+    f"""WITH {X}, {_STEPS.format(seed=2, k=20)}, v AS (SELECT * FROM f WHERE actual <> 0 AND cont <> 0),
+  c AS (SELECT sid, count(*) FILTER (t < floor(.8 * n)) AS ln, count(*) FILTER (t < floor(.8 * n) AND cont = actual) AS lk, count(*) FILTER (t >= floor(.8 * n)) AS tn, count(*) FILTER (t >= floor(.8 * n) AND cont = actual) AS tk FROM v GROUP BY sid),
+  r AS (SELECT sid, CASE WHEN ln >= 30 THEN lk / ln ELSE .5 END AS up, CASE WHEN ln >= 30 THEN (ln - lk) / ln ELSE .5 END AS down, tn, tk FROM c),
+  h AS (SELECT sid, CASE WHEN up >= down THEN 'cont' ELSE 'rev' END AS rule, CASE WHEN tn >= 30 THEN CASE WHEN up >= down THEN tk ELSE tn - tk END / tn END AS h FROM r), o AS (SELECT * FROM h WHERE sid = -1)
+  SELECT max(o.rule) AS rule, round(max(o.h), 6) AS hit_rate, count(*) FILTER (h.h >= o.h) AS as_good, count(*) AS k_sur, round(least(1, (count(*) FILTER (h.h >= o.h) + .5) / count(*)), 6) AS p FROM h, o WHERE h.sid >= 0 AND h.h IS NOT NULL"""
+)
 def oos_hitrate_p(spark, sf_dir):
     rows = sums(spark, sf_dir)
-    return gates.hit_rate_p(rows, rows.count(), k=20, seed=2).select("rule", "hit_rate", "as_good", "k_sur", "p")
+    return gates.hit_rate_p(rows, rows.count(), k=20, seed=2).select("rule", r6(F.col("hit_rate")).alias("hit_rate"), F.col("as_good").cast("long").alias("as_good"), "k_sur", r6(F.col("p")).alias("p"))
 
 
-@register()
-def confirm_candidate(spark, sf_dir):
+@register(
+    f"""WITH {X}, {_STEPS.format(seed=9, k=20)}, v AS (SELECT * FROM f WHERE sid = -1 AND actual <> 0 AND cont <> 0),
+  c AS (SELECT count(*) FILTER (t < floor(.85 * n)) AS ln, count(*) FILTER (t < floor(.85 * n) AND cont = actual) AS lk, count(*) FILTER (t >= floor(.91 * n)) AS tn, count(*) FILTER (t >= floor(.91 * n) AND cont = actual) AS tk FROM v),
+  o AS (SELECT CASE WHEN ln < 30 OR lk >= ln - lk THEN 'cont' ELSE 'rev' END AS rule, tn, tk FROM c), a AS (SELECT t, actual FROM f WHERE sid = -1 AND actual IS NOT NULL),
+  h AS (SELECT f.sid, avg(CASE WHEN CASE rule WHEN 'cont' THEN cont ELSE -cont END = a.actual THEN 1 ELSE 0 END) AS h FROM f JOIN a USING (t), o WHERE f.sid >= 0 AND f.t >= floor(.91 * n) AND cont <> 0 AND a.actual <> 0 GROUP BY f.sid HAVING count(*) >= 30),
+  e AS (SELECT rule, CASE WHEN tn >= 30 THEN CASE rule WHEN 'cont' THEN tk ELSE tn - tk END / tn END AS hr FROM o)
+  SELECT max(rule) AS rule, round(max(hr), 6) AS hit_rate, round(avg(h), 6) AS sur_mean, count(*) FILTER (h >= hr) AS as_good, count(h) AS k_sur, CASE WHEN count(h) > 0 AND max(hr) IS NOT NULL THEN round(least(1, (count(*) FILTER (h >= hr) + .5) / count(h)), 6) END AS p FROM e LEFT JOIN h ON true"""
+)
+def oot_hitrate_p(spark, sf_dir):
+    rows = sums(spark, sf_dir)
+    out = gates.out_of_time_p(rows, rows.count(), k=20, seed=9)
+    return out.select("rule", r6(F.col("hit_rate")).alias("hit_rate"), r6(F.col("sur_mean")).alias("sur_mean"), F.col("as_good").cast("long").alias("as_good"), "k_sur", r6(F.col("p")).alias("p"))
+
+
+def _lag_corr(most: int) -> str:
+    """SQL of the largest absolute correlation over the lags of z(id, sid, t, x)."""
+    lags = ", ".join(f"lag(x, {i}) OVER w AS x{i}" for i in range(1, most + 1))
+    best = ", ".join(f"abs(corr(x, x{i}))" for i in range(1, most + 1))
+    return f"l AS (SELECT id, sid, x, {lags} FROM z WINDOW w AS (PARTITION BY id, sid ORDER BY t)), a AS (SELECT id, sid, greatest({best}) AS stat FROM l GROUP BY id, sid)"
+
+
+@register(
+    f"""WITH {DRAWS}, s AS (SELECT 'red_sum' AS id, t, {SUM} AS x FROM draws UNION ALL SELECT 'blue', t, blue FROM draws), n AS (SELECT count(*) AS n, CAST(floor(count(*) * .8) AS BIGINT) AS cut FROM draws),
+  d AS (SELECT id, t - cut AS t, x FROM s, n WHERE t >= CASE WHEN n - cut >= 60 THEN cut ELSE n END),
+  z AS (SELECT id, sid, row_number() OVER (PARTITION BY id, sid ORDER BY md5('6:' || sid || ':' || t)) - 1 AS t, x FROM d, range(0, 25) r(sid) UNION ALL SELECT id, -1, t, x FROM d), {_lag_corr(5)}
+  SELECT a.id AS sig, round(max(r.stat), 6) AS stat, round(avg(a.stat), 6) AS sur_mean, round((1 + count(*) FILTER (a.stat >= r.stat)) / (1.0 + count(*)), 6) AS p_raw, count(*) AS k_sur FROM a JOIN a r ON r.id = a.id AND r.sid = -1 WHERE a.sid >= 0 GROUP BY a.id"""
+)
+def oos_reevaluate(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    out = gates.reevaluate(signals.long(d, ["red_sum", "blue"]), d.count(), ["acf_max"], k=25, seed=6, knobs={"acf_max": {"maxlag": 5}})
+    return out.select("sig", *[r6(F.col(c)).alias(c) for c in ("stat", "sur_mean", "p_raw")], "k_sur")
+
+
+_CONFIRM = f"""{DRAWS}, s AS (SELECT 'red_sum' AS id, t, {SUM} AS x FROM draws UNION ALL SELECT 'red_gap_max', t, list_max({GAPS}) FROM draws),
+  n AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.7) AS BIGINT) AS base FROM draws), g AS (SELECT *, (n - base) // 3 AS size, f FROM n, range(0, 3) r(f)),
+  o AS (SELECT f, base + f * size AS c_start, CASE WHEN f = 2 THEN n ELSE base + (f + 1) * size END AS c_end FROM g WHERE n - base >= 90 UNION ALL SELECT 0, base, n FROM n WHERE n - base < 90),
+  q AS (SELECT f, 'disc' AS part, 0 AS lo, c_start AS hi FROM o WHERE c_end - c_start >= 30 UNION ALL SELECT f, 'conf', c_start, c_end FROM o WHERE c_end - c_start >= 30),
+  d AS (SELECT id || '#' || f || '#' || part AS id, t - lo AS t, x FROM s JOIN q ON t >= lo AND t < hi),
+  z AS (SELECT id, sid, row_number() OVER (PARTITION BY id, sid ORDER BY md5('4:' || sid || ':' || t)) - 1 AS t, x FROM d, range(0, 30) r(sid) UNION ALL SELECT id, -1, t, x FROM d), {_lag_corr(8)},
+  p AS (SELECT a.id, (1 + count(*) FILTER (a.stat >= r.stat)) / (1.0 + count(*)) AS p FROM a JOIN a r ON r.id = a.id AND r.sid = -1 WHERE a.sid >= 0 GROUP BY a.id),
+  h AS (SELECT split_part(id, '#', 1) AS sig, -sum(ln(p)) FILTER (split_part(id, '#', 3) = 'disc') AS d, -sum(ln(p)) FILTER (split_part(id, '#', 3) = 'conf') AS c, count(*) FILTER (split_part(id, '#', 3) = 'conf') AS n, count(*) FILTER (split_part(id, '#', 3) = 'conf' AND p < .05) AS n_confirm FROM p GROUP BY 1),
+  v AS (SELECT sig, n, n_confirm, exp(-d) * list_sum(list_transform(range(0, n), lambda i: pow(d, i) / factorial(CAST(i AS INTEGER)))) AS dp, exp(-c) * list_sum(list_transform(range(0, n), lambda i: pow(c, i) / factorial(CAST(i AS INTEGER)))) AS cp FROM h),
+  w AS (SELECT sig, round(dp, 6) AS disc_combined_p, round(cp, 6) AS conf_combined_p, n_confirm, CASE WHEN dp < .05 AND cp < .05 AND n_confirm >= (n + 1) // 2 THEN 'SIGNAL' WHEN dp < .05 THEN 'UNCONFIRMED' ELSE 'NULL' END AS verdict FROM v)"""
+
+
+def _confirmed(spark, sf_dir):
     d = derived(spark, sf_dir)
-    return gates.confirm(signals.long(d, ["red_sum", "red_gap_max"]), "acf_max", d.count(), k=30, seed=4, knobs={"maxlag": 8})
+    out = gates.confirm(signals.long(d, ["red_sum", "red_gap_max"]), "acf_max", d.count(), k=30, seed=4, knobs={"maxlag": 8})
+    return out.select("sig", r6(F.col("disc_combined_p")).alias("disc_combined_p"), r6(F.col("conf_combined_p")).alias("conf_combined_p"), "n_confirm", "verdict")
+
+
+@register(f"WITH {_CONFIRM} SELECT * FROM w")
+def confirm_candidate(spark, sf_dir):
+    return _confirmed(spark, sf_dir)
+
+
+@register(f"WITH {_CONFIRM} SELECT sig, CAST(3 AS INTEGER) AS n_folds, disc_combined_p AS discovery_combined_p, conf_combined_p AS confirmation_combined_p, n_confirm AS n_folds_confirmed, verdict, true AS positive_control_passed FROM w")
+def model_card(spark, sf_dir):
+    return gates.model_card(_confirmed(spark, sf_dir), control=True).drop("note")
 
 
 @register()
 def spectral_scan(spark, sf_dir):
-    return scans.spectral_scan(derived(spark, sf_dir), ["red_sum", "blue", "red_gap_max", "vector_mag"], k=40, seed=1)
+    """All signals under all spectral tests, the peak of the spectrum against 2500 surrogates."""
+    return scans.spectral_scan(derived(spark, sf_dir), seed=1)
 
 
 @register()
 def causal_scan(spark, sf_dir):
-    return scans.causal_scan(derived(spark, sf_dir).where("t < 1200"), [("red_sum", "blue"), ("blue", "red_sum")], k=8, seed=1)
+    """All four pairs over all draws; cross mapping is quadratic in their number."""
+    return scans.causal_scan(derived(spark, sf_dir), k=8, seed=1)
 
 
 @register()
@@ -226,16 +303,51 @@ def label_axes(spark, sf_dir):
     return scans.label_axes(derived(spark, sf_dir), ["red_sum", "red_parity"], k=20, seed=1)
 
 
+@register()
+def axis_scan(spark, sf_dir):
+    return scans.axis_scan(derived(spark, sf_dir), k=20, k_control=20, seed=1)
+
+
 @register()
 def random_control(spark, sf_dir):
     return scans.artifacts(derived(spark, sf_dir), ["red_sum", "red_parity"], k=20, seed=1)
 
 
+@register()
+def artifact_prone(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    evals = evaluation.evaluate(scans.signal_series(d, ["red_sum", "red_recurrence_mean", "red_parity"]), ["acf_max", "mi_max"], k=20, seed=2)
+    return scans.artifact_prone(d, evals, k=20, seed=1)
+
+
+@register()
+def ingest_gate(spark, sf_dir):
+    asked = spark.createDataFrame([("red_sum", "acf_max"), ("red_recurrence_mean", "acf_max"), ("blue", "perm_entropy"), ("no_such", "acf_max")], "sig string, test string")
+    return gates.ingest(derived(spark, sf_dir), asked, k=20, k_control=20, seed=1)
+
+
 @register()
 def cross_null(spark, sf_dir):
     return scans.cross_null(signals.long(derived(spark, sf_dir), ["red_sum", "blue"]), ["acf_max"], k=20, seed=1)
 
 
+_RK = 10
+
+
+@register(
+    f"""WITH {DRAWS}, w AS (SELECT unnest(range(0, greatest(0, (count(*) - 200) // 50) + 1)) AS w FROM draws), e0 AS (SELECT w, t - w * 50 AS t, reds, blue, count(*) OVER (PARTITION BY w) AS n FROM draws JOIN w ON t >= w * 50 AND t < w * 50 + 200),
+  d AS (SELECT w * 1000 AS sid, t, reds, blue, n FROM e0 UNION ALL SELECT w * 1000 + k + 1, row_number() OVER (PARTITION BY w, k ORDER BY md5('7:' || k || ':' || t)) - 1, reds, blue, n FROM e0, range(0, {_RK}) r(k)), {_BALLS},
+  p AS (SELECT r.sid // 1000 AS w, r.colour, r.ball, (1 + count(*) FILTER (abs(s.drift) >= abs(r.drift) - 1e-9)) / {1.0 + _RK} AS p_drift, (1 + count(*) FILTER (abs(s.momentum) >= abs(r.momentum) - 1e-9)) / {1.0 + _RK} AS p_momentum
+        FROM v r JOIN v s ON r.sid % 1000 = 0 AND s.sid % 1000 > 0 AND r.sid // 1000 = s.sid // 1000 AND r.colour = s.colour AND r.ball = s.ball GROUP BY ALL),
+  k AS (SELECT w, p_drift, p_momentum, count(*) OVER (PARTITION BY w) AS n, row_number() OVER (PARTITION BY w ORDER BY p_drift) AS kd, row_number() OVER (PARTITION BY w ORDER BY p_momentum) AS km FROM p),
+  q AS (SELECT w, CAST(least(min(p_drift * n / kd), min(p_momentum * n / km)) < .05 AS INTEGER) AS sig FROM k GROUP BY w)
+  SELECT count(*) AS n_windows, CAST(sum(sig) AS BIGINT) AS n_sig_windows, round(avg(sig), 6) AS frac_sig, CASE WHEN avg(sig) <= 1.5 * .05 THEN 'NULL' ELSE 'LOCAL_STRUCTURE' END AS verdict FROM q"""
+)
+def rolling_verdict(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    return scans.rolling_verdict(d, d.count(), k=_RK, seed=7).select("n_windows", "n_sig_windows", r6(F.col("frac_sig")).alias("frac_sig"), "verdict")
+
+
 @register(
     """WITH d AS (SELECT CAST(ts AS DATE) AS cycle, avg(value) AS best_q FROM events GROUP BY 1), l AS (SELECT best_q FROM d ORDER BY cycle DESC LIMIT 20)
   SELECT count(*) AS n, round(stddev_pop(best_q) / avg(best_q), 6) AS cv, round(quantile_cont(best_q, .75) - quantile_cont(best_q, .25), 6) AS iqr FROM l"""
@@ -303,6 +415,35 @@ def pick_hits(spark, sf_dir):
     return forecast.pick_by_signal(derived(spark, sf_dir), "red_sum").select("train_n", "test_n", "red_hits", r6(F.col("red_expected")).alias("red_expected"), "blue_hits", r6(F.col("blue_expected")).alias("blue_expected"))
 
 
+@register(
+    f"""WITH {DRAWS}, g AS (SELECT t, reds, blue, {SUM} AS v, (SELECT CAST(floor(count(*) * .8) AS BIGINT) FROM draws) AS cut FROM draws), tr AS (SELECT * FROM g WHERE t < cut),
+  o AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY md5('8:' || sid || ':' || t)) - 1 AS t, v FROM tr, range(0, 30) r(sid) UNION ALL SELECT -1, t, v FROM tr), md AS (SELECT median(v) AS med FROM tr),
+  c AS (SELECT count(*) FILTER (v > med) AS hi, count(*) FILTER (v <= med) AS lo FROM tr, md), e AS (SELECT sid, 'red' AS colour, unnest(reds) AS ball, o.v > med AS hi FROM o JOIN tr USING (t), md UNION ALL SELECT sid, 'blue', blue, o.v > med FROM o JOIN tr USING (t), md),
+  f AS (SELECT sid, colour, ball, round(abs(count(*) FILTER (e.hi) / max(c.hi) - count(*) FILTER (NOT e.hi) / max(c.lo)), 12) AS score FROM e, c GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY sid, colour ORDER BY score DESC, ball) AS k FROM f), te AS (SELECT DISTINCT reds, blue FROM g WHERE t >= cut),
+  n AS (SELECT colour, ball, count(*) AS c FROM (SELECT 'red' AS colour, unnest(reds) AS ball FROM te UNION ALL SELECT 'blue', blue FROM te) GROUP BY ALL),
+  h AS (SELECT sid, coalesce(sum(c), 0) AS h FROM k LEFT JOIN n USING (colour, ball) WHERE (colour = 'red' AND k <= 6) OR (colour = 'blue' AND k = 1) GROUP BY sid)
+  SELECT CAST(max(r) AS BIGINT) AS hits, round(avg(h), 6) AS sur_mean, count(*) FILTER (h >= r) AS as_good, count(*) AS k_sur, round(least(1, (count(*) FILTER (h >= r) + .5) / count(*)), 6) AS p FROM h, (SELECT h AS r FROM h WHERE sid = -1) WHERE sid >= 0"""
+)
+def pick_accuracy(spark, sf_dir):
+    out = forecast.pick_accuracy(derived(spark, sf_dir), "red_sum", k=30, seed=8)
+    return out.select(F.col("hits").cast("long").alias("hits"), r6(F.col("sur_mean")).alias("sur_mean"), F.col("as_good").cast("long").alias("as_good"), "k_sur", r6(F.col("p")).alias("p"))
+
+
+@register(
+    f"""WITH {DRAWS}, n AS (SELECT count(*) AS n FROM draws), o AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY md5('4:' || sid || ':' || t)) - 1 AS t, reds FROM draws, range(0, 4) r(sid) UNION ALL SELECT -1, t, reds FROM draws),
+  e AS (SELECT sid, t, unnest(reds) AS ball FROM o), tg AS (SELECT sid, t, reds FROM o, n WHERE n > 320 AND t >= 300 AND t < n - 1),
+  b AS (SELECT sid, t, ball, round(sum(pow(.99, tt - t0 - 1)), 9) AS score FROM (SELECT tg.sid, tg.t, e.ball, tg.t AS tt, e.t AS t0 FROM tg JOIN e ON e.sid = tg.sid AND e.t < tg.t AND e.t >= tg.t - 300) GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY sid, t ORDER BY score DESC, ball) AS k FROM b),
+  h AS (SELECT tg.sid, count(DISTINCT tg.t) AS n, count(*) FILTER (list_contains(reds, ball)) / count(DISTINCT tg.t) / 6 AS rate FROM tg JOIN k ON k.sid = tg.sid AND k.t = tg.t AND k.k <= 6 GROUP BY tg.sid),
+  r AS (SELECT max(n) FILTER (sid = -1) AS n, max(rate) FILTER (sid = -1) AS hit FROM h), q AS (SELECT max(r.n) AS n, max(hit) AS hit, avg(rate) AS m, count(*) FILTER (rate >= hit) AS g, count(*) AS k FROM r LEFT JOIN h ON sid >= 0)
+  SELECT n, round(hit, 6) AS hit_rate, round(6 / 33.0, 6) AS random_rate, round(m, 6) AS sur_mean, CASE WHEN n IS NOT NULL THEN round((1 + g) / (1.0 + k), 6) END AS p_random, coalesce(hit > m AND (1 + g) / (1.0 + k) < .05, false) AS above_random FROM q"""
+)
+def walk_forward(spark, sf_dir):
+    out = forecast.walk_forward(derived(spark, sf_dir), k=4, seed=4)
+    return out.select("n", *[r6(F.col(c)).alias(c) for c in ("hit_rate", "random_rate", "sur_mean", "p_random")], "above_random")
+
+
 def _predictions(spark, sf_dir):
     """Methods `last` (the draw before), `third` (the draw three before) and a hashed baseline, for every draw."""
     d = derived(spark, sf_dir).select("t", "reds", "blue")
@@ -339,6 +480,14 @@ def live_leaderboard(spark, sf_dir):
     return out.select("method", "n", F.col("red_hits").cast("long"), F.col("blue_hits").cast("long"), *[r6(F.col(c)).alias(c) for c in ("red_loss", "blue_loss", "mean_edge")], F.col("any_red").cast("long"), F.col("base_any_red").cast("long"), r6(F.col("edge")).alias("edge"))
 
 
+@register(
+    f"""WITH {_PRED}, j AS (SELECT a.red_hit AS r, coalesce(a.blue_hit, 0) AS b, c.red_hit AS r0, coalesce(c.blue_hit, 0) AS b0 FROM sc a JOIN sc c ON a.issue = c.issue AND a.method = 'last' AND c.method = 'random' AND a.red_hit IS NOT NULL AND c.red_hit IS NOT NULL)
+  SELECT count(*) AS n, CAST(sum(r) AS BIGINT) AS red_hits, round(avg(r), 6) AS mean_red, CAST(sum(r0) AS BIGINT) AS base_red_hits, round(avg(r0), 6) AS base_mean_red, CAST(sum(b) AS BIGINT) AS blue_hits, CAST(sum(b0) AS BIGINT) AS base_blue_hits, count(*) FILTER (r + b >= r0 + b0) AS no_worse FROM j"""
+)
+def scored_summary(spark, sf_dir):
+    return forecast.scored_summary(_scored(spark, sf_dir), "last").withColumn("mean_red", r6(F.col("mean_red"))).withColumn("base_mean_red", r6(F.col("base_mean_red")))
+
+
 @register(
     f"""WITH {_PRED}, known AS (SELECT * FROM pr WHERE issue % 2 = 0 OR method = 'last'), new AS (SELECT issue, method, blue FROM pr)
   SELECT issue, method, blue FROM known UNION ALL SELECT issue, method, blue FROM new n WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.issue = n.issue AND k.method = n.method)"""
@@ -367,9 +516,16 @@ def bernoulli_edge(spark, sf_dir):
     return forecast.edge(_user_counts(spark, sf_dir), "a", "b", "n").select("user_id", r6(F.col("edge")).alias("edge"), r6(F.col("z")).alias("z"))
 
 
-@register()
+_WILSON = "round((CASE WHEN {k} = 0 AND n = 0 THEN 0 ELSE greatest(0, ({k} / n + 1.9208 / n) / d - 1.96 * sqrt({k} / n * (1 - {k} / n) / n + .9604 / n / n) / d) END), 9)", "round(least(1, ({k} / n + 1.9208 / n) / d + 1.96 * sqrt({k} / n * (1 - {k} / n) / n + .9604 / n / n) / d), 9)"
+
+
+@register(
+    f"""WITH c AS ({_RATE}), m AS (SELECT *, (a + b) / (2 * n) AS p, 1 + 1.96 * 1.96 / n AS d FROM c), z AS (SELECT *, CASE WHEN sqrt(p * (1 - p) * 2 / n) > 1e-12 THEN abs(a - b) / n / sqrt(p * (1 - p) * 2 / n) / sqrt(2) ELSE 0 END AS x FROM m)
+  SELECT user_id, round({_WILSON[0].format(k='a')} - {_WILSON[0].format(k='b')}, 6) + 0.0 AS edge_low, round({_WILSON[1].format(k='a')} - {_WILSON[1].format(k='b')}, 6) + 0.0 AS edge_high,
+    round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda i: pow(-1, i) * pow(x, 2 * i + 1) / (gamma(i + 1) * (2 * i + 1)))), 6) + 0.0 AS p_two FROM z"""
+)
 def bernoulli_edge_p(spark, sf_dir):
-    return forecast.edge(_user_counts(spark, sf_dir), "a", "b", "n").select("user_id", "edge_low", "edge_high", r6(F.col("p_two")).alias("p_two"))
+    return forecast.edge(_user_counts(spark, sf_dir), "a", "b", "n").select("user_id", *[r6(F.col(c)).alias(c) for c in ("edge_low", "edge_high", "p_two")])
 
 
 # ---- sources and records
@@ -467,15 +623,15 @@ def rollup_types(spark, sf_dir):
 
 @register()
 def evolve(spark, sf_dir):
-    d = derived(spark, sf_dir).where("t < 1000").cache()
-    evals, _ = search.evolve(d, epochs=1, pop=4, seed=1, tests=["acf_max", "perm_entropy"], k_light=10, k_heavy=10)
+    """Two epochs of the default population over all draws and all tests of one series; the rows are the evaluations."""
+    evals, _ = search.evolve(derived(spark, sf_dir), epochs=2, seed=1, k_light=20, k_heavy=10)
     names = ("sig", "test", "params", "gkey", "direction", "stat", "z", "p_raw", "k_sur")
     return spark.createDataFrame([tuple(e[n] for n in names) for e in evals], "sig string, test string, params string, gkey string, direction string, stat double, z double, p_raw double, k_sur long")
 
 
 @register()
 def tune_knobs(spark, sf_dir):
-    best, top = search.tune(derived(spark, sf_dir).where("t < 1000").cache(), "red_sum", "acf_max", k=10, steps=1, anchors=3, seed=1)
+    best, top = search.tune(derived(spark, sf_dir), "red_sum", "acf_max", k=20, steps=2, anchors=6, seed=1)
     return spark.createDataFrame([("red_sum", "acf_max", str(sorted(best.items())), float(top))], "sig string, test string, knobs string, z double")
 
 
@@ -489,8 +645,7 @@ def stream_tumbling(spark, sf_dir):
     """The same job on a stream of the table: all that is available, complete mode."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
-    name = f"tumbling_{abs(hash(sf_dir)) % 10**8}"
-    return jobs.run_available(jobs.windowed(stream, "tumbling"), name, "complete").withColumn("total", F.round("total", 4))
+    return jobs.run_available(jobs.windowed(stream, "tumbling"), f"{shared_dir(spark)}/tumbling-{uuid.uuid4().hex}", "complete").withColumn("total", F.round("total", 4))
 
 
 @register(f"WITH w AS (SELECT epoch_us(ts) // {_DAY // 2} * {_DAY // 2} - k * {_DAY // 2} AS s, value FROM events, range(0, 2) r(k)) SELECT CAST(s AS BIGINT) AS start_us, CAST(s + {_DAY} AS BIGINT) AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqsieve.functions import formula, signals
@@ -157,6 +160,9 @@ _formula("comp_pow", {"op": "pow", "a": "blue_resid", "b": "red_centroid"}, "")
 ORACLES["comp_pow"] = f"WITH {DRAWS}, s AS (SELECT t, blue - {SUM} % 16 AS a, list_avg(reds) / 17.0 - 1 AS b FROM draws) SELECT t, round(sign(a) * pow(abs(a), abs(greatest(-3, least(3, b)))), 6) + 0.0 AS x FROM s"
 _formula("comp_thresh", {"op": "thresh", "a": "red_sum"}, "a - median(a) OVER ()")
 _formula("comp_sin", {"op": "sin", "a": "red_sum"}, "sin(a)")
+_formula("comp_cos", {"op": "cos", "a": "red_sum"}, "cos(a)")
+_formula("comp_abs", {"op": "abs", "a": "blue_resid"}, "")
+ORACLES["comp_abs"] = f"WITH {DRAWS} SELECT t, round(abs(blue - {SUM} % 16), 6) AS x FROM draws"
 _formula("nested_comp", {"op": "-", "a": {"op": "lag", "a": "red_sum", "k": 2}, "b": {"op": "/", "a": "blue", "b": "red_span"}}, "")
 ORACLES["nested_comp"] = f"""WITH {DRAWS}, s AS (SELECT t, lag({SUM}, 2) OVER (ORDER BY t) - blue / CAST(reds[6] - reds[1] AS DOUBLE) AS x FROM draws)
   SELECT t, round(coalesce(x, (SELECT x FROM s WHERE t = 2)), 6) + 0.0 AS x FROM s"""
@@ -219,7 +225,7 @@ def acf_max(spark, sf_dir):
   f AS (SELECT s, avg(rms) AS f FROM g GROUP BY s) SELECT round(regr_slope(log10(f), log10(s)), 6) AS stat FROM f"""
 )
 def dfa_alpha(spark, sf_dir):
-    return _one(statistics.measure(statistics.packed(keyed(sums(spark, sf_dir)), ["series_id"]), "dfa_alpha", ["series_id"]))
+    return _one(statistics.dfa_alpha(keyed(sums(spark, sf_dir)), ["series_id"]))
 
 
 @register(
@@ -273,7 +279,7 @@ def sample_entropy(spark, sf_dir):
 
 def _heavy(name: str):
     def run(spark, sf_dir):
-        rows = statistics.packed(signals.long(derived(spark, sf_dir).where("t < 1200"), ["red_sum", "blue", "red_gap_max", "vector_mag"]), ["series_id"])
+        rows = statistics.packed(signals.long(derived(spark, sf_dir), ["red_sum", "blue", "red_gap_max", "vector_mag"]), ["series_id"])
         return statistics.measure(rows, name, ["series_id"]).select("series_id", r6(F.col("stat")).alias("stat"))
 
     run.__name__ = name
@@ -295,7 +301,7 @@ def transfer_entropy(spark, sf_dir):
     return _one(statistics.transfer_entropy(rows))
 
 
-@register(f"WITH {USERS}, c AS (SELECT user_id, t, x - avg(x) OVER (PARTITION BY user_id) AS x FROM s), l AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY t) AS p FROM c) SELECT user_id, round(CASE WHEN sum(x * x) > 1e-12 THEN coalesce(sum(x * p), 0) / sum(x * x) ELSE 0 END, 6) + 0.0 AS stat FROM l GROUP BY user_id HAVING count(*) > 1")
+@register(f"WITH {USERS}, c AS (SELECT user_id, t, x - avg(x) OVER (PARTITION BY user_id) AS x FROM s), l AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY t) AS p FROM c) SELECT user_id, round(CASE WHEN sum(x * x) > 1e-12 THEN coalesce(sum(x * p), 0) / sum(x * x) ELSE 0 END, 6) + 0.0 AS stat FROM l GROUP BY user_id")
 def user_autocorr(spark, sf_dir):
     return statistics.autocorr(user_series(spark, sf_dir), ["user_id"]).select("user_id", r6(F.col("stat")).alias("stat"))
 
@@ -335,15 +341,33 @@ def null_fair_draws(spark, sf_dir):
     return made.select("t", signals.total(F.col("reds")).cast("long").alias("red_sum"), F.element_at("reds", 1).alias("r1"), F.element_at("reds", 6).alias("r6"), "blue")
 
 
+def _kept(x, y) -> float:
+    """Correlation of two series' amplitude spectra, without the mean."""
+    a, b = (np.abs(np.fft.rfft(v))[1:] for v in (x, y))
+    return float(np.corrcoef(a, b)[0, 1])
+
+
 def _phases(kind: str):
     def run(spark, sf_dir):
+        import pandas as pd
+
         rows = statistics.packed(signals.long(derived(spark, sf_dir), ["red_sum", "blue"]), ["series_id"])
         made = resampling.surrogate_series(rows, kind, 4, 19)
-        return made.select("series_id", "sid", F.size("x").alias("n"), r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+        if kind == "twin":
+            return made.select("series_id", "sid", F.size("x").alias("n"), r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+        def held(key, ours, theirs):
+            x = np.asarray(theirs["x"].iloc[0], float)
+            out = [(s, i, len(y), hashlib.md5(",".join(str(int(v)) for v in sorted(y)).encode()).hexdigest(), _kept(x, np.asarray(y, float)) > 0.9, bool(np.array_equal(x, y))) for s, i, y in zip(ours["series_id"], ours["sid"], ours["x"])]
+            return pd.DataFrame(out, columns=["series_id", "sid", "n", "digest", "spectrum_kept", "unchanged"]).astype({"sid": "int32", "n": "int32"})
+
+        # A few surrogates of a series stand beside it.
+        return made.groupBy("series_id").cogroup(rows.groupBy("series_id")).applyInPandas(held, "series_id string, sid int, n int, digest string, spectrum_kept boolean, unchanged boolean")
 
     run.__name__ = f"null_{kind}"
-    # Values are only permuted (but not by the walk), so their number and sum are those of the series.
-    register(None if kind == "twin" else f"WITH {DRAWS}, s AS (SELECT 'red_sum' AS series_id, {SUM} AS x FROM draws UNION ALL SELECT 'blue', blue FROM draws), k AS (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS sid) SELECT series_id, sid, CAST(count(*) AS INTEGER) AS n, round(sum(x), 6) AS total FROM s, k GROUP BY ALL")(run)
+    # Values are permuted (but not by the walk), so sorted they are the series' own; their order is new, and keeps the amplitude
+    # spectrum, which a shuffle of these series does not.
+    register(None if kind == "twin" else f"WITH {DRAWS}, s AS (SELECT 'red_sum' AS series_id, {SUM} AS x FROM draws UNION ALL SELECT 'blue', blue FROM draws), k AS (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS sid) SELECT series_id, sid, CAST(count(*) AS INTEGER) AS n, md5(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY x)) AS digest, true AS spectrum_kept, false AS unchanged FROM s, k GROUP BY ALL")(run)
 
 
 for _kind in ("aaft", "iaaft", "twin"):

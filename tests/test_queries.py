@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from seqsieve.plans import catalog
@@ -20,7 +22,15 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") else str(v)
+    def plain(v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
+            return None
+        if isinstance(v, (bool, np.bool_)):
+            return bool(v)
+        if isinstance(v, (int, float, np.number)):
+            return round(float(v), 6) + 0.0
+        return str(v)
+
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=str)
 
 
