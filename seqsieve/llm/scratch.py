@@ -40,6 +40,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(path: str) -> None:
+    """Leave a scratch table to its reader: release() does not delete it any more."""
+    if path in _written:
+        _written.remove(path)
+
+
 def release(spark: SparkSession, keep: list[str] = ()) -> None:
     """Delete the scratch tables of this process but for those to keep; call it once no result that reads them is needed."""
     jvm = spark.sparkContext._jvm
