@@ -613,6 +613,103 @@ def untried(spark, sf_dir):
     return governance.untried(e.select("gkey").distinct(), e.where("value > 50").select("gkey"))
 
 
+@register("WITH d AS (SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS cycle_id, max(value) > 150 AS alert, avg(value) AS best_q, list(DISTINCT event_type) FILTER (value > 140) AS prone FROM events GROUP BY 1), l AS (SELECT * FROM d ORDER BY cycle_id DESC LIMIT 24) SELECT count(*) AS n, max(cycle_id) AS last_cycle, round(arg_max(best_q, cycle_id), 6) AS best_q, count(*) FILTER (alert) AS alerts, coalesce((SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT unnest(prone) AS p FROM l)), '') AS artifacts FROM l")
+def digest_rollup(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("cycle_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long"))
+    history = e.groupBy("cycle_id").agg((F.max("value") > 150).alias("alert"), F.avg("value").alias("best_q"), F.collect_set(F.when(F.col("value") > 140, F.col("event_type"))).alias("artifact_prone"))
+    return gates.digest(history).withColumn("best_q", r6(F.col("best_q"))).withColumn("alerts", F.col("alerts").cast("long"))
+
+
+@register(
+    f"""WITH {_USER_P}, f AS (SELECT CAST(user_id AS VARCHAR) AS sig, event_type AS test, p_raw AS disc_p, CASE user_id % 4 WHEN 0 THEN 'SIGNAL' WHEN 1 THEN 'UNCONFIRMED' WHEN 2 THEN 'NULL' END AS wf_verdict FROM p),
+  g AS (SELECT *, CASE WHEN wf_verdict IN ('SIGNAL', 'UNCONFIRMED') THEN wf_verdict WHEN disc_p < .05 THEN 'UNCONFIRMED' ELSE 'NULL' END AS gate FROM f)
+  SELECT sig, test, gate, CAST(row_number() OVER (ORDER BY CASE gate WHEN 'SIGNAL' THEN 0 WHEN 'UNCONFIRMED' THEN 1 ELSE 2 END, disc_p, sig, test) AS INTEGER) AS place FROM g"""
+)
+def formula_records(spark, sf_dir):
+    kind = F.col("user_id") % 4
+    found = _user_p(spark, sf_dir).select(F.col("user_id").cast("string").alias("sig"), F.col("event_type").alias("test"), F.col("p_raw").alias("disc_p"), F.when(kind == 0, "SIGNAL").when(kind == 1, "UNCONFIRMED").when(kind == 2, "NULL").alias("wf_verdict"))
+    return governance.formula_records(found).select("sig", "test", "gate", "place")
+
+
+@register(
+    f"""WITH {_STATE}, x AS (SELECT cycle_id, q AS best_q, p * 10 AS spectral_q, CASE WHEN nc = 1 THEN 1.0 ELSE .5 END AS hit, CASE WHEN na = 1 THEN 1.0 ELSE .4 END AS sm, CASE WHEN wf IS NULL THEN .97 ELSE .3 END AS op, n_eval AS op_n, nc > 1 AS above, ok AS cc FROM s),
+  d AS (SELECT *, avg(best_q) OVER w AS m, count(best_q) OVER w AS c FROM x WINDOW w AS (ORDER BY cycle_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+  SELECT cycle_id, CAST(3 * (hit = 1 AND sm >= .99 AND op >= .95)::INT + (op_n < 30)::INT + 3 * (hit >= .99 AND op >= .95)::INT + (op_n < 30)::INT + (c >= 3 AND abs(best_q - m) > .15)::INT + 2 * (best_q < .05 AND cc AND NOT above)::INT + 2 * (best_q >= .05 AND spectral_q < .01)::INT AS INTEGER) AS score FROM d"""
+)
+def self_check(spark, sf_dir):
+    s = _states(spark, sf_dir)
+    hit = F.when(F.col("wf_n_confirm") == 1, 1.0).otherwise(0.5)
+    p = F.when(F.col("wf_verdict").isNull(), 0.97).otherwise(0.3)
+    state = s.select(F.col("cycle_id").cast("long").alias("cycle_id"), "best_q", (F.col("best_p") * 10).alias("spectral_q"), hit.alias("hit_rate"), F.when(F.col("n_artifact") == 1, 1.0).otherwise(0.4).alias("sur_mean"), p.alias("oos_p"), F.col("n_eval").alias("oos_n"), (F.col("wf_n_confirm") > 1).alias("above_random"), F.col("control_verified").alias("cross_consistent"), p.alias("oot_p"), hit.alias("oot_hit"), F.col("n_eval").alias("oot_n"))
+    return governance.self_check(state).select("cycle_id", "score")
+
+
+@register(
+    f"""WITH {_USER_P}, e AS (SELECT user_id || ':' || event_type AS gkey, event_type AS family, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END * round(p_raw * 10 - 5, 9) AS x FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY x DESC, gkey) AS k FROM e)
+  SELECT gkey, family, round(x, 6) + 0.0 AS extremity FROM k WHERE k <= 3 ORDER BY x DESC, gkey LIMIT 12"""
+)
+def diverse_elites(spark, sf_dir):
+    e = _user_p(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("gkey"), F.col("event_type").alias("family"), F.when(F.col("event_type").isin("click", "view"), "high").otherwise("low").alias("direction"), F.round(F.col("p_raw") * 10 - 5, 9).alias("z"))
+    return governance.diverse(e).select("gkey", "family", r6(F.col("extremity")).alias("extremity"))
+
+
+@register(
+    f"""WITH {_USER_P}, a AS (SELECT user_id || ':' || event_type AS gkey, 'f' || (user_id % 3) AS fingerprint, 40 AS k, 'shuffle' AS null_type, 0 AS seed, p_raw FROM p), c AS (SELECT gkey, fingerprint, k, null_type, CAST(length(gkey) % 2 AS INTEGER) AS seed, p_raw FROM a)
+  SELECT gkey, true AS hit, round(p_raw, 6) AS p_raw FROM c WHERE seed = 0 UNION ALL SELECT gkey, false, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.gkey = a.gkey AND c.seed = a.seed)"""
+)
+def eval_cache(spark, sf_dir):
+    asked = _user_p(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("gkey"), F.concat(F.lit("f"), (F.col("user_id") % 3).cast("string")).alias("fingerprint"), F.lit(40).alias("k"), F.lit("shuffle").alias("null_type"), F.lit(0).alias("seed"), "p_raw")
+    hits, misses = governance.cached(asked.drop("p_raw"), asked.withColumn("seed", (F.length("gkey") % 2).cast("int")))
+    return hits.select("gkey", F.lit(True).alias("hit"), r6(F.col("p_raw")).alias("p_raw")).union(misses.select("gkey", F.lit(False), F.lit(None).cast("double")))
+
+
+@register(
+    """WITH o AS (SELECT event_id AS op_id, CASE event_type WHEN 'click' THEN 'absorb' WHEN 'view' THEN 'propose' ELSE 'correct_bias' END AS kind, CASE WHEN user_id % 5 = 0 THEN [] WHEN user_id % 5 = 1 THEN ['made_up'] ELSE ['ingest_fate', 'failure_taxonomy'] END AS src,
+    CASE WHEN user_id % 3 = 0 THEN ['sigmap_injection'] ELSE ['nowhere'] END AS snk, CASE WHEN event_type = 'error' THEN ['train_auc', 'bh_fdr_q'] ELSE ['bh_fdr_q'] END AS used, CASE WHEN value > 100 THEN 'backtest_fit' END AS aim FROM events),
+  f AS (SELECT op_id, (len(src) = 0)::INT + len(list_filter(src, lambda x: x = 'made_up')) + CASE WHEN kind <> 'propose' THEN len(list_filter(snk, lambda x: x = 'nowhere')) ELSE 0 END + len(list_filter(used, lambda x: x = 'train_auc')) + coalesce((aim = 'backtest_fit')::INT, 0) AS n FROM o)
+  SELECT op_id, CAST(n AS INTEGER) AS n_findings, CASE WHEN n > 0 THEN 'ALERT' ELSE 'OK' END AS verdict FROM f"""
+)
+def learning_audit(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "absorb").when(F.col("event_type") == "view", "propose").otherwise("correct_bias")
+    texts = lambda *names: F.array(*map(F.lit, names))
+    fifth = F.col("user_id") % 5
+    src = F.when(fifth == 0, F.array().cast("array<string>")).when(fifth == 1, texts("made_up")).otherwise(texts("ingest_fate", "failure_taxonomy"))
+    snk = F.when(F.col("user_id") % 3 == 0, texts("sigmap_injection")).otherwise(texts("nowhere"))
+    used = F.when(F.col("event_type") == "error", texts("train_auc", "bh_fdr_q")).otherwise(texts("bh_fdr_q"))
+    ops = table(spark, sf_dir, "events").select(F.col("event_id").alias("op_id"), kind.alias("kind"), src.alias("input_sources"), snk.alias("output_sinks"), used.alias("used_feedback"), F.when(F.col("value") > 100, "backtest_fit").alias("objective"))
+    return governance.learning_audit(ops)
+
+
+@register("WITH r AS (SELECT CAST(ts AS DATE) AS d, user_id, event_type, (1 + count(*) FILTER (value > 50)) / (1.0 + count(*)) AS p FROM events GROUP BY ALL) SELECT user_id, event_type, round(p, 6) AS p_raw FROM r WHERE d = (SELECT max(d) FROM r)")
+def latest_p(spark, sf_dir):
+    from seqsieve.sources import logs
+
+    e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("run_id"), "user_id", "event_type").agg(((1 + F.sum((F.col("value") > 50).cast("int"))) / (1 + F.count(F.lit(1)))).alias("p_raw"))
+    return logs.latest(e, "run_id").select("user_id", "event_type", r6(F.col("p_raw")).alias("p_raw"))
+
+
+@register("WITH n AS (SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY event_type) AS BIGINT) AS id, event_type, n, round(total, 4) AS total FROM n WHERE event_type < 'm' UNION ALL SELECT (SELECT count(*) FROM n WHERE event_type < 'm') + row_number() OVER (ORDER BY event_type), event_type, n, round(total, 4) FROM n WHERE event_type >= 'm'")
+def run_tables(spark, sf_dir):
+    """Two appends to a run table, with ids that go on."""
+    from seqsieve.sources import logs
+
+    runs = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    logs.append_numbered(runs.where("event_type < 'm'"), path, "event_type")
+    logs.append_numbered(runs.where("event_type >= 'm'"), path, "event_type")
+    return spark.read.parquet(path)
+
+
+@register(f"WITH {DRAWS} SELECT lpad(CAST(issue AS VARCHAR), 9, '0') AS issue, reds[1] AS r1, reds[6] AS r6, blue FROM draws WHERE blue <> 13")
+def csv_snapshot(spark, sf_dir):
+    """Draws written as CSV text, some of them spoilt, refreshed to a clean snapshot in order, and read back."""
+    d = derived(spark, sf_dir).withColumn("issue", F.lpad(F.col("issue").cast("string"), 9, "0"))
+    raw, clean = (f"{shared_dir(spark)}/csv-{k}-{uuid.uuid4().hex}" for k in ("raw", "clean"))
+    draw_source.flat(d).withColumn("b", F.when(F.col("b") == 13, "x").otherwise(F.col("b").cast("string"))).write.csv(raw, header=True)
+    draw_source.refresh(spark, raw, clean)
+    return draw_source.read_csv(spark, clean, strict=True).select("issue", F.element_at("reds", 1).alias("r1"), F.element_at("reds", 6).alias("r6"), "blue")
+
+
 @register("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP (user_id, event_type)")
 def rollup_types(spark, sf_dir):
     return table(spark, sf_dir, "events").rollup("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -50,6 +50,11 @@ def write_csv(draws: DataFrame, path: str) -> None:
     flat(draws).sortWithinPartitions("issue").write.mode("overwrite").csv(path, header=True)
 
 
+def refresh(spark: SparkSession, raw: str, clean: str) -> None:
+    """A snapshot of a CSV table: rows that are no draws go, the others are written in order of issue."""
+    flat(read_csv(spark, raw)).repartitionByRange("issue").sortWithinPartitions("issue").write.mode("overwrite").csv(clean, header=True)
+
+
 def newer(master: DataFrame, fresh: DataFrame, key: str = "issue") -> DataFrame:
     """Rows of fresh after the largest key of master, keys compared as text; all of them if master is empty."""
     last = master.agg(F.max(F.col(key).cast("string")).alias("_last"))

@@ -21,6 +21,29 @@ def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def append_numbered(rows: DataFrame, path: str, order: str, name: str = "id") -> int:
+    """Append rows with ids that go on from the table's largest, in order within what is appended (a run's rows: few); the number
+    of rows. One writer at a time."""
+    from pyspark.sql import Window
+
+    spark = rows.sparkSession
+    try:
+        last = spark.read.parquet(path).agg(F.max(name)).first()[0] or 0
+    except Exception as e:  # no table yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        last = 0
+    numbered = rows.select((F.row_number().over(Window.orderBy(order)) + F.lit(last)).cast("long").alias(name), *rows.columns)
+    numbered.write.mode("append").parquet(path)
+    return spark.read.parquet(path).agg(F.max(name)).first()[0] - last if numbered.head(1) else 0
+
+
+def latest(evals: DataFrame, run: str = "run_id") -> DataFrame:
+    """The evaluations of the last run: one aggregate, then a filter."""
+    last = evals.agg(F.max(run).alias("_last"))
+    return evals.join(F.broadcast(last), F.col(run) == F.col("_last")).drop("_last")
+
+
 def recent(runs: DataFrame, n: int, order: str = "id") -> DataFrame:
     """The last n rows: a top-k, not a sort of the whole table."""
     return runs.orderBy(F.col(order).desc()).limit(n)
