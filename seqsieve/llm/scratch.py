@@ -6,32 +6,31 @@ recomputation, and a Python pass over long texts runs once however many branches
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
-
+from seqsieve.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a new local one in local mode (tests, notebooks), whose tasks
-    run on this machine; on a cluster an error, as executors would not see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqsieve-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+_written: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/seqsieve-{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_at_exit)
     _written.append(path)
     return path
 
 
+def _at_exit() -> None:
+    """What is left of a process's tables goes with it, while its session lives."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to a scratch table and return a scan of that table."""
     spark = df.sparkSession

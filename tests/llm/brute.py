@@ -105,4 +105,50 @@ def top_scores(vectors, every=50, k=5):
     return sorted(out)
 
 
+M = (1 << 32) - 1
+
+
+def subwords_of(token, sizes, buckets):
+    """[(bucket, weight)] and number of words of one token, letter by letter."""
+    text = "\n" + token.lower().replace("\n", " ") + "\n"
+    words, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        if end > at:
+            words.append((at, end))
+        at = max(end, at + 1)
+    mark = lambda i: ord(text[i]) if text[i].isalnum() else 1
+    out = []
+    for a, z in words:
+        own = []
+        for n in sizes:
+            for i in range(len(text) - n + 1):
+                if not a <= i + 1 < z or not all(text[i + k].isalnum() for k in range(1, max(2, n - 1))):
+                    continue
+                h = mark(i) * 0x9E3779B1 & M
+                for k in range(1, n):
+                    h = (h ^ mark(i + k)) * 0x01000193 & M
+                own.append(((h ^ h >> 15 ^ (n * 0x85EBCA6B & M)) * 0x2C1B3C6D & M) >> 7)
+        w = sum(((ord(text[i]) * (2 * (i - a) + 1) * 0x9E3779B1) ^ (ord(text[i]) << 7)) & M for i in range(a, z)) & M
+        own.append(((w ^ w >> 13) * 0x5BD1E995 & M) >> 7)
+        out += [(x % buckets, 1 / len(own)) for x in own]
+    return out, len(words)
+
+
+def class_chances(model, text):
+    """Softmax of a subword model over a whole text, summed subword by subword."""
+    total, words = [0.0] * len(model.classes), 0
+    for token in (text or "").encode().split():
+        found, n = subwords_of(token.decode(), model.sizes, len(model.table))
+        words += n
+        for bucket, weight in found:
+            for k in range(len(total)):
+                total[k] += float(model.table[bucket, k]) * weight
+    z = [(t / max(1, words) + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    return [v / sum(e) for v in e]
+
+
 __all__ = [x for x in dir() if not x.startswith("_")] + ["Counter"]

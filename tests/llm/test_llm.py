@@ -473,6 +473,13 @@ def test_toxicity(spark):
     assert np.mean([(s >= 0.3) == t for s, t in held]) > 0.95
     score = {r.doc_id: r.score for r in out}
     assert score[902] > score[901] and score[900] == score[901]
+    for r, (_, text) in zip(toxicity.score(docs.coalesce(1), model).collect(), docs.coalesce(1).select("doc_id", "text").collect()):
+        assert abs(r.score - brute.class_chances(model, text)[1]) < 1e-6
+    # Of several texts under a labelled id one is learned from, whatever the order of the rows; conflicting labels count as toxic.
+    several = docs_of(spark, [r[:2] for r in rows] + [(i, words(10, 7000 + i)) for i in range(0, 400, 3)])
+    both = known.union(spark.createDataFrame([(i, 0, 1) for i in range(1, 40, 4)], known.schema))
+    one, two = (toxicity.fit(several.repartition(n), both) for n in (2, 5))
+    assert np.array_equal(one.table, two.table) and not np.array_equal(one.table, model.table)
     assert toxicity.reject(docs, model).columns == docs.columns
     assert toxicity.score(docs_of(spark, []), toxicity.fit(docs_of(spark, []), known)).count() == 0
     assert all(r.predicted == 0 for r in toxicity.score(docs, toxicity.fit(docs, known.limit(0))).collect())
@@ -491,6 +498,19 @@ def test_language(spark):
     assert len(held) > 20 and all(a == b for a, b in held)
     assert out[900].lang_pred == out[901].lang_pred == out[902].lang_pred == "und" and out[900].score == 0
     assert out[None].lang_pred == "cc" and out[903].lang_pred == "bb"
+    model, reject = langid.fit(frame)
+    odd = ["", make("aa"), "É" * 300 + " x1y2", "a-b_c'd é9", make("cc") * 200, "日本 語"]
+    wide = spark.createDataFrame([(i, t, "x", 0.5, "q", True) for i, t in enumerate(odd * 2)], "doc_id long, text string, lang string, score double, lang_pred string, held_out boolean").coalesce(1)
+    got = langid.predict(wide, model, reject).collect()
+    assert len(got) == 12
+    for r, t in zip(got, odd * 2):
+        chances = brute.class_chances(model, t)
+        if any(c.isalpha() for c in t):
+            assert r.lang_pred == model.classes[int(np.argmax(chances))] and abs(r.score - max(chances)) < 1e-6
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+    few = langid.fit(frame, most=30)[0]
+    assert few.classes == model.classes and not np.array_equal(few.table, model.table)
     empty = frame.limit(0)
     assert langid.predict(empty, *langid.fit(empty)).count() == 0
     assert {r.lang_pred for r in langid.predict(frame, *langid.fit(empty)).collect()} == {"und"}
@@ -501,6 +521,7 @@ def test_pipeline(spark, tmp_path):
 
     rng = np.random.default_rng(9)
     rows = [(i, words(200 + i, i), f"s{i % 5}") for i in range(60)]
+    rows += [(104, words(60_000, 88), "s1"), (5, rows[5][1], rows[5][2])]
     rows += [(100, rows[3][1].upper(), "s1"), (101, rows[5][1] + " tail", "s2"), (102, None, None), (103, "", "s1"), (None, words(50, 77), "s0"), (7, rows[7][1], "s2")]
     for i in range(120):
         text = words(80, 500 + i).split()
@@ -532,7 +553,12 @@ def test_pipeline(spark, tmp_path):
     assert sorted(i for i in kept["simhash_near_dedup"] if i is not None) == sorted(set(component))
     assert len(set(kept["mix_sources"])) <= len(kept["simhash_near_dedup"])
     assert set(kept["packing"]) == set(kept["mix_sources"])
+    assert 104 in kept["mix_sources"] and kept["exact_dedup"].count(5) == 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["packing"])
+    none = tmp_path / "none"
+    docs_of(spark, []).write.parquet(str(none / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(none / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
 
 
 def test_queries_and_oracles_agree(spark):
