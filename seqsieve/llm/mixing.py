@@ -123,6 +123,7 @@ def schedule(spark, plan: DataFrame, total: float, block: int, chunk: int = 4096
     points = spark.range(n).withColumn("point", turns.cast("double") / F.lit(float(1 << 64)))
     points = points.withColumn("cell", F.floor(F.col("point") * cells_n))
     placed = points.join(cells, "cell").where("point >= low and point < upto").select(F.col("id").alias("slot"), "ordinal").withColumn("one", F.lit(1)).withColumn("stretch", F.floor(F.col("slot") / chunk))
+    placed = written(placed, "placed")  # summed three ways
     ranked = _running(placed, ["ordinal"], "stretch", ["slot"], "one", "rank").select("ordinal", "rank", "slot")
     have = placed.groupBy("ordinal").agg(F.count(F.lit(1)).alias("have"))
     closing = need.join(have, "ordinal", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("need > have")
