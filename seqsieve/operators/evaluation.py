@@ -99,27 +99,21 @@ def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str =
     of their starts, and the least of the later parts goes to the earlier ones, so no task sorts all of them. The evaluations,
     and what is found of them on the way, are written first, as each is read more than once.
     """
-    keys = list(keys)
-    evals = written(evals, "evals")
-    counts = evals.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    edges = counts.groupBy(*keys).agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)], 1000).alias("_e"), F.sum("_c").alias("_n"))
-    rows = counts.join(edges, keys) if keys else series.with_scalars(counts, edges)
-    rows = written(rows.withColumn("_part", F.size(F.filter("_e", lambda e: e < F.col("_p")))).drop("_e"), "p-values")
-    own = Window.partitionBy(*keys, "_part")
-    sums = rows.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))
-    along = Window.partitionBy(*keys).orderBy("_part")  # at most `parts` rows for each key
-    sums = sums.select(*keys, "_part", (F.sum("_s").over(along) - F.col("_s")).alias("_before"))
-    rows = rows.join(sums, [*keys, "_part"])
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))  # compares nulls as equal
+    evals = written(evals.withColumn("_g", group), "evals")
+    counts = evals.where(F.col(p).isNotNull()).groupBy("_g", F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    edges = counts.groupBy("_g").agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)], 1000).alias("_e"), F.sum("_c").alias("_n"))
+    rows = counts.join(edges, "_g").withColumn("_part", F.size(F.filter("_e", lambda e: e < F.col("_p")))).drop("_e")
+    rows = written(rows, "p-values")
+    own, along = Window.partitionBy("_g", "_part"), Window.partitionBy("_g").orderBy("_part")  # at most `parts` parts of a group
+    sums = rows.groupBy("_g", "_part").agg(F.sum("_c").alias("_s")).select("_g", "_part", (F.sum("_s").over(along) - F.col("_s")).alias("_before"))
+    rows = rows.join(sums, ["_g", "_part"])
     rows = written(rows.withColumn("_q", F.col("_p") * F.col("_n") / (F.col("_before") + F.sum("_c").over(own.orderBy("_p")))), "q-values")
-    least = rows.groupBy(*keys, "_part").agg(F.min("_q").alias("_m"))
-    later = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(least.select(*keys, "_part", F.min("_m").over(later).alias("_after")), [*keys, "_part"])
+    later = Window.partitionBy("_g").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = rows.groupBy("_g", "_part").agg(F.min("_q").alias("_m")).select("_g", "_part", F.min("_m").over(later).alias("_after"))
     q = F.least(F.lit(1.0), F.min("_q").over(own.orderBy(F.col("_p").desc())), F.col("_after"))
-    found = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_p", F.greatest(F.lit(0.0), q).alias(name))
-    same = F.col(p) == F.col("_p")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return evals.join(found, same, "left").drop("_p", *[f"_k{i}" for i in range(len(keys))])
+    found = rows.join(least, ["_g", "_part"]).select(F.col("_g").alias("_h"), "_p", F.greatest(F.lit(0.0), q).alias(name))
+    return evals.join(found, (F.col("_g") == F.col("_h")) & (F.col(p) == F.col("_p")), "left").drop("_g", "_h", "_p")
 
 
 def fisher(rows: DataFrame, keys: list[str], p: str = "p_raw") -> DataFrame:

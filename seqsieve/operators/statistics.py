@@ -59,6 +59,7 @@ def dfa_alpha(df: DataFrame, keys: list[str]) -> DataFrame:
     part = part.groupBy(*keys, "_s", "_g").agg(F.sqrt(F.greatest(F.lit(0.0), F.var_pop("_y") * (1 - line * line))).alias("_r"))
     f = part.groupBy(*keys, "_s").agg(F.log10(F.greatest(F.avg("_r"), F.lit(1e-300))).alias("_f"))
     out = f.groupBy(*keys).agg(F.regr_slope("_f", F.log10(F.col("_s").cast("double"))).alias("stat"), F.count(F.lit(1)).alias("_c"))
+    out = one.select(*keys).join(out, keys, "left") if keys else out
     return out.select(*keys, F.when(F.col("_c") >= 3, F.col("stat")).alias("stat"))
 
 
