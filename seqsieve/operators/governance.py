@@ -144,6 +144,26 @@ def cached(asked: DataFrame, cache: DataFrame, keys=("gkey", "fingerprint", "k",
     return cache.join(asked.select(*keys).distinct(), keys, "left_semi"), asked.join(cache.select(*keys), keys, "left_anti")
 
 
+def trend(history: DataFrame, last: int = 5, order: str = "cycle_id", value: str = "best_q") -> DataFrame:
+    """(cycle, value, moving mean over the last cycles, change from the cycle before): what a trend chart shows. A row a cycle."""
+    from pyspark.sql import Window
+
+    along = Window.orderBy(order)
+    moving = F.avg(value).over(along.rowsBetween(1 - last, 0))
+    return history.select(order, value, moving.alias("moving"), (F.col(value) - F.lag(value).over(along)).alias("change"))
+
+
+def kpi(history: DataFrame, order: str = "cycle_id") -> DataFrame:
+    """One row of what matters about history(cycle_id, best_q, n_eval, alert, wf_verdict)."""
+    n = F.count(F.lit(1))
+    return history.agg(n.alias("cycles"), F.max_by("best_q", order).alias("last_q"), F.min("best_q").alias("least_q"), F.sum("n_eval").alias("evaluations"), F.coalesce(F.sum(F.coalesce(F.col("alert"), F.lit(False)).cast("int")), F.lit(0)).alias("alerts"), F.avg(F.coalesce(F.col("wf_verdict") == "SIGNAL", F.lit(False)).cast("double")).alias("signal_share"))
+
+
+def leaderboard(evals: DataFrame, most: int = 20) -> DataFrame:
+    """The best evaluations by q, then p, then key: a top-k."""
+    return evals.orderBy(F.col("q").asc_nulls_last(), F.col("p_raw").asc_nulls_last(), "gkey").limit(most)
+
+
 # Signals that learning may take as its aim, those it must not, where its input comes from and its output goes.
 FEEDBACK = frozenset({"oot_blind_p", "bh_fdr_q", "random_control_label", "null_positive_control", "zero_hypothesis_cross", "wf_verdict"})
 FORBIDDEN = frozenset({"in_sample_accuracy", "backtest_fit", "train_auc", "discovery_only_p", "any_discovery_only_metric"})

@@ -680,6 +680,34 @@ def learning_audit(spark, sf_dir):
     return governance.learning_audit(ops)
 
 
+@register(f"WITH {_STATE} SELECT cycle_id, round(q, 6) AS best_q, round(avg(q) OVER (ORDER BY cycle_id ROWS 4 PRECEDING), 6) AS moving, round(q - lag(q) OVER (ORDER BY cycle_id), 6) + 0.0 AS change FROM s")
+def trend(spark, sf_dir):
+    out = governance.trend(_states(spark, sf_dir).withColumn("cycle_id", F.col("cycle_id").cast("long")))
+    return out.select("cycle_id", *[r6(F.col(c)).alias(c) for c in ("best_q", "moving", "change")])
+
+
+@register(f"WITH {_STATE} SELECT count(*) AS cycles, round(arg_max(q, cycle_id), 6) AS last_q, round(min(q), 6) AS least_q, CAST(sum(n_eval) AS BIGINT) AS evaluations, count(*) FILTER (alert) AS alerts, round(avg(CASE WHEN wf = 'SIGNAL' THEN 1 ELSE 0 END), 6) AS signal_share FROM s")
+def kpi(spark, sf_dir):
+    out = governance.kpi(_states(spark, sf_dir))
+    return out.select("cycles", r6(F.col("last_q")).alias("last_q"), r6(F.col("least_q")).alias("least_q"), "evaluations", F.col("alerts").cast("long").alias("alerts"), r6(F.col("signal_share")).alias("signal_share"))
+
+
+@register(f"WITH {_USER_P}, k AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p_raw, user_id, event_type) AS k FROM p), q AS (SELECT user_id || ':' || event_type AS gkey, p_raw, min(least(1, p_raw * n / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS q FROM k) SELECT gkey, round(p_raw, 6) AS p_raw, round(q, 6) AS q FROM q ORDER BY round(q, 12), round(p_raw, 12), gkey LIMIT 20")
+def top_evaluations(spark, sf_dir):
+    rows = evaluation.bh_fdr(_user_p(spark, sf_dir)).select(F.concat_ws(":", "user_id", "event_type").alias("gkey"), F.round("p_raw", 12).alias("p_raw"), F.round("q", 12).alias("q"))
+    return governance.leaderboard(rows).select("gkey", r6(F.col("p_raw")).alias("p_raw"), r6(F.col("q")).alias("q"))
+
+
+@register("WITH c AS (SELECT user_id % 7 AS seed, event_type AS sig, CAST(user_id % 3 AS VARCHAR) AS test, 'p' || (event_id % 5) AS params, round(value / 1000, 6) AS p_raw FROM events) SELECT sig, test, params, min(p_raw) AS p_raw, count(DISTINCT seed) AS seeds FROM c GROUP BY ALL")
+def merged_candidates(spark, sf_dir):
+    from seqsieve.sources import logs
+
+    e = table(spark, sf_dir, "events")
+    p = F.round(F.col("value") / 1000, 6)
+    rows = e.select((F.col("user_id") % 7).alias("seed"), F.col("event_type").alias("sig"), (F.col("user_id") % 3).cast("string").alias("test"), F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string")).alias("params"), p.alias("p_raw"), p.alias("z"), F.lit("light").alias("tier"))
+    return logs.merged(rows).select("sig", "test", "params", "p_raw", "seeds")
+
+
 @register("WITH r AS (SELECT CAST(ts AS DATE) AS d, user_id, event_type, (1 + count(*) FILTER (value > 50)) / (1.0 + count(*)) AS p FROM events GROUP BY ALL) SELECT user_id, event_type, round(p, 6) AS p_raw FROM r WHERE d = (SELECT max(d) FROM r)")
 def latest_p(spark, sf_dir):
     from seqsieve.sources import logs

@@ -17,6 +17,14 @@ def read_candidates(spark: SparkSession, glob: str) -> DataFrame:
     return files.select("meta.seed", F.explode("candidates").alias("c")).select("seed", "c.*")
 
 
+def merged(candidates: DataFrame) -> DataFrame:
+    """Candidates of several seeds as one list: a row for each (sig, test, params), with its least p, its z there and how many
+    seeds found it."""
+    best = F.min(F.struct(F.coalesce("p_raw", F.lit(1.0)).alias("p_raw"), F.abs("z").alias("far"), F.col("z").alias("z"), F.col("tier").alias("tier")))
+    one = candidates.groupBy("sig", "test", "params").agg(best.alias("b"), F.countDistinct("seed").alias("seeds"))
+    return one.select("sig", "test", "params", "b.p_raw", "b.z", "b.tier", "seeds")
+
+
 def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
