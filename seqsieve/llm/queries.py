@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, sharding, simhash, token_files, topk, toxicity
+from . import alignment, exact_dedup, langid, line_dedup, main_text, mixing, packing, periodic, sharding, simhash, token_files, topk, toxicity
 from .scratch import scratch_path
 from .tokens import vocabulary_path
 
@@ -63,6 +63,19 @@ def op10_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op12_pointer_jump_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = {"a_path": vocabulary_path(alignment.A_VOCABULARY), "b_path": vocabulary_path(alignment.B_VOCABULARY)}
+    return alignment.align(_table(spark, sf_dir, "documents"), **paths, with_groups=False)
+
+
+def op13_synchronising_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(_table(spark, sf_dir, "documents"), tail=periodic.stated_tail, with_runs=False).drop("n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +95,9 @@ QUERIES = {
         op8_simhash_multi_index,
         op9_best_fit_packing,
         op10_golden_ratio_mix,
+        op11_tag_path_ratios,
+        op12_pointer_jump_alignment,
+        op13_synchronising_runs,
         pipeline,
     )
 }

@@ -152,3 +152,77 @@ def class_chances(model, text):
 
 
 __all__ = [x for x in dir() if not x.startswith("_")] + ["Counter"]
+
+
+def runs(w, least=6, repeats=4):
+    """[(start, length, period)] of all maximal runs of a list of words."""
+    out = set()
+    for q in range(1, len(w) // repeats + 1):
+        x = 0
+        while x + q < len(w):
+            y = x
+            while y + q < len(w) and w[y] == w[y + q]:
+                y += 1
+            stop = y + q
+            if stop - x >= max(least, repeats * q) and not any(all(w[z] == w[z + p] for z in range(x, stop - p)) for p in range(1, q)):
+                out.add((x, stop - x, q))
+            x = max(y, x) + 1
+    return sorted(out)
+
+
+def repeated_tail(doc_id, w):
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def collapsed(w, found):
+    drop = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in drop)
+
+
+def aligned(texts):
+    """[(groups, links)] by whole texts, one at a time; None without tokens."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
+    out = []
+    for text in texts:
+        if not text:
+            out.append(None)
+            continue
+        ia, ib, whole = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text), (" " + text).encode()
+        ba = [bytes(shown[c] for c in a.id_to_token(i)) for i in ia]
+        bb = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in ib]
+        if b"".join(ba) != whole or b"".join(bb) != whole:
+            out.append(None)
+            continue
+        ends_a, ends_b = np.cumsum([len(x) for x in ba]).tolist(), np.cumsum([len(x) for x in bb]).tolist()
+        groups, links, x, y = [], [], 0, 0
+        for cut in sorted(set(ends_a) & set(ends_b)):
+            x2, y2 = ends_a.index(cut, x) + 1, ends_b.index(cut, y) + 1
+            groups.append((ia[x:x2], ib[y:y2], cut - 1))
+            links.append((ia[x2 - 1], ib[y2 - 1]))
+            x, y = x2, y2
+        out.append((groups, links))
+    return out
+
+
+def page_text(html):
+    """The article of the given tables' pages, whose markup is always the same, by cutting the text."""
+    import html as entities
+
+    inside = html[html.index("<article>") + 9 : html.rindex("</article>")]
+    inside = inside.replace("<b>", "").replace("<br>", " ")
+    blocks = (" ".join(entities.unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", inside))
+    return "\n".join(x for x in blocks if x)
