@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators import resampling, series, statistics
+from seqsieve.operators import resampling, series, spectrum, statistics
 from seqsieve.sources.shared import written
 
 
@@ -77,12 +77,18 @@ def evaluate(rows: DataFrame, tests: list[str], *, k: int | dict[str, int], null
     return labelled(grid(statistics.packed(rows, ["series_id"]), jobs, null=null, seed=seed, bundles=bundles), null)
 
 
-def evaluate_long(rows: DataFrame, test: str, *, k: int, seed: int = 0, **knobs) -> DataFrame:
-    """The same for series of any length, under a test with a distributed form, against the same shuffles."""
-    measured = statistics.DISTRIBUTED[test]
-    made = measured(resampling.shuffled(rows.select("series_id", "t", "x"), k, seed, ["series_id"]), ["series_id", "sid"], **knobs)
-    out = rank_p(measured(rows, ["series_id"], **knobs), made, ["series_id"], statistics.TESTS[test][1])
-    return labelled(out.select("series_id", F.lit(test).alias("test"), F.lit("").alias("knobs"), *out.columns[1:]), "shuffle")
+def evaluate_long(rows: DataFrame, test: str, *, k: int, null: str = "shuffle", seed: int = 0, **knobs) -> DataFrame:
+    """The same for series of any length, under a test with a distributed form, against the same surrogates. A paired test takes
+    (series_id, t, x, y), whose columns are shuffled together."""
+    measured, columns = statistics.DISTRIBUTED[test], ["x", "y"] if test in statistics.PAIRED else ["x"]
+    if null == "shuffle":
+        made = resampling.shuffled(rows.select("series_id", "t", *columns), k, seed, ["series_id"])
+    elif null in ("aaft", "iaaft") and len(columns) == 1:
+        made = spectrum.randomised(rows, k, seed, ["series_id"], rounds=5 if null == "iaaft" else 0)
+    else:
+        raise ValueError(f"{null} surrogates of {test} have no distributed form")
+    out = rank_p(measured(rows, ["series_id"], **knobs), measured(made, ["series_id", "sid"], **knobs), ["series_id"], statistics.TESTS[test][1])
+    return labelled(out.select("series_id", F.lit(test).alias("test"), F.lit("").alias("knobs"), *out.columns[1:]), null)
 
 
 def evaluate_pair(rows: DataFrame, tests: str | list[str], *, k: int, seed: int = 0, **knobs) -> DataFrame:
@@ -93,7 +99,7 @@ def evaluate_pair(rows: DataFrame, tests: str | list[str], *, k: int, seed: int
 
 
 def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str = "q", parts: int = 64) -> DataFrame:
-    """evals with Benjamini-Hochberg q-values within the keys; a null p counts as no hypothesis and gets a null q.
+    """evals with Benjamini-Hochberg q-values within the keys; a null p, or one that is no number, counts as no hypothesis and gets a null q.
 
     Equal p-values are counted first. The different ones are parted at about equal quantiles; counts of the parts give ranks
     of their starts, and the least of the later parts goes to the earlier ones, so no task sorts all of them. The evaluations,
@@ -101,7 +107,7 @@ def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str =
     """
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))  # compares nulls as equal
     evals = written(evals.withColumn("_g", group), "evals")
-    counts = evals.where(F.col(p).isNotNull()).groupBy("_g", F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = evals.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy("_g", F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     edges = counts.groupBy("_g").agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)], 1000).alias("_e"), F.sum("_c").alias("_n"))
     rows = counts.join(edges, "_g").withColumn("_part", F.size(F.filter("_e", lambda e: e < F.col("_p")))).drop("_e")
     rows = written(rows, "p-values")

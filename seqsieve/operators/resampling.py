@@ -53,26 +53,35 @@ def random_draws(spark, n: int, seed: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("t"), reds.alias("reds"), blue.alias("blue"))
 
 
-# ---- phase and neighbour surrogates of one packed series, in numpy inside a task
+# ---- phase and neighbour surrogates of one packed series, in numpy inside a task; spectrum.randomised has long series
 
 
-def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Random phases under the amplitude spectrum, then the sorted values of x by rank."""
-    spectrum = np.fft.rfft(x - x.mean())
-    turn = np.exp(2j * np.pi * rng.random(len(spectrum)))
-    turn[0] = 1
-    y = np.fft.irfft(np.abs(spectrum) * turn, len(x))
+def turns(n: int, seed: int, sid: int) -> np.ndarray:
+    """Unit numbers for the frequencies 0 .. n // 2 of n points, whose angles are MD5s; 1 at frequency 0."""
+    import hashlib
+
+    head = f"{seed}:{sid}:"
+    part = np.array([int(hashlib.md5(f"{head}{f}".encode()).hexdigest()[:13], 16) for f in range(n // 2 + 1)], float)
+    out = np.exp(2j * np.pi * (part + 0.5) / float(1 << 52))
+    out[0] = 1
+    return out
+
+
+def remapped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The values of x in the order of y; ties by place."""
     return np.sort(x)[np.argsort(np.argsort(y, kind="stable"), kind="stable")]
 
 
-def iterated_surrogate(x: np.ndarray, rng: np.random.Generator, rounds: int = 5) -> np.ndarray:
+def phase_surrogate(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Random phases under the amplitude spectrum, then the sorted values of x by rank."""
+    return remapped(x, np.fft.irfft(np.abs(np.fft.rfft(x - x.mean())) * turn, len(x)))
+
+
+def iterated_surrogate(x: np.ndarray, order: np.ndarray, rounds: int = 5) -> np.ndarray:
     """A shuffle driven back to the amplitude spectrum of x, values kept by rank, for some rounds."""
-    amplitude, values = np.abs(np.fft.rfft(x)), np.sort(x)
-    y = rng.permutation(x)
+    amplitude, y = np.abs(np.fft.rfft(x)), x[order]
     for _ in range(rounds):
-        phase = np.angle(np.fft.rfft(y))
-        y = np.fft.irfft(amplitude * np.exp(1j * phase), len(x))
-        y = values[np.argsort(np.argsort(y, kind="stable"), kind="stable")]
+        y = remapped(x, np.fft.irfft(amplitude * np.exp(1j * np.angle(np.fft.rfft(y))), len(x)))
     return y
 
 
@@ -104,23 +113,22 @@ def order_of(n: int, seed: int, sid: int) -> np.ndarray:
     return np.lexsort((low, high))
 
 
-#: kind: (values, generator of the surrogate) -> values. "shuffle" is not here: its order is that of shuffled().
-KINDS = {"aaft": phase_surrogate, "iaaft": iterated_surrogate, "twin": twin_surrogate}
-
-
 def surrogate(columns: list[np.ndarray], kind: str, seed: int, name: str, sid: int, orders: dict) -> list[np.ndarray]:
-    """A surrogate of a packed series; two columns are shuffled together. orders remembers permutations between series."""
+    """A surrogate of a packed series; two columns are shuffled together. orders remembers permutations and phases between series."""
     import zlib
 
+    x = columns[0]
+    if kind == "twin":
+        return [twin_surrogate(x, np.random.default_rng([seed, zlib.crc32(name.encode()), sid])), *columns[1:]]
+    make = turns if kind == "aaft" else order_of
+    key = (make.__name__, len(x), seed, sid)
+    if key not in orders:
+        if len(orders) > 64:
+            orders.clear()
+        orders[key] = make(*key[1:])
     if kind == "shuffle":
-        key = (len(columns[0]), seed, sid)
-        if key not in orders:
-            if len(orders) > 64:
-                orders.clear()
-            orders[key] = order_of(*key)
         return [c[orders[key]] for c in columns]
-    rng = np.random.default_rng([seed, zlib.crc32(name.encode()), sid])
-    return [KINDS[kind](columns[0], rng), *columns[1:]]
+    return [{"aaft": phase_surrogate, "iaaft": iterated_surrogate}[kind](x, orders[key]), *columns[1:]]
 
 
 def surrogate_series(packed: DataFrame, kind: str, k: int, seed: int, together: int = 8) -> DataFrame:

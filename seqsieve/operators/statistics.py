@@ -1,7 +1,7 @@
 """Test statistics: one number for a series (or a pair of series).
 
-acf_max, autocorr, drift, perm_entropy, mi_max, dfa_alpha and transfer_entropy have a distributed form over (keys, t, x), for
-series of any length, by overlapping stretches and grouped counts. All tests have a numpy form over a packed series, for grids
+acf_max, autocorr, drift, perm_entropy, mi_max, dfa_alpha, transfer_entropy and granger have a distributed form over (keys, t,
+x[, y]), for series of any length, by overlapping stretches and grouped sums; fft_peak has one in spectrum.py. All tests have a numpy form over a packed series, for grids
 of many series and surrogates, where a task holds one series of at most LONGEST points; the quadratic ones look at the first
 `sub` points, as their definition says.
 """
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators import series
+from seqsieve.operators import series, spectrum
 
 #: Points of a packed series; a longer one is an error that names the distributed forms.
 LONGEST = 1 << 22
@@ -115,6 +115,56 @@ def transfer_entropy(df: DataFrame, bins: int = 8, sub: int = 2000, compat: bool
     return cells.withColumn("m", F.col("c") / n * F.log2(ratio)).agg(F.greatest(F.sum("m"), F.lit(0.0)).alias("stat"))
 
 
+def granger(df: DataFrame, keys: list[str], max_lag: int = 5) -> DataFrame:
+    """(keys, stat) of (keys, t, x, y): F statistic of adding the lags of x to an autoregression of y, whose length has the least
+    BIC; null for a short or exactly predicted y.
+
+    All regressions come from the sums of products of y, its lags and those of x: one pass over the rows, 1 + 2 max_lag + 1
+    columns squared, and a small solve for each series."""
+    mean = df.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    rows = (df.join(mean, keys) if keys else series.with_scalars(df, mean)).select(*keys, "t", F.struct((F.col("x") - F.col("_mx")).alias("x"), (F.col("y") - F.col("_my")).alias("y")).alias("_v"))
+    rows = series.with_lags(rows, max_lag, "_v", "_lags", keys).where(F.col("t") >= max_lag)
+    columns = [F.lit(1.0), *[F.col("_lags")[i][c] for c in ("y", "x") for i in range(max_lag)], F.col("_v")["y"]]
+    size = len(columns)
+    rows = rows.select(*keys, *[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    sums = [F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"_{i}_{j}") for i in range(size) for j in range(i, size)]
+    gram = rows.groupBy(*keys).agg(*sums)
+    names = [f"_{i}_{j}" for i in range(size) for j in range(i, size)]
+
+    @F.pandas_udf("double")
+    def solved(gram):
+        import pandas as pd
+
+        at, out = np.triu_indices(size), []
+        for values in gram:
+            g = np.zeros((size, size))
+            g[at] = values
+            g = g + np.triu(g, 1).T
+            out.append(_granger_of(g, max_lag))
+        return pd.Series(out, dtype=float)
+
+    stat = solved(F.array(*names))
+    return gram.select(*keys, F.when(~F.isnan(stat), stat).alias("stat"))
+
+
+def _granger_of(gram: np.ndarray, max_lag: int) -> float:
+    """The F statistic from the sums of products of 1, max_lag lags of y, as many of x, and y."""
+    n = gram[0, 0]
+    if n < 4 * max_lag + 4:
+        return np.nan
+
+    def rss(columns):
+        own = [0, *columns]
+        beta = np.linalg.lstsq(gram[np.ix_(own, own)], gram[own, -1], rcond=None)[0]
+        return float(max(0.0, gram[-1, -1] - 2 * beta @ gram[own, -1] + beta @ gram[np.ix_(own, own)] @ beta))
+
+    lags = lambda p: list(range(1, p + 1))
+    rests = {p: rss(lags(p)) for p in range(1, max_lag + 1)}
+    p = min(rests, key=lambda k: n * np.log(max(rests[k], 1e-300) / n) + (k + 1) * np.log(n))
+    full = rss(lags(p) + [max_lag + i for i in lags(p)])
+    return float((rests[p] - full) / p / (full / (n - 2 * p - 1))) if full > 1e-12 * gram[-1, -1] else np.nan
+
+
 # ---- numpy forms
 
 
@@ -332,7 +382,7 @@ PAIRED = ("transfer_entropy", "ccm", "granger")
 
 
 #: Distributed forms by the tests' names.
-DISTRIBUTED = {"acf_max": acf_max, "dfa_alpha": dfa_alpha, "mi_max": mi_max, "perm_entropy": perm_entropy}
+DISTRIBUTED = {"acf_max": acf_max, "dfa_alpha": dfa_alpha, "fft_peak": spectrum.fft_peak, "granger": granger, "mi_max": mi_max, "perm_entropy": perm_entropy}
 
 
 def packed(df: DataFrame, keys: list[str], columns: list[str] = ("x",), longest: int = LONGEST) -> DataFrame:

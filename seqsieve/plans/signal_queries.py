@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seqsieve.functions import formula, signals
-from seqsieve.operators import resampling, series, statistics
+from seqsieve.operators import resampling, series, spectrum, statistics
 from seqsieve.sources.draws import derived, table
 
 QUERIES, ORACLES = {}, {}
@@ -210,7 +210,7 @@ def keyed(rows):
   SELECT round(max(CASE WHEN k > 0 THEN p END) / sum(p), 6) AS stat FROM p"""
 )
 def fft_peak(spark, sf_dir):
-    return _one(statistics.measure(statistics.packed(keyed(sums(spark, sf_dir)), ["series_id"]), "fft_peak", ["series_id"]))
+    return _one(spectrum.fft_peak(keyed(sums(spark, sf_dir)), ["series_id"]))
 
 
 @register(f"WITH {X}, p AS (SELECT l, corr(a.x, b.x) AS c FROM range(1, 41) r(l), s a JOIN s b ON b.t = a.t + l GROUP BY l) SELECT round(max(abs(c)), 6) AS stat FROM p")
@@ -372,3 +372,50 @@ def _phases(kind: str):
 
 for _kind in ("aaft", "iaaft", "twin"):
     _phases(_kind)
+
+
+_UNIT = "(CAST('0x' || substr(md5('{seed}:' || sid || ':' || f), 1, 13) AS BIGINT) + 0.5) / 4503599627370496"
+# x by rank of y, from (sid, t, y); amplitudes as a frequency and its mirror image give them together.
+_REMAP = "(SELECT sid, t, x FROM (SELECT sid, t, row_number() OVER (PARTITION BY sid ORDER BY y, t) AS r FROM {y}) JOIN (SELECT x, row_number() OVER (ORDER BY x, t) AS r FROM s) USING (r))"
+_AMPLITUDES = f"""{X}, nn AS (SELECT count(*) AS n FROM s), fr AS (SELECT unnest(range(0, n // 2 + 1)) AS f, n FROM nn),
+  am AS (SELECT f, n, sqrt(sum(x * cos(2 * pi() * (f * t % n) / n))^2 + sum(x * sin(2 * pi() * (f * t % n) / n))^2) * CASE WHEN f = 0 OR 2 * f = n THEN 1 ELSE 2 END AS a FROM s, fr GROUP BY f, n)"""
+
+
+@register(
+    f"""WITH {_AMPLITUDES}, tu AS (SELECT sid, f, n, a, CASE WHEN f = 0 THEN 0 ELSE 2 * pi() * {_UNIT.format(seed=19)} END AS g FROM am, range(0, 2) r(sid)),
+  y AS (SELECT sid, t, sum(a * cos(2 * pi() * (f * t % n) / n + g)) AS y FROM tu, s GROUP BY sid, t)
+  SELECT CAST(sid AS INTEGER) AS sid, t, x FROM {_REMAP.format(y='y')}"""
+)
+def phase_surrogates(spark, sf_dir):
+    """Random-phase surrogates of a series of any length, value by value."""
+    return spectrum.randomised(keyed(sums(spark, sf_dir)), 2, 19, ["series_id"]).select("sid", "t", "x")
+
+
+def _iterated(rounds: int) -> str:
+    parts = [f"WITH {_AMPLITUDES}, x0 AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY md5('19:' || sid || ':' || t)) - 1 AS t, x FROM s, range(0, 1) r(sid))"]
+    for i in range(rounds):
+        parts.append(f"p{i} AS (SELECT sid, f, n, a, atan2(-sum(x * sin(2 * pi() * (f * t % n) / n)), sum(x * cos(2 * pi() * (f * t % n) / n))) AS g FROM x{i}, am GROUP BY sid, f, n, a)")
+        parts.append(f"y{i} AS (SELECT sid, t, sum(a * cos(2 * pi() * (f * t % n) / n + g)) AS y FROM p{i}, s GROUP BY sid, t)")
+        parts.append(f"x{i + 1} AS {_REMAP.format(y=f'y{i}')}")
+    return ", ".join(parts) + f" SELECT CAST(sid AS INTEGER) AS sid, t, x FROM x{rounds}"
+
+
+@register(_iterated(5))
+def iterated_surrogates(spark, sf_dir):
+    """The iterated kind, in five rounds of transforms and ranks."""
+    return spectrum.randomised(keyed(sums(spark, sf_dir)), 1, 19, ["series_id"], rounds=5).select("sid", "t", "x")
+
+
+@register(
+    f"""WITH {DRAWS}, v AS (SELECT t, {SUM} AS a, CAST(blue AS DOUBLE) AS b FROM draws),
+  l AS (SELECT p, y, lag(y) OVER (PARTITION BY p ORDER BY t) AS y1, lag(x) OVER (PARTITION BY p ORDER BY t) AS x1 FROM (SELECT 'red_sum>blue' AS p, t, a AS x, b AS y FROM v UNION ALL SELECT 'blue>red_sum', t, b, a FROM v)),
+  c AS (SELECT p, count(*) AS n, count(*) * var_pop(y) AS s, corr(y, y1) AS r1, corr(y, x1) AS r2, corr(y1, x1) AS r12 FROM l WHERE y1 IS NOT NULL GROUP BY p),
+  f AS (SELECT p, n, s * (1 - r1^2) AS rest, s * (1 - (r1^2 + r2^2 - 2 * r1 * r2 * r12) / (1 - r12^2)) AS whole FROM c)
+  SELECT p AS series_id, round((rest - whole) / (whole / (n - 3)), 4) AS stat FROM f"""
+)
+def granger(spark, sf_dir):
+    """One lag, which SQL can solve; tests compare more of them with least squares."""
+    d = derived(spark, sf_dir).select("t", signals.column("red_sum").alias("a"), signals.column("blue").alias("b"))
+    pair = lambda name, x, y: d.select(F.lit(name).alias("series_id"), "t", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    out = statistics.granger(pair("red_sum>blue", "a", "b").unionByName(pair("blue>red_sum", "b", "a")), ["series_id"], max_lag=1)
+    return out.select("series_id", F.round("stat", 4).alias("stat"))
