@@ -240,31 +240,35 @@ def align(docs: DataFrame, *, a_path: str, b_path: str, with_groups: bool = True
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ROWS.split(", ")])
                 number += 1
 
-    def counted(batches):
+    def counted(row, known):
         import pyarrow as pa
 
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = {c: batch.column(c)[row] for c in batch.schema.names}
-                arrays = {c: np.array(get[c].as_py() or [], np.int64) for c in ("n_a", "n_b", "n_groups", "place", "count", "best")}
-                count, best = np.zeros(len(arrays["place"]), np.int64), np.zeros(len(arrays["place"]), np.int64)
-                count[arrays["place"]], best[arrays["place"]] = arrays["count"], arrays["best"]
-                local = np.frombuffer(get["low"].as_py(), "<u2").astype(np.int64) | np.frombuffer(get["high"].as_py(), "<u2").astype(np.int64) << 16
-                edges = np.concatenate(([0], np.cumsum(arrays["n_groups"])))
-                n_best, count_sum = (np.diff(np.concatenate(([0], np.cumsum(x[local])))[edges]) for x in (best, count))
-                values = [get["doc_ids"].values, arrays["n_a"], arrays["n_b"], arrays["n_groups"], arrays["n_groups"], n_best, count_sum, get["sha256"].values]
-                if with_groups:
-                    values += [get["groups"].values, get["cuts"].values]
-                yield pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in values], names)
+        from . import tokens
+
+        tokens.kept(("counts",))  # the stretches are not needed any more
+        get = {c: row.column(c)[0] for c in row.column_names}
+        n_a, n_b, n_groups = (np.array(get[c].as_py(), np.int64) for c in ("n_a", "n_b", "n_groups"))
+        count, best = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        place = known.column("place").to_numpy()
+        count[place], best[place] = known.column("count").to_numpy(), known.column("best").to_numpy()
+        low, high = (np.frombuffer(get[c].as_buffer(), "<u2") for c in ("low", "high"))
+        local = low.astype(np.int64) | high.astype(np.int64) << 16
+        edges = np.concatenate(([0], np.cumsum(n_groups)))
+        n_best, count_sum = (np.diff(np.concatenate(([0], np.cumsum(x[local])))[edges]) for x in (best, count))
+        values = [get["doc_ids"].values, n_a, n_b, n_groups, n_groups, n_best, count_sum, get["sha256"].values]
+        if with_groups:
+            values += [get["groups"].values, get["cuts"].values]
+        return pa.Table.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in values], names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *["groups", "cuts"] * with_groups]
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", groups string, cuts array<bigint>" * with_groups
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     aligned = written(rows.mapInArrow(encode, _ROWS), "aligned")
-    local = aligned.select("batch", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "p")).select("batch", "place", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+    local = aligned.select("batch", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "p")).select("batch", F.col("place").cast("long").alias("place"), F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     totals = local.groupBy("pair").agg(F.sum("times").alias("count"))
     totals = written(totals.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << _B_BITS) - 1))), "pair-counts")
     highest = totals.groupBy("b").agg(F.max("count").alias("highest"))  # at most a row for each entry of B's vocabulary
     valued = totals.join(F.broadcast(highest), "b").select("pair", "count", (F.col("count") == F.col("highest")).cast("long").alias("best"))
-    back = local.join(valued, "pair").groupBy("batch").agg(*(F.collect_list(c).alias(c) for c in ("place", "count", "best")))
-    return aligned.drop("pairs", "times").join(back, "batch", "left").mapInArrow(counted, schema)
+    # A row and its pairs meet in one group, which goes to Python alone: rows are a few megabytes each.
+    back = local.join(valued, "pair").select(F.col("batch").alias("of"), "place", "count", "best")
+    return aligned.drop("pairs", "times").groupBy("batch").cogroup(back.groupBy("of")).applyInArrow(counted, schema)
