@@ -35,8 +35,8 @@ from .scratch import written
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 _MARK = "▁"
-#: Bytes of text whose documents share a row.
-TOGETHER = 1 << 22
+#: Bytes of text whose documents share a row; a worker takes some 160 MB while it aligns them.
+TOGETHER = 1 << 20
 _PLACES = re.compile(r"(?<=\S)(?= \S)")
 #: An id pair as one number.
 _B_BITS = 32
@@ -65,7 +65,7 @@ def group_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.n
 class Stretches:
     """Aligned stretches of text by number; what a Python worker remembers of them between batches."""
 
-    def __init__(self, a_path: str, b_path: str, keep: int = 400_000, keep_chars: int = 1 << 24):
+    def __init__(self, a_path: str, b_path: str, keep: int = 150_000, keep_chars: int = 1 << 23):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -109,8 +109,8 @@ class Stretches:
         if len(self._slot) > self._keep or self._chars > self._keep_chars:
             self.clear()
         fresh = [s for s in dict.fromkeys(stretches) if s not in self._slot]
-        for at in range(0, len(fresh), 50_000):
-            self._align(fresh[at : at + 50_000])
+        for at in range(0, len(fresh), 20_000):
+            self._align(fresh[at : at + 20_000])
         return np.fromiter(map(self._slot.__getitem__, stretches), np.int64, len(stretches))
 
     def _encoded(self, encode, known: list[bytes], size: np.ndarray, lines: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
