@@ -85,22 +85,23 @@ def iterated_surrogate(x: np.ndarray, order: np.ndarray, rounds: int = 5) -> np.
     return y
 
 
-def twin_surrogate(x: np.ndarray, rng: np.random.Generator, m: int = 3, theiler: int = 1, neighbours: int = 10) -> np.ndarray:
-    """A walk that at each step jumps to the successor of one of the nearest states outside the Theiler window."""
-    n = len(x) - m + 1
-    if n < neighbours + 2 * theiler + 2:
+def twin_surrogate(x: np.ndarray, rng: np.random.Generator, m: int = 3, theiler: int = 1, neighbours: int = 10, table: np.ndarray | None = None) -> np.ndarray:
+    """A walk that at each step jumps to the successor of one of the nearest states outside the Theiler window. table: the
+    states' neighbours (neighbours.twin_table), which serve all walks of a series; a walk is linear in its length."""
+    from seqsieve.operators.neighbours import twin_table
+
+    table = twin_table(x, m, theiler, neighbours) if table is None else table
+    if table is None:
         return rng.permutation(x)
-    states = np.lib.stride_tricks.sliding_window_view(x, m)
-    out, at = np.empty(len(x)), int(rng.integers(n))
-    for i in range(len(x)):
-        out[i] = x[at]
-        away = ((states - states[at]) ** 2).sum(1)
-        away[max(0, at - theiler) : at + theiler + 1] = np.inf
-        near = np.argpartition(away, neighbours)[:neighbours]
-        at = int(rng.choice(near)) + 1
+    n, many = table.shape
+    first, anew, picks = int(rng.integers(n)), rng.integers(0, n, len(x)).tolist(), rng.integers(0, many, len(x)).tolist()
+    near, at, walk = table.reshape(-1).tolist(), first, []
+    for again, pick in zip(anew, picks):
+        walk.append(at)
+        at = near[at * many + pick] + 1
         if at >= n:
-            at = int(rng.integers(n))
-    return out
+            at = again
+    return x[walk]
 
 
 def order_of(n: int, seed: int, sid: int) -> np.ndarray:
@@ -114,12 +115,16 @@ def order_of(n: int, seed: int, sid: int) -> np.ndarray:
 
 
 def surrogate(columns: list[np.ndarray], kind: str, seed: int, name: str, sid: int, orders: dict) -> list[np.ndarray]:
-    """A surrogate of a packed series; two columns are shuffled together. orders remembers permutations and phases between series."""
+    """A surrogate of a packed series; two columns are shuffled together. orders remembers permutations, phases and neighbour tables between calls."""
     import zlib
 
     x = columns[0]
     if kind == "twin":
-        return [twin_surrogate(x, np.random.default_rng([seed, zlib.crc32(name.encode()), sid])), *columns[1:]]
+        from seqsieve.operators.neighbours import twin_table
+
+        if (kind, name) not in orders:
+            orders[kind, name] = twin_table(x)
+        return [twin_surrogate(x, np.random.default_rng([seed, zlib.crc32(name.encode()), sid]), table=orders[kind, name]), *columns[1:]]
     make = turns if kind == "aaft" else order_of
     key = (make.__name__, len(x), seed, sid)
     if key not in orders:

@@ -1,9 +1,9 @@
 """Test statistics: one number for a series (or a pair of series).
 
 acf_max, autocorr, drift, perm_entropy, mi_max, dfa_alpha, transfer_entropy and granger have a distributed form over (keys, t,
-x[, y]), for series of any length, by overlapping stretches and grouped sums; fft_peak has one in spectrum.py. All tests have a numpy form over a packed series, for grids
+x[, y]), for series of any length, by overlapping stretches and grouped sums; fft_peak has one in spectrum.py, ccm in neighbours.py. All tests have a numpy form over a packed series, for grids
 of many series and surrogates, where a task holds one series of at most LONGEST points; the quadratic ones look at the first
-`sub` points, as their definition says.
+`sub` points, as their definition says; cross mapping looks at all, by exact nearest neighbours.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqsieve.operators import series, spectrum
+from seqsieve.operators import neighbours, series, spectrum
 
 #: Points of a packed series; a longer one is an error that names the distributed forms.
 LONGEST = 1 << 22
@@ -331,37 +331,6 @@ def np_granger(x, y, max_lag=5):
     return float((rests[p] - full) / p / (full / (n - 2 * p - 1))) if full > 0 else np.nan
 
 
-def np_ccm(x, y, dim=3, tau=1, block=256):
-    """Largest cross-map skill: how well neighbours in y's delay space tell x, over library sizes. Distances are taken in
-    blocks of rows; the work is quadratic in the series."""
-    n = len(y) - (dim - 1) * tau
-    if n < 4 * (dim + 1):
-        return np.nan
-    w, target = np.stack([y[i * tau : i * tau + n] for i in range(dim)], 1), x[:n]
-    sizes = sorted({int(v) for v in np.geomspace(2 * (dim + 1), n, 8)})
-    guess = np.empty((len(sizes), n))
-    square = (w**2).sum(1)
-    for a in range(0, n, block):
-        own = np.arange(a, min(n, a + block))
-        d = square[own, None] - 2 * w[own] @ w.T + square
-        d[np.arange(len(own)), own] = np.inf
-        for k, size in enumerate(sizes):
-            many = min(size, 2 * (dim + 1))  # a few more than wanted, so that equal distances go by place
-            near = np.sort(np.argpartition(d[:, :size], many - 1, 1)[:, :many], 1)
-            exact = np.sqrt(((w[own, None] - w[near]) ** 2).sum(2))
-            exact[near == own[:, None]] = np.inf
-            first = np.argsort(exact, 1, kind="stable")[:, : dim + 1]
-            near, dist = np.take_along_axis(near, first, 1), np.take_along_axis(exact, first, 1)
-            weight = np.exp(-dist / np.maximum(dist[:, :1], 1e-12))
-            guess[k, own] = (weight * target[near]).sum(1) / weight.sum(1)
-    best = 0.0
-    for g in guess:
-        ok = np.isfinite(g)
-        if ok.sum() > 2 and g[ok].std() > 0 and target[ok].std() > 0:
-            best = max(best, float(np.corrcoef(g[ok], target[ok])[0, 1]))
-    return best
-
-
 # The tests' names, the direction in which structure lies, and the tier. name: (function, direction, tier)
 TESTS = {
     "fft_peak": (np_fft_peak, "high", "light"),
@@ -375,7 +344,7 @@ TESTS = {
     "sample_entropy": (np_sample_entropy, "low", "heavy"),
     "multiscale_se": (np_multiscale_se, "low", "heavy"),
     "transfer_entropy": (np_transfer_entropy, "high", "heavy"),
-    "ccm": (np_ccm, "high", "heavy"),
+    "ccm": (neighbours.ccm_packed, "high", "heavy"),
     "granger": (np_granger, "high", "heavy"),
 }
 PAIRED = ("transfer_entropy", "ccm", "granger")

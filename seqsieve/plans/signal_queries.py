@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seqsieve.functions import formula, signals
-from seqsieve.operators import resampling, series, spectrum, statistics
+from seqsieve.operators import neighbours, resampling, series, spectrum, statistics
 from seqsieve.sources.draws import derived, table
 
 QUERIES, ORACLES = {}, {}
@@ -419,3 +419,16 @@ def granger(spark, sf_dir):
     pair = lambda name, x, y: d.select(F.lit(name).alias("series_id"), "t", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     out = statistics.granger(pair("red_sum>blue", "a", "b").unionByName(pair("blue>red_sum", "b", "a")), ["series_id"], max_lag=1)
     return out.select("series_id", F.round("stat", 4).alias("stat"))
+
+
+@register(
+    f"""WITH {DRAWS}, v AS (SELECT t, CAST(blue AS DOUBLE) AS x, {SUM} AS y FROM draws), w AS (SELECT t AS i, x, y AS y0, lead(y) OVER (ORDER BY t) AS y1, lead(y, 2) OVER (ORDER BY t) AS y2 FROM v QUALIFY y2 IS NOT NULL),
+  z AS (SELECT DISTINCT CAST(floor(exp(ln(8) + k * (ln(n) - ln(8)) / 7) + CASE WHEN k IN (0, 7) THEN 1e-6 ELSE 0 END) AS BIGINT) AS size FROM range(0, 8) r(k), (SELECT count(*) AS n FROM w)),
+  d AS (SELECT size, a.i, b.i AS j, b.x AS u, sqrt((a.y0 - b.y0)^2 + (a.y1 - b.y1)^2 + (a.y2 - b.y2)^2) AS d FROM z, w a, w b WHERE b.i < size AND a.i <> b.i),
+  k AS (SELECT size, i, unnest(min(struct_pack(d := d, j := j, u := u), 4), recursive := true) FROM d GROUP BY size, i), e AS (SELECT *, min(d) OVER (PARTITION BY size, i) AS d0 FROM k),
+  g AS (SELECT size, i, sum(exp(-d / greatest(d0, 1e-12)) * u) / sum(exp(-d / greatest(d0, 1e-12))) AS guess FROM e GROUP BY size, i)
+  SELECT round(greatest(0, max(c)), 6) AS stat FROM (SELECT size, corr(guess, x) AS c FROM g JOIN w USING (i) GROUP BY size)"""
+)
+def ccm(spark, sf_dir):
+    """How well the red sums' delay space tells the blue ball, over all draws, by cells of the delay space."""
+    return _one(neighbours.ccm(derived(spark, sf_dir).select("t", signals.column("blue").alias("x"), signals.column("red_sum").alias("y")), cell=1 << 12))

@@ -106,12 +106,6 @@ def test_transfer_entropy_of_longer_pasts():
     assert statistics.np_transfer_entropy(x, x[::-1].copy(), k_history=3, bins=4) >= 0
 
 
-def test_cross_mapping_in_blocks_is_the_same():
-    x = noise(220, 4)
-    y = 0.7 * np.concatenate(([0], x[:-1])) + 0.3 * noise(220, 5)
-    assert statistics.np_ccm(x, y, block=16) == pytest.approx(statistics.np_ccm(x, y, block=1000))
-
-
 def test_axes_and_ingest(spark):
     d = fair(spark, 260).cache()
     got = {r.sig: r for r in scans.axis_scan(d, [("g", "red_sum", ("acf_max",)), ("g", "red_recurrence_mean", ("acf_max",))], k=19, k_control=19, seed=1).collect()}
