@@ -30,9 +30,20 @@ def gaps(reds: Column) -> Column:
     return F.transform(F.sequence(F.lit(2), F.lit(6)), lambda i: F.element_at(reds, i) - F.element_at(reds, i - 1))
 
 
-def spread(values: Column) -> Column:
-    """Population standard deviation."""
-    return F.sqrt(mean(F.transform(values, lambda v: F.pow(v - mean(values), F.lit(2.0)))))
+def gap_powers(reds: Column) -> list[Column]:
+    """Sums of the gaps, of their squares and of their cubes, as whole numbers. No array is built, so Spark compiles them."""
+    own = [F.element_at(reds, i) - F.element_at(reds, i - 1) for i in range(2, 7)]
+    return [sum((_power(g, p) for g in own[1:]), _power(own[0], p)) for p in (1, 2, 3)]
+
+
+def _power(g: Column, p: int) -> Column:
+    return g if p == 1 else g * _power(g, p - 1)
+
+
+def gap_spread(reds: Column) -> Column:
+    """Population standard deviation of the gaps."""
+    one, two, _ = gap_powers(reds)
+    return F.sqrt((5 * two - one * one) / F.lit(25.0))
 
 
 def turned(values: Column, div: float, part) -> Column:
@@ -62,8 +73,8 @@ def _zone_entropy(r: Column) -> Column:
 
 
 def _skew(r: Column) -> Column:
-    g = gaps(r)
-    return mean(F.transform(g, lambda v: F.pow((v - mean(g)) / (spread(g) + 1e-9), F.lit(3.0))))
+    one, two, three = gap_powers(r)
+    return (25 * three - 15 * one * two + 2 * one * one * one) / F.lit(125.0) / F.pow(gap_spread(r) + 1e-9, F.lit(3.0))
 
 
 SIGNALS = {
@@ -80,7 +91,7 @@ SIGNALS = {
     "complex_field": lambda r, b, div=34: length_of(F.concat(r, F.array(b)), div),
     "red_gap_mean": lambda r, b: mean(gaps(r)),
     "red_gap_max": lambda r, b: F.array_max(gaps(r)).cast("double"),
-    "red_gap_std": lambda r, b: spread(gaps(r)),
+    "red_gap_std": lambda r, b: gap_spread(r),
     "red_runs": lambda r, b: _runs(r),
     "red_low_count": lambda r, b: _count(r, lambda x: x <= 16),
     "red_zone_entropy": lambda r, b: _zone_entropy(r),

@@ -11,6 +11,12 @@ from seqsieve.operators import resampling, series, spectrum, statistics
 from seqsieve.sources.shared import written
 
 
+def can_reach(k: int, level: float) -> None:
+    """An error if k surrogates cannot give a p below the level, as a gate at that level could then not speak."""
+    if 1 / (1 + k) >= level:
+        raise ValueError(f"{k} surrogates give no p below {1 / (1 + k):.4g}, and the level asked for is {level}")
+
+
 def rank_p(real: DataFrame, surrogates: DataFrame, keys: list[str], direction: str = "high") -> DataFrame:
     """real(keys, stat) and surrogates(keys, sid, stat) to evaluation rows. p = (1 + surrogates as extreme) / (1 + k);
     z is 0 for a spread below 1e-6 and bounded by 1000; surrogates that cannot be evaluated do not count."""
@@ -21,11 +27,11 @@ def rank_p(real: DataFrame, surrogates: DataFrame, keys: list[str], direction: s
     return out.select(*keys, "stat", "sur_mean", "sur_std", F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), z)).alias("z"), ((1 + F.col("hits")) / (1 + F.col("k_sur"))).alias("p_raw"), "k_sur", "sur_max", "sur_min")
 
 
-def grid(packed: DataFrame, jobs: dict[str | None, list[tuple[str, dict, int]]], *, null: str = "shuffle", seed: int = 0, parts: int = 16, bundles: int = 4) -> DataFrame:
+def grid(packed: DataFrame, jobs: dict[str | None, list[tuple[str, dict, int]]], *, null: str = "shuffle", seed: int = 0, parts: int | None = None, bundles: int = 4) -> DataFrame:
     """Evaluation rows (series_id, test, knobs, stat, sur_mean, ..., sur_min) of packed series (series_id, x[, y]).
 
     jobs has (test, knobs, k) for a series_id, or under None for all others. Series are dealt into `bundles`; a bundle goes to at
-    most `parts` tasks, each of which makes its share of the surrogates, one at a time, and puts each to all the series' tests:
+    most `parts` tasks (16, or one for every 25 surrogates), each of which makes its share of the surrogates, one at a time, and puts each to all the series' tests:
     surrogates are neither stored nor moved, and a permutation serves a bundle. What comes back is a number for each surrogate
     and test. A task holds a bundle, so take more bundles for many or long series.
     """
@@ -35,6 +41,7 @@ def grid(packed: DataFrame, jobs: dict[str | None, list[tuple[str, dict, int]]],
     import pandas as pd
 
     columns = [c for c in ("x", "y") if c in packed.columns]
+    parts = parts or max(16, -(-max((k for own in jobs.values() for _, _, k in own), default=0) // 25))
 
     def run(pdf):
         orders, out, part = {}, [], int(pdf["part"].iloc[0])

@@ -116,46 +116,61 @@ def pick_accuracy(draws: DataFrame, signal: str, frac: float = 0.2, *, k: int =
     return out.withColumn("p", F.least(F.lit(1.0), (F.col("as_good") + 0.5) / F.col("k_sur")))
 
 
-def walk_forward(draws: DataFrame, *, train_n: int = 300, decay: float = 0.99, k: int = 200, seed: int = 0, reds: int = 6, parts: int = 16) -> DataFrame:
-    """One row (n, hit_rate, random_rate, sur_mean, p_random, above_random): each draw from train_n on, but for the last, is
-    forecast by the balls that weigh most in the train_n draws before it (the newest 1, each step back decay); beside the same
-    on draws in shuffled order. No row of hits for fewer than train_n + 20 draws.
-
-    The draws, as one packed row, go to `parts` tasks; each walks its share of the orders once, with 33 running weights.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from seqsieve.operators import statistics
-
-    columns = [f"r{i}" for i in range(1, 7)]
-    wide = draws.select(F.lit("draws").alias("series_id"), "t", *[F.element_at("reds", i).cast("double").alias(c) for i, c in enumerate(columns, 1)])
-    packed = statistics.packed(wide, ["series_id"], columns)
-
-    def run(pdf):
-        r, part, out = np.stack([np.asarray(pdf[c].iloc[0], np.int64) for c in columns], 1) - 1, int(pdf["part"].iloc[0]), []
-        share = -(-k // parts)
-        for sid in [*([-1] if part == 0 else []), *range(part * share, min(k, (part + 1) * share))]:
-            x = r if sid < 0 else r[resampling.order_of(len(r), seed, sid)]
-            if len(x) <= train_n + 20:
+def walk_hits(draws: DataFrame, keys: list[str], *, train_n: int = 300, decay: float = 0.99, reds: int = 6) -> DataFrame:
+    """(keys, n, hits) of (keys, t, reds) of any length: each draw from train_n on, but for the last, is forecast by the balls that
+    weigh most in the train_n draws before it (the newest 1, each step back decay).
+
+    A forecast sees train_n draws only, so stretches that overlap by these are scored apart: the weights of all draws of
+    a stretch are one product of its 0/1 matrix with the decays, and a stretch leaves two numbers."""
+    last = draws.groupBy(*keys).agg(F.max("t").alias("_last"))
+    rows = (draws.join(last, keys) if keys else series.with_scalars(draws, last)).where(F.col("_last") >= train_n + 20)
+    rows, stretch = series.reaching(rows.select(*keys, "t", "_last", "reds"), train_n), series.STRETCH
+
+    def scored(table):
+        import numpy as np
+        import pyarrow as pa
+
+        t = table.column("t").to_numpy()
+        order, own, end = np.argsort(t), int(table.column("_s")[0].as_py()), int(table.column("_last")[0].as_py())
+        balls = table.column("reds").combine_chunks()
+        present = np.zeros((len(t), 33))
+        present[np.repeat(np.arange(len(t)), np.diff(balls.offsets.to_numpy())), balls.flatten().to_numpy() - 1] = 1
+        t, present = t[order], present[order]
+        power = decay ** np.arange(train_n)[::-1]
+        n = hits = 0
+        for a in range(0, len(t), 512):
+            at = np.arange(a, min(a + 512, len(t)))
+            at = at[(t[at] // stretch == own) & (t[at] >= train_n) & (t[at] < end)]
+            if not len(at):
                 continue
-            weight, hits, gone = np.zeros(33), 0, decay**train_n
-            for t in range(len(x) - 1):
-                if t >= train_n:
-                    top = np.lexsort((np.arange(33), -np.round(weight, 9)))[:reds]
-                    hits += int(np.isin(top, x[t]).sum())
-                weight *= decay
-                weight[x[t]] += 1
-                if t >= train_n:
-                    weight[x[t - train_n]] -= gone
-            out.append((sid, len(x) - 1 - train_n, hits / (len(x) - 1 - train_n) / reds))
-        return pd.DataFrame(out, columns=["sid", "n", "rate"]).astype({"sid": "int32", "n": "int64", "rate": "float64"})
-
-    rates = packed.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *columns).groupBy("part").applyInPandas(run, "sid int, n long, rate double")
-    real = F.col("sid") < 0
-    one = rates.agg(F.max(F.when(real, F.col("n"))).alias("n"), F.max(F.when(real, F.col("rate"))).alias("hit_rate"), F.collect_list(F.when(~real, F.col("rate"))).alias("s"))  # k numbers
-    p = (1 + F.size(F.filter("s", lambda v: v >= F.col("hit_rate")))) / (1 + F.size("s"))
-    out = one.select("n", "hit_rate", F.lit(reds / 33).alias("random_rate"), (F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("s"), F.lit(0))).alias("sur_mean"), F.when(F.col("n").isNotNull(), p).alias("p_random"))
+            before = present[at[0] - train_n : at[-1]]
+            band = np.zeros((len(at), len(before)))
+            for i in range(len(at)):
+                band[i, i : i + train_n] = power
+            top = np.argsort(-np.round(band @ before, 9), 1, kind="stable")[:, :reds]
+            n += len(at)
+            hits += int(np.take_along_axis(present[at], top, 1).sum())
+        own_keys = {k: table.column(k).slice(0, 1) for k in keys}
+        return pa.table(own_keys | {"n": pa.array([n], pa.int64()), "hits": pa.array([hits], pa.int64())})
+
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in draws.schema if f.name in keys)
+    parts = rows.groupBy(*keys, "_s").applyInArrow(scored, head + "n long, hits long")
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+def walk_forward(draws: DataFrame, *, train_n: int = 300, decay: float = 0.99, k: int = 200, seed: int = 0, reds: int = 6) -> DataFrame:
+    """One row (n, hit_rate, random_rate, sur_mean, p_random, above_random): the hit rate of walk_hits() beside those on k shuffles
+    of the draws. Nulls, and no claim, for fewer than train_n + 20 draws."""
+    evaluation.can_reach(k, 0.05)
+    knobs = {"train_n": train_n, "decay": decay, "reds": reds}
+    rate = F.col("hits") / F.col("n") / reds
+    real = walk_hits(draws.select("t", "reds"), [], **knobs).where("n > 0").select("n", rate.alias("hit_rate"))
+    made = walk_hits(resampling.shuffled(draws.select("t", "reds"), k, seed), ["sid"], **knobs).select(rate.alias("rate"))
+    one = real.agg(F.max("n").alias("n"), F.max("hit_rate").alias("hit_rate"))
+    rows = series.with_scalars(made, real).agg(F.avg("rate").alias("sur_mean"), F.sum((F.col("rate") >= F.col("hit_rate")).cast("int")).alias("_as_good"), F.count(F.lit(1)).alias("_k"))
+    out = one.crossJoin(F.broadcast(rows))  # a row each
+    p = F.when(F.col("n").isNotNull(), (1 + F.coalesce("_as_good", F.lit(0))) / (1 + F.col("_k")))
+    out = out.select("n", "hit_rate", F.lit(reds / 33).alias("random_rate"), "sur_mean", p.alias("p_random"))
     return out.withColumn("above_random", F.coalesce((F.col("hit_rate") > F.col("sur_mean")) & (F.col("p_random") < 0.05), F.lit(False)))
 
 

@@ -70,8 +70,9 @@ def overclaims(text: Column, risky: list[str], hedges: list[str]) -> Column:
 
 
 def discovery_part(draws: DataFrame, frac: float = 0.7) -> DataFrame:
-    """What a search may see: the first part of the draws."""
-    n = draws.agg(F.floor(F.count(F.lit(1)) * frac).alias("_cut"))
+    """What a search may see: the first part of the draws; of few draws, where that is below 30, all but the last 30, one at least."""
+    n, cut = F.count(F.lit(1)), F.floor(F.count(F.lit(1)) * frac)
+    n = draws.agg(F.when(cut < 30, F.greatest(F.lit(1), n - 30)).otherwise(cut).alias("_cut"))
     return draws.join(F.broadcast(n), F.col("t") < F.col("_cut")).drop("_cut")
 
 

@@ -100,6 +100,7 @@ def rolling_scan(draws: DataFrame, n: int, window: int = 200, step: int = 50) ->
 def rolling_verdict(draws: DataFrame, n: int, window: int = 200, step: int = 50, *, k: int = 100, seed: int = 0, q: float = 0.05) -> DataFrame:
     """One row (n_windows, n_sig_windows, frac_sig, verdict): in how many sliding windows some ball drifts or follows itself at
     q; LOCAL where that is more than 1.5 times as often as chance gives."""
+    evaluation.can_reach(k, q)
     scan = ball_drift_scan(windows(draws.select("t", "reds", "blue"), n, window, step), k=k, seed=seed, keys=["w"])
     each = scan.groupBy("w").agg((F.least(F.min("q_drift"), F.min("q_momentum")) < q).cast("int").alias("sig"))
     out = each.agg(F.count(F.lit(1)).alias("n_windows"), F.coalesce(F.sum("sig"), F.lit(0)).alias("n_sig_windows"), F.coalesce(F.avg("sig"), F.lit(0.0)).alias("frac_sig"))
@@ -116,6 +117,7 @@ def _label(alpha: float):
 def label_axes(draws: DataFrame, axes: dict[str, list[str]] | list[str], *, tests=("acf_max", "perm_entropy"), k: int = 40, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(sig, p_shuffle, p_aaft, p_marginal, label, flag): least p of each signal over its tests (or `tests`) under shuffles,
     under random phases, and on draws remade without memory from their marginals."""
+    evaluation.can_reach(k, alpha)
     axes = axes if isinstance(axes, dict) else {n: list(tests) for n in axes}
     jobs = {n: [(t, {}, k) for t in own] for n, own in axes.items()}
 
@@ -180,6 +182,7 @@ def axis_scan(draws: DataFrame, axes=AXES, *, k: int = 40, k_control: int = 60,
 
 def cross_null(rows: DataFrame, tests: list[str], *, k: int = 40, seed: int = 0, nulls=("shuffle", "aaft", "iaaft"), compat: bool = False) -> DataFrame:
     """p-values of each (sig, test) under several nulls ("twin" is one too), and whether all of them (any, if compat) are below .05."""
+    evaluation.can_reach(k, 0.05)
     out = None
     for null in nulls:
         got = evaluation.evaluate(rows, tests, k=k, null=null, seed=seed).select("sig", "test", F.col("p_raw").alias(f"p_{null}"))

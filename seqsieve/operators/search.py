@@ -244,8 +244,9 @@ class Frontier:
         self.best_z.append(max((sign(e) for e in self.elites), default=0.0))
 
 
-def evolve(draws: DataFrame, *, epochs: int = 3, pop: int = 12, seed: int = 0, frontier: Frontier | None = None, tests: list[str] = UNIVARIATE, fingerprint: str = "", prune: frozenset = frozenset(), **options) -> tuple[list[dict], Frontier]:
-    """Epochs of proposal and evaluation; the better half by p breeds the next. Tried genomes are skipped."""
+def evolve(draws: DataFrame, *, epochs: int = 3, pop: int = 12, seed: int = 0, frontier: Frontier | None = None, tests: list[str] = UNIVARIATE, fingerprint: str = "", prune: frozenset = frozenset(), store=None, **options) -> tuple[list[dict], Frontier]:
+    """Epochs of proposal and evaluation; the better half by p breeds the next. Tried genomes are skipped. Results are looked up
+    in, and added to, the frontier's cache or a shared table `store` (sources.evaluations.Evaluations)."""
     rng, frontier = random.Random(seed), frontier or Frontier()
     genome = lambda e: {"sig": e["sig"], "test": e["test"], "params": json.loads(e["params"])}
     population = [genome(e) for e in frontier.elites[: pop // 3]]
@@ -259,9 +260,11 @@ def evolve(draws: DataFrame, *, epochs: int = 3, pop: int = 12, seed: int = 0, f
                 population.append(new)
         tag = (fingerprint, options.get("k_light", 40), options.get("k_heavy", 20), options.get("null", "shuffle"), seed)
         unique = {key_of(g): g for g in population}
-        cached = [frontier.cache[(key, *tag)] for key in unique if (key, *tag) in frontier.cache]
-        fresh = evaluate_genomes(draws, [g for key, g in unique.items() if (key, *tag) not in frontier.cache], seed=seed, **options)
-        frontier.cache |= {(e["gkey"], *tag): e for e in fresh}
+        known = {k: v for k in ((key, *tag) for key in unique) if (v := frontier.cache.get(k)) is not None} if store is None else store.get([(key, *tag) for key in unique])
+        cached = list(known.values())
+        fresh = evaluate_genomes(draws, [g for key, g in unique.items() if (key, *tag) not in known], seed=seed, **options)
+        added = {(e["gkey"], *tag): e for e in fresh}
+        frontier.cache.update(added) if store is None else store.put(added)
         got = sorted([*cached, *fresh], key=lambda e: (e["p_raw"], e["gkey"]))
         evals += got
         frontier.update(got)

@@ -28,12 +28,12 @@ def dense_index(df: DataFrame, stretch: Column, order: list[str], name: str = "t
 def with_lags(df: DataFrame, most: int, column: str, name: str = "_lags", keys: list[str] = ()) -> DataFrame:
     """df with name = array of column at t - 1, ..., t - most (null where there is none). t is dense. The last `most` rows of
     each stretch go to the next one too, so a window sees no more than a stretch."""
-    rows, own = _reaching(df, most, 0), F.floor(F.col("t") / STRETCH)
+    rows, own = reaching(df, most, 0), F.floor(F.col("t") / STRETCH)
     w = Window.partitionBy(*keys, "_s").orderBy("t")
     return rows.withColumn(name, F.array(*[F.lag(column, i).over(w) for i in range(1, most + 1)])).where(F.col("_s") == own).drop("_s")
 
 
-def _reaching(df: DataFrame, back: int, ahead: int) -> DataFrame:
+def reaching(df: DataFrame, back: int, ahead: int = 0) -> DataFrame:
     """df with its stretch _s; the last `back` rows of a stretch also go to the next one, the first `ahead` to the one before."""
     if back >= STRETCH or ahead >= STRETCH:
         raise ValueError("shifts must be shorter than a stretch")
@@ -49,7 +49,7 @@ def shifted(df: DataFrame, lag: int, column: str, name: str, keys: list[str] = (
 
 def shifted_all(df: DataFrame, lags: dict[str, int], column: str, keys: list[str] = ()) -> DataFrame:
     """df with several shifts of a column, by name, from one pass."""
-    rows = _reaching(df, max(0, *lags.values()), max(0, *(-v for v in lags.values())))
+    rows = reaching(df, max(0, *lags.values()), max(0, *(-v for v in lags.values())))
     w = Window.partitionBy(*keys, "_s").orderBy("t")
     for name, lag in lags.items():
         there = F.lag(F.struct(F.col("t").alias("t"), F.col(column).alias("v")), lag).over(w)

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, forecast, gates, governance, resampling, scans, search, series, statistics
+from seqsieve.operators import evaluation, forecast, gates, governance, ledger, resampling, scans, search, series, statistics
 from seqsieve.plans.signal_queries import DRAWS, GAPS, SUM, X, keyed, r6, sums
 from seqsieve.sources import draws as draw_source
 from seqsieve.sources.draws import derived, table
+from seqsieve.sources.evaluations import Evaluations
 from seqsieve.sources.shared import shared_dir
 from seqsieve.streaming import jobs
 
@@ -294,23 +295,23 @@ def spectral_scan(spark, sf_dir):
 
 @register()
 def causal_scan(spark, sf_dir):
-    """All four pairs over all draws; cross mapping is quadratic in their number."""
-    return scans.causal_scan(derived(spark, sf_dir), k=8, seed=1)
+    """All four pairs over all draws."""
+    return scans.causal_scan(derived(spark, sf_dir), k=20, seed=1)
 
 
 @register()
 def label_axes(spark, sf_dir):
-    return scans.label_axes(derived(spark, sf_dir), ["red_sum", "red_parity"], k=20, seed=1)
+    return scans.label_axes(derived(spark, sf_dir), ["red_sum", "red_parity"], k=40, seed=1)
 
 
 @register()
 def axis_scan(spark, sf_dir):
-    return scans.axis_scan(derived(spark, sf_dir), k=20, k_control=20, seed=1)
+    return scans.axis_scan(derived(spark, sf_dir), k=40, k_control=60, seed=1)
 
 
 @register()
 def random_control(spark, sf_dir):
-    return scans.artifacts(derived(spark, sf_dir), ["red_sum", "red_parity"], k=20, seed=1)
+    return scans.artifacts(derived(spark, sf_dir), ["red_sum", "red_parity"], k=60, seed=1)
 
 
 @register()
@@ -328,10 +329,10 @@ def ingest_gate(spark, sf_dir):
 
 @register()
 def cross_null(spark, sf_dir):
-    return scans.cross_null(signals.long(derived(spark, sf_dir), ["red_sum", "blue"]), ["acf_max"], k=20, seed=1)
+    return scans.cross_null(signals.long(derived(spark, sf_dir), ["red_sum", "blue"]), ["acf_max"], k=40, seed=1)
 
 
-_RK = 10
+_RK = 100
 
 
 @register(
@@ -431,16 +432,16 @@ def pick_accuracy(spark, sf_dir):
 
 
 @register(
-    f"""WITH {DRAWS}, n AS (SELECT count(*) AS n FROM draws), o AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY md5('4:' || sid || ':' || t)) - 1 AS t, reds FROM draws, range(0, 4) r(sid) UNION ALL SELECT -1, t, reds FROM draws),
-  e AS (SELECT sid, t, unnest(reds) AS ball FROM o), tg AS (SELECT sid, t, reds FROM o, n WHERE n > 320 AND t >= 300 AND t < n - 1),
-  b AS (SELECT sid, t, ball, round(sum(pow(.99, tt - t0 - 1)), 9) AS score FROM (SELECT tg.sid, tg.t, e.ball, tg.t AS tt, e.t AS t0 FROM tg JOIN e ON e.sid = tg.sid AND e.t < tg.t AND e.t >= tg.t - 300) GROUP BY ALL),
-  k AS (SELECT *, row_number() OVER (PARTITION BY sid, t ORDER BY score DESC, ball) AS k FROM b),
-  h AS (SELECT tg.sid, count(DISTINCT tg.t) AS n, count(*) FILTER (list_contains(reds, ball)) / count(DISTINCT tg.t) / 6 AS rate FROM tg JOIN k ON k.sid = tg.sid AND k.t = tg.t AND k.k <= 6 GROUP BY tg.sid),
-  r AS (SELECT max(n) FILTER (sid = -1) AS n, max(rate) FILTER (sid = -1) AS hit FROM h), q AS (SELECT max(r.n) AS n, max(hit) AS hit, avg(rate) AS m, count(*) FILTER (rate >= hit) AS g, count(*) AS k FROM r LEFT JOIN h ON sid >= 0)
+    f"""WITH {DRAWS}, n AS (SELECT count(*) AS n FROM draws), o AS (SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY md5('4:' || sid || ':' || t)) - 1 AS t, reds FROM draws, range(0, 200) r(sid) UNION ALL SELECT -1, t, reds FROM draws),
+  x AS (SELECT sid, t, ball, CAST(list_contains(reds, ball) AS INTEGER) AS x FROM o, range(1, 34) b(ball)),
+  s AS (SELECT sid, t, ball, x, round(pow(.99, t - 1) * sum(x * pow(.99, -t)) OVER (PARTITION BY sid, ball ORDER BY t ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING), 9) AS score FROM x),
+  k AS (SELECT sid, t, x, row_number() OVER (PARTITION BY sid, t ORDER BY score DESC, ball) AS k FROM s, n WHERE n > 320 AND t >= 300 AND t < n - 1),
+  h AS (SELECT sid, count(DISTINCT t) AS n, sum(x) / count(DISTINCT t) / 6 AS rate FROM k WHERE k <= 6 GROUP BY sid),
+  r AS (SELECT max(n) FILTER (sid = -1) AS n, max(rate) FILTER (sid = -1) AS hit FROM h), q AS (SELECT max(r.n) AS n, max(hit) AS hit, avg(rate) AS m, count(*) FILTER (rate >= hit) AS g, count(rate) AS k FROM r LEFT JOIN h ON sid >= 0)
   SELECT n, round(hit, 6) AS hit_rate, round(6 / 33.0, 6) AS random_rate, round(m, 6) AS sur_mean, CASE WHEN n IS NOT NULL THEN round((1 + g) / (1.0 + k), 6) END AS p_random, coalesce(hit > m AND (1 + g) / (1.0 + k) < .05, false) AS above_random FROM q"""
 )
 def walk_forward(spark, sf_dir):
-    out = forecast.walk_forward(derived(spark, sf_dir), k=4, seed=4)
+    out = forecast.walk_forward(derived(spark, sf_dir), k=200, seed=4)
     return out.select("n", *[r6(F.col(c)).alias(c) for c in ("hit_rate", "random_rate", "sur_mean", "p_random")], "above_random")
 
 
@@ -596,7 +597,7 @@ def overclaims(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", governance.overclaims(F.col("text"), ["the ", "der "], ["or ", "oder "]).alias("claim"))
 
 
-@register(f"WITH {DRAWS} SELECT t, issue, blue FROM draws WHERE t < (SELECT floor(count(*) * .7) FROM draws)")
+@register(f"WITH {DRAWS} SELECT t, issue, blue FROM draws WHERE t < (SELECT CASE WHEN floor(count(*) * .7) < 30 THEN greatest(1, count(*) - 30) ELSE floor(count(*) * .7) END FROM draws)")
 def discovery_split(spark, sf_dir):
     return governance.discovery_part(derived(spark, sf_dir)).select("t", "issue", "blue")
 
@@ -782,3 +783,50 @@ def window_sliding(spark, sf_dir):
 def window_session(spark, sf_dir):
     return jobs.windowed(table(spark, sf_dir, "events"), "session").withColumn("total", F.round("total", 4))
 
+
+
+# Candidates of the ledger: customers, those of even segments with a verdict after them, in two appends; one entry is changed later.
+_LEDGER = """e AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS o, 'candidate' AS kind, c_name AS gkey, c_mktsegment AS source, CAST(NULL AS VARCHAR) AS fingerprint, CAST(c_nationkey AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS label, c_acctbal > 0 AS passed, CAST(NULL AS VARCHAR) AS verdict FROM customer),
+  v AS (SELECT n + row_number() OVER (ORDER BY c_custkey) - 1 AS o, 'verdict' AS kind, c_name AS gkey, NULL AS source, NULL AS fingerprint, NULL AS seed, NULL AS label, NULL AS passed, CASE WHEN c_nationkey % 2 = 0 THEN 'SIGNAL' ELSE 'NULL' END AS verdict FROM customer, (SELECT count(*) AS n FROM customer)),
+  r AS (SELECT o AS seq, CASE WHEN kind = 'candidate' THEN o // 4096 ELSE (n + 4095) // 4096 + (o - n) // 4096 END AS block, gkey, kind, passed, verdict,
+    sha256(o || concat(length(kind), ':', kind) || concat(length(gkey), ':', gkey) || coalesce(length(source) || ':' || source, '-') || '-' || coalesce(length(CAST(seed AS VARCHAR)) || ':' || seed, '-') || '-' || coalesce(length(CAST(passed AS VARCHAR)) || ':' || passed, '-') || coalesce(length(verdict) || ':' || verdict, '-') || '-') AS row_hash
+    FROM (SELECT * FROM e UNION ALL SELECT * FROM v), (SELECT count(*) AS n FROM customer)),
+  d AS (SELECT block, min(seq) AS first, count(*) AS n, sha256(string_agg(row_hash, '' ORDER BY seq)) AS digest FROM r GROUP BY block),
+  h AS (SELECT block, sha256('|' || block || '|' || first || '|' || n || '|' || digest) AS hash FROM d WHERE block = 0 UNION ALL SELECT d.block, sha256(h.hash || '|' || d.block || '|' || d.first || '|' || d.n || '|' || d.digest) FROM h JOIN d ON d.block = h.block + 1)"""
+
+
+def _ledger(spark, sf_dir):
+    path = f"{shared_dir(spark)}/seqsieve-ledger-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "customer")
+    ledger.append(c.select(F.col("c_custkey").alias("o"), F.lit("candidate").alias("kind"), F.col("c_name").alias("gkey"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").alias("seed"), (F.col("c_acctbal") > 0).alias("passed")), path, "o")
+    ledger.append(c.select(F.col("c_custkey").alias("o"), F.lit("verdict").alias("kind"), F.col("c_name").alias("gkey"), F.when(F.col("c_nationkey") % 2 == 0, "SIGNAL").otherwise("NULL").alias("verdict")), path, "o")
+    return ledger.read(spark, path)
+
+
+@register(f"WITH RECURSIVE {_LEDGER} SELECT seq, row_hash, hash AS block_hash, CASE WHEN seq = 7 THEN 'content' END AS why FROM r JOIN h USING (block)")
+def audit_ledger(spark, sf_dir):
+    """All entries, after one of them was made to say that it had passed, or had not."""
+    rows, blocks = _ledger(spark, sf_dir)
+    changed = rows.withColumn("passed", F.when(F.col("seq") == 7, ~F.col("passed")).otherwise(F.col("passed")))
+    return ledger.verify(changed, blocks).join(blocks.select("block", F.col("hash").alias("block_hash")), "block").select("seq", "row_hash", "block_hash", "why")
+
+
+@register(f"WITH RECURSIVE {_LEDGER}, s AS (SELECT c_name AS gkey, 'auditor ' || c_nationkey AS signed_by FROM customer WHERE c_custkey % 3 = 0) SELECT gkey, signed_by FROM s WHERE gkey IN (SELECT gkey FROM r WHERE kind = 'candidate' AND passed) AND gkey IN (SELECT gkey FROM r WHERE verdict = 'SIGNAL')")
+def promotions(spark, sf_dir):
+    signed = table(spark, sf_dir, "customer").select(F.col("c_name").alias("gkey"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("auditor "), F.col("c_nationkey").cast("string"))).alias("signed_by"))
+    return ledger.promotable(*_ledger(spark, sf_dir), signed)
+
+
+@register(
+    f"""WITH {_USER_P}, a AS (SELECT user_id || ':' || event_type AS gkey, user_id, p_raw FROM p)
+  SELECT gkey, CASE WHEN user_id % 3 = 0 THEN 'second' WHEN user_id % 2 = 0 THEN 'first' END AS writer FROM a"""
+)
+def shared_evaluations(spark, sf_dir):
+    """What a search finds in the table after two writers; none for keys that neither wrote."""
+    own = Evaluations(spark, f"{shared_dir(spark)}/seqsieve-evaluations-{uuid.uuid4().hex}")
+    asked = _user_p(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("gkey"), "user_id", F.lit("f").alias("fingerprint"), F.lit(40).alias("k_light"), F.lit(20).alias("k_heavy"), F.lit("shuffle").alias("null_type"), F.lit(0).alias("seed"))
+    own.append(asked.where("user_id % 2 = 0").withColumn("value", F.lit("first")))
+    own.append(asked.where("user_id % 3 = 0").withColumn("value", F.lit("second")))
+    own.compact()
+    hits, misses = own.answers(asked.drop("user_id"))
+    return hits.select("gkey", F.col("value").alias("writer")).unionByName(misses.select("gkey", F.lit(None).cast("string").alias("writer")))

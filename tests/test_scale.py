@@ -108,24 +108,24 @@ def test_transfer_entropy_of_longer_pasts():
 
 def test_axes_and_ingest(spark):
     d = fair(spark, 260).cache()
-    got = {r.sig: r for r in scans.axis_scan(d, [("g", "red_sum", ("acf_max",)), ("g", "red_recurrence_mean", ("acf_max",))], k=19, k_control=19, seed=1).collect()}
+    got = {r.sig: r for r in scans.axis_scan(d, [("g", "red_sum", ("acf_max",)), ("g", "red_recurrence_mean", ("acf_max",))], k=20, k_control=20, seed=1).collect()}
     assert set(got) == {"red_sum", "red_recurrence_mean"} and all(r.label in ("NULL", "LINEAR_TIME_ARTIFACT", "SURVIVOR", "ARTIFACT_BY_CONSTRUCTION") for r in got.values())
     asked = spark.createDataFrame([("red_sum", "acf_max"), ("red_sum", "acf_max"), ("nothing", "acf_max"), (None, "x")], "sig string, test string")
-    fate = {(r.sig, r.test): r for r in gates.ingest(d, asked, k=19, k_control=19, seed=1).collect()}
+    fate = {(r.sig, r.test): r for r in gates.ingest(d, asked, k=20, k_control=20, seed=1).collect()}
     assert set(fate) == {("red_sum", "acf_max"), ("nothing", "acf_max")} and fate["nothing", "acf_max"].label == "ERROR"
     assert all(r.absorbed == (r.label == "SURVIVOR" and not r.artifact) for r in fate.values())
     evals = spark.createDataFrame([("red_sum", 0.9), ("blue", 0.1)], "sig string, p_raw double")
     known = spark.createDataFrame([("red_parity",)], "sig string")
-    assert {r.sig for r in scans.artifact_prone(d, evals, known, k=9).collect()} <= {"red_parity", "blue"}
+    assert {r.sig for r in scans.artifact_prone(d, evals, known, k=20).collect()} <= {"red_parity", "blue"}
 
 
 def test_walk_forward_sees_a_hot_ball(spark):
     rng = np.random.default_rng(7)
     rows = [(t, sorted(map(int, rng.choice(np.arange(1, 10) if t % 2 else np.arange(1, 34), 6, False))), 1) for t in range(200)]
     d = spark.createDataFrame(rows, "t long, reds array<int>, blue int")
-    r = forecast.walk_forward(d, train_n=50, k=19, seed=1).first()
+    r = forecast.walk_forward(d, train_n=50, k=20, seed=1).first()
     assert r.n == 149 and r.hit_rate > 0.3 and 0 < r.p_random <= 1
-    assert forecast.walk_forward(d.where("t < 60"), train_n=50, k=3).first().n is None
+    assert forecast.walk_forward(d.where("t < 60"), train_n=50, k=20).first().n is None
 
 
 def test_pick_accuracy_bounds(spark):
