@@ -95,7 +95,25 @@ def document_rows(texts: list[str], sizes, buckets, together: int = 100):
             cols.append(own.astype(np.int32))
             vals.append((np.bincount(back, weight[at] * np.repeat(times, lens), len(own)) / max(1.0, float((times * n_words[ids]).sum()))).astype(np.float32))
             edges.append(edges[-1] + len(own))
-    return np.array(edges), np.concatenate(cols), np.concatenate(vals)
+    joined = []
+    for parts in (cols, vals):  # parts go as they are joined, so that nothing is there twice
+        out, at = np.empty(edges[-1], parts[0].dtype), 0
+        for i, part in enumerate(parts):
+            out[at : at + len(part)] = part
+            at += len(part)
+            parts[i] = None
+        joined.append(out)
+    return np.array(edges), *joined
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: a driver goes on with other work after training."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 @dataclass(frozen=True)
@@ -126,20 +144,33 @@ def train(texts: list[str], labels: list, *, classes: list, sizes=(3, 4, 5), buc
     used = np.flatnonzero(np.bincount(cols, minlength=buckets) >= min_documents)
     at = np.full(buckets, -1, np.int32)
     at[used] = np.arange(len(used))
-    own = at[cols] >= 0
-    vals = (vals[own] * scale).astype(np.float32)
-    edges, cols = np.concatenate(([0], np.cumsum(own)))[edges], at[cols[own]]
+    cols = at[cols]
+    own = cols >= 0
+    vals, cols = vals[own], cols[own]
+    vals *= np.float32(scale)
+    edges = np.where(edges > 0, np.cumsum(own, dtype=np.int32)[edges - 1], 0) if len(own) else edges
+    del own
     e = (rng.uniform(-1, 1, (len(used), dim)) / dim).astype(np.float32)
     w = rng.normal(0, 0.1, (dim, k)).astype(np.float32)
     bias = np.log((np.bincount(y, minlength=k) + 1.0) / (n + k))
     ge, gw, gb = np.full(e.shape, 1e-6, np.float32), np.full(w.shape, 1e-6, np.float32), np.full(k, 1e-6)
     order, groups = rng.permutation(n), []
-    for first in range(0, n, batch):  # a batch's layout is worked out once
-        docs = order[first : first + batch]
-        lens = edges[docs + 1] - edges[docs]
-        pick = np.repeat(edges[docs] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        which, back = np.unique(cols[pick], return_inverse=True)
-        groups.append((docs, which, np.repeat(np.arange(len(docs), dtype=np.uint8 if batch < 256 else np.int32), lens), back.astype(np.int32), vals[pick]))
+    lens = np.diff(edges)[order]
+    stops = np.concatenate(([0], np.cumsum(lens)))
+
+    def in_order(values: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        for first in range(0, n, batch):
+            docs, own = order[first : first + batch], lens[first : first + batch]
+            out[stops[first] : stops[first] + own.sum()] = values[np.repeat(edges[docs] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+        return out
+
+    vals, cols = in_order(vals), in_order(cols)
+    for first in range(0, n, batch):  # a batch's layout is worked out once, in the place of its columns
+        docs, own = order[first : first + batch], lens[first : first + batch]
+        part = slice(stops[first], stops[first] + own.sum())
+        which, cols[part] = np.unique(cols[part], return_inverse=True)
+        groups.append((docs, which, np.repeat(np.arange(len(docs), dtype=np.uint8 if batch < 256 else np.int32), own), cols[part], vals[part]))
     turn = np.concatenate([rng.permutation(len(groups)) for _ in range(-(-steps // max(1, len(groups))))])[:steps]
     for done, g in enumerate(turn):
         docs, which, row, back, v = groups[g]
@@ -161,6 +192,8 @@ def train(texts: list[str], labels: list, *, classes: list, sizes=(3, 4, 5), buc
         bias = bias - step * db / np.sqrt(gb)
     table = np.zeros((buckets, k), np.float32)
     table[used] = scale * (e @ w)
+    del groups, vals, cols
+    _give_back()
     return Model(classes, table, bias, tuple(sizes))
 
 
