@@ -27,13 +27,14 @@ def rank_p(real: DataFrame, surrogates: DataFrame, keys: list[str], direction: s
     return out.select(*keys, "stat", "sur_mean", "sur_std", F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), z)).alias("z"), ((1 + F.col("hits")) / (1 + F.col("k_sur"))).alias("p_raw"), "k_sur", "sur_max", "sur_min")
 
 
-def grid(packed: DataFrame, jobs: dict[str | None, list[tuple[str, dict, int]]], *, null: str = "shuffle", seed: int = 0, parts: int | None = None, bundles: int = 4) -> DataFrame:
+def grid(packed: DataFrame, jobs: dict[str | None, list[tuple[str, dict, int]]], *, null: str = "shuffle", seed: int = 0, parts: int | None = None, bundles: int = 4, seeds: dict[str, int] | None = None) -> DataFrame:
     """Evaluation rows (series_id, test, knobs, stat, sur_mean, ..., sur_min) of packed series (series_id, x[, y]).
 
     jobs has (test, knobs, k) for a series_id, or under None for all others. Series are dealt into `bundles`; a bundle goes to at
     most `parts` tasks (16, or one for every 25 surrogates), each of which makes its share of the surrogates, one at a time, and puts each to all the series' tests:
     surrogates are neither stored nor moved, and a permutation serves a bundle. What comes back is a number for each surrogate
-    and test. A task holds a bundle, so take more bundles for many or long series.
+    and test. A task holds a bundle, so take more bundles for many or long series. seeds has the seeds of series with their own,
+    whose ids then are the seed, a bar, and what the id would be without.
     """
     import json
 
@@ -51,7 +52,7 @@ def grid(packed: DataFrame, jobs: dict[str | None, list[tuple[str, dict, int]]],
             for name, values, own in held:
                 wanted = [(test, knobs) for test, knobs, k in own if sid < k]
                 if wanted:
-                    made = values if sid < 0 else resampling.surrogate(values, null, seed, name, sid, orders)
+                    made = values if sid < 0 else resampling.surrogate(values, null, *((seeds[name], name.split("|", 1)[1]) if seeds else (seed, name)), sid, orders)
                     for test, knobs in wanted:
                         stat = statistics.TESTS[test][0](*made, **knobs)
                         out.append((name, test, json.dumps(knobs, sort_keys=True), sid, float(stat) if np.isfinite(stat) else np.nan))

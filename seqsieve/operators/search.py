@@ -180,25 +180,37 @@ def series_of(draws: DataFrame, genomes: list[dict], seed: int = 0) -> DataFrame
 
 def evaluate_genomes(draws: DataFrame, genomes: list[dict], *, k_light: int = 40, k_heavy: int = 20, null: str = "shuffle", seed: int = 0) -> list[dict]:
     """Evaluation rows of all genomes by one job (one more for paired tests, whose target is the blue ball); few rows come back."""
-    found = []
+    return evaluate_islands(draws, {seed: genomes}, k_light=k_light, k_heavy=k_heavy, null=null)[seed]
+
+
+def evaluate_islands(draws: DataFrame, islands: dict[int, list[dict]], *, k_light: int = 40, k_heavy: int = 20, null: str = "shuffle") -> dict[int, list[dict]]:
+    """The same for the genomes of several seeds, each against its own seed's surrogates, by the same one or two jobs."""
+    found: dict[int, list[dict]] = {seed: [] for seed in islands}
     for paired in (False, True):
-        own = [g for g in genomes if (g["test"] in statistics.PAIRED) == paired]
-        if not own:
+        rows, jobs, seeds = None, {}, {}
+        columns = ["x", "y"] if paired else ["x"]
+        for seed, genomes in islands.items():
+            own = [g for g in genomes if (g["test"] in statistics.PAIRED) == paired]
+            if not own:
+                continue
+            for g in own:
+                name = f"{seed}|{series_key(g)}"
+                one = (g["test"], g["params"].get("_test") or {}, k_light if statistics.TESTS[g["test"]][2] == "light" else k_heavy)
+                seeds[name] = seed
+                if one not in jobs.setdefault(name, []):
+                    jobs[name].append(one)
+            made = series_of(draws, own, seed).withColumn("series_id", F.concat(F.lit(f"{seed}|"), "series_id"))
+            rows = made if rows is None else rows.unionByName(made)
+        if rows is None:
             continue
-        jobs: dict[str, list] = {}
-        for g in own:
-            one = (g["test"], g["params"].get("_test") or {}, k_light if statistics.TESTS[g["test"]][2] == "light" else k_heavy)
-            jobs.setdefault(series_key(g), [])
-            if one not in jobs[series_key(g)]:
-                jobs[series_key(g)].append(one)
-        packed = statistics.packed(series_of(draws, own, seed), ["series_id"], ["x", "y"] if paired else ["x"])
-        rows = evaluation.grid(packed, jobs, null="shuffle" if paired else null, seed=seed)
-        got = {(r.series_id, r.test, r.knobs): r.asDict() for r in rows.collect()}
-        for g in own:
-            r = got.get((series_key(g), g["test"], json.dumps(g["params"].get("_test") or {}, sort_keys=True)))
-            if r is not None:
-                _, direction, tier = statistics.TESTS[g["test"]]
-                found.append(r | {"sig": g["sig"], "direction": direction, "tier": tier, "sur_type": null, "params": json.dumps(g["params"], sort_keys=True), "gkey": key_of(g)})
+        used = "shuffle" if paired else null
+        got = {(r.series_id, r.test, r.knobs): r.asDict() for r in evaluation.grid(statistics.packed(rows, ["series_id"], columns), jobs, null=used, seeds=seeds).collect()}
+        for seed, genomes in islands.items():
+            for g in genomes:
+                r = got.get((f"{seed}|{series_key(g)}", g["test"], json.dumps(g["params"].get("_test") or {}, sort_keys=True)))
+                if r is not None and (g["test"] in statistics.PAIRED) == paired:
+                    _, direction, tier = statistics.TESTS[g["test"]]
+                    found[seed].append(r | {"series_id": series_key(g), "sig": g["sig"], "direction": direction, "tier": tier, "sur_type": null, "params": json.dumps(g["params"], sort_keys=True), "gkey": key_of(g)})
     return found
 
 
@@ -244,10 +256,9 @@ class Frontier:
         self.best_z.append(max((sign(e) for e in self.elites), default=0.0))
 
 
-def evolve(draws: DataFrame, *, epochs: int = 3, pop: int = 12, seed: int = 0, frontier: Frontier | None = None, tests: list[str] = UNIVARIATE, fingerprint: str = "", prune: frozenset = frozenset(), store=None, **options) -> tuple[list[dict], Frontier]:
-    """Epochs of proposal and evaluation; the better half by p breeds the next. Tried genomes are skipped. Results are looked up
-    in, and added to, the frontier's cache or a shared table `store` (sources.evaluations.Evaluations)."""
-    rng, frontier = random.Random(seed), frontier or Frontier()
+def _evolution(epochs: int, pop: int, seed: int, frontier: Frontier, tests: list[str], prune: frozenset, tag: tuple, store):
+    """A search as a generator: yields the genomes that it needs evaluated, is sent their rows, returns all its evaluations."""
+    rng = random.Random(seed)
     genome = lambda e: {"sig": e["sig"], "test": e["test"], "params": json.loads(e["params"])}
     population = [genome(e) for e in frontier.elites[: pop // 3]]
     evals: list[dict] = []
@@ -258,49 +269,83 @@ def evolve(draws: DataFrame, *, epochs: int = 3, pop: int = 12, seed: int = 0, f
             new = random_genome(rng, tests, prune)
             if key_of(new) not in frontier.tried:
                 population.append(new)
-        tag = (fingerprint, options.get("k_light", 40), options.get("k_heavy", 20), options.get("null", "shuffle"), seed)
         unique = {key_of(g): g for g in population}
         known = {k: v for k in ((key, *tag) for key in unique) if (v := frontier.cache.get(k)) is not None} if store is None else store.get([(key, *tag) for key in unique])
-        cached = list(known.values())
-        fresh = evaluate_genomes(draws, [g for key, g in unique.items() if (key, *tag) not in known], seed=seed, **options)
+        fresh = yield [g for key, g in unique.items() if (key, *tag) not in known]
         added = {(e["gkey"], *tag): e for e in fresh}
         frontier.cache.update(added) if store is None else store.put(added)
-        got = sorted([*cached, *fresh], key=lambda e: (e["p_raw"], e["gkey"]))
+        got = sorted([*known.values(), *fresh], key=lambda e: (e["p_raw"], e["gkey"]))
         evals += got
         frontier.update(got)
         half = [genome(e) for e in got[: max(2, len(got) // 2)]]
         population = [recombine(rng.choice(half), rng.choice(half), rng) if rng.random() < 0.5 else mutate(rng.choice(half), rng, tests) for _ in range(pop)] if half else []
         population = [g for g in population if key_of(g) not in frontier.tried]
-    return list({e["gkey"]: e for e in evals}.values()), frontier
+    return list({e["gkey"]: e for e in evals}.values())
 
 
-def tune(draws: DataFrame, sig: str, test: str, *, comp: dict | None = None, discovery: float = 0.7, k: int = 40, steps: int = 4, anchors: int = 6, seed: int = 0) -> tuple[dict, float]:
-    """The test's knobs with the most extreme z on the discovery part: a grid of anchors for each knob, evaluated together,
-    then coordinate steps of half the size until none helps."""
-    n = draws.count()
-    part = draws.where(F.col("t") < int(n * discovery))
+def _together(searches: dict, evaluate) -> dict:
+    """Run generators step by step: what all of them ask for goes to evaluate({name: genomes}) at once. {name: what it returned}."""
+    done, wanted, rows = {}, {}, dict.fromkeys(searches)
+    while searches:
+        for name in list(searches):
+            try:
+                wanted[name] = searches[name].send(rows[name])
+            except StopIteration as end:
+                done[name] = end.value
+                del searches[name]
+                wanted.pop(name, None)
+        asked = {name: genomes for name, genomes in wanted.items() if genomes}
+        rows = {name: [] for name in wanted} | (evaluate(asked) if asked else {})
+    return done
+
+
+def evolve(draws: DataFrame, *, epochs: int = 3, pop: int = 12, seed: int = 0, frontier: Frontier | None = None, tests: list[str] = UNIVARIATE, fingerprint: str = "", prune: frozenset = frozenset(), store=None, **options) -> tuple[list[dict], Frontier]:
+    """Epochs of proposal and evaluation; the better half by p breeds the next. Tried genomes are skipped. Results are looked up
+    in, and added to, the frontier's cache or a shared table `store` (sources.evaluations.Evaluations)."""
+    found, frontiers = evolve_seeds(draws, [seed], epochs=epochs, pop=pop, frontiers={seed: frontier or Frontier()}, tests=tests, fingerprint=fingerprint, prune=prune, store=store, **options)
+    return found[seed], frontiers[seed]
+
+
+def evolve_seeds(draws: DataFrame, seeds: list[int], *, epochs: int = 3, pop: int = 12, frontiers: dict[int, Frontier] | None = None, tests: list[str] = UNIVARIATE, fingerprint: str = "", prune: frozenset = frozenset(), store=None, **options) -> tuple[dict[int, list[dict]], dict[int, Frontier]]:
+    """({seed: evaluations}, {seed: frontier}): a search for each seed, as evolve() makes it alone. An epoch of all seeds is one
+    job (one more where paired tests are among them)."""
+    frontiers = frontiers or {seed: Frontier() for seed in seeds}
+    k = (options.get("k_light", 40), options.get("k_heavy", 20), options.get("null", "shuffle"))
+    searches = {seed: _evolution(epochs, pop, seed, frontiers[seed], tests, prune, (fingerprint, *k, seed), store) for seed in seeds}
+    return _together(searches, lambda asked: evaluate_islands(draws, asked, **options)), frontiers
+
+
+def seed_candidates(spark, found: dict[int, list[dict]], below: float = 0.2) -> DataFrame:
+    """What seeds send on: (seed, sig, test, params, p_raw, z, tier) of their evaluations with p below the bound, for
+    sources.logs.merged() and gates.ingest(). Some dozens a seed."""
+    rows = [(seed, e["sig"], e["test"], e["params"], float(e["p_raw"]), float(e["z"]), e["tier"]) for seed, evals in found.items() for e in evals if e["p_raw"] < below]
+    return spark.createDataFrame(rows, "seed long, sig string, test string, params string, p_raw double, z double, tier string")
+
+
+def _climb(sig: str, test: str, comp: dict | None, steps: int, anchors: int):
+    """Tuning as a generator: yields the genomes that it needs, is sent their rows, returns (knobs, the most extreme z)."""
     sign = 1 if statistics.TESTS[test][1] == "high" else -1
     memo: dict[str, float] = {}
 
-    def scores(settings: list[dict]) -> list[float]:
-        new = [{"sig": sig, "test": test, "params": {"_test": s} | ({"_comp": comp} if comp else {})} for s in settings if json.dumps(s, sort_keys=True) not in memo]
-        for e in evaluate_genomes(part, new, k_light=k, k_heavy=k, seed=seed):
+    def scores(settings: list[dict]):
+        rows = yield [{"sig": sig, "test": test, "params": {"_test": s} | ({"_comp": comp} if comp else {})} for s in settings if json.dumps(s, sort_keys=True) not in memo]
+        for e in rows:
             memo[json.dumps(json.loads(e["params"])["_test"], sort_keys=True)] = sign * e["z"]
         return [memo.get(json.dumps(s, sort_keys=True), -math.inf) for s in settings]
 
     fit = lambda v, spec: round(min(max(v, spec[0]), spec[1]), 6) if isinstance(spec[2], float) else int(min(max(round(v), spec[0]), spec[1]))
     spec = KNOBS.get(test, {})
     best = {name: fit((s[0] + s[1]) / 2, s) for name, s in spec.items()}
-    top = scores([best])[0]
+    top = (yield from scores([best]))[0]
     for name, s in spec.items():
         grid = [best | {name: fit(s[0] + (s[1] - s[0]) * i / max(1, anchors - 1), s)} for i in range(anchors)]
-        got = scores(grid)
+        got = yield from scores(grid)
         if max(got) > top:
             top, best = max(got), grid[got.index(max(got))]
     size = {name: (s[1] - s[0]) / 4 for name, s in spec.items()}
     for _ in range(steps):
         near = [best | {name: fit(best[name] + d * size[name], spec[name])} for name in spec for d in (-1, 1)]
-        got = scores(near) if near else []
+        got = (yield from scores(near)) if near else []
         if got and max(got) > top:
             top, best = max(got), near[got.index(max(got))]
         else:
@@ -308,6 +353,25 @@ def tune(draws: DataFrame, sig: str, test: str, *, comp: dict | None = None, dis
     return best, top
 
 
+def _climbed(part: DataFrame, templates: list[tuple], k: int, steps: int, anchors: int, seed: int) -> list[tuple[dict, float]]:
+    """(knobs, z) of templates (sig, test, comp); a step of all of them is one job."""
+
+    def evaluate(asked: dict[int, list[dict]]) -> dict[int, list[dict]]:
+        unique = {key_of(g): g for own in asked.values() for g in own}
+        got = {e["gkey"]: e for e in evaluate_genomes(part, list(unique.values()), k_light=k, k_heavy=k, seed=seed)}
+        return {i: [got[key_of(g)] for g in own if key_of(g) in got] for i, own in asked.items()}
+
+    done = _together({i: _climb(*t, steps, anchors) for i, t in enumerate(templates)}, evaluate)
+    return [done[i] for i in range(len(templates))]
+
+
+def tune(draws: DataFrame, sig: str, test: str, *, comp: dict | None = None, discovery: float = 0.7, k: int = 40, steps: int = 4, anchors: int = 6, seed: int = 0) -> tuple[dict, float]:
+    """The test's knobs with the most extreme z on the discovery part: a grid of anchors for each knob, evaluated together,
+    then coordinate steps of half the size until none helps."""
+    part = draws.where(F.col("t") < int(draws.count() * discovery))
+    return _climbed(part, [(sig, test, comp)], k, steps, anchors, seed)[0]
+
+
 # What the formula search tunes, as (signal, test).
 POOL = (("red_sum", "acf_max"), ("red_sum", "mi_max"), ("red_sum", "dfa_alpha"), ("red_sum", "perm_entropy"), ("blue", "acf_max"), ("blue", "mi_max"), ("comp", "acf_max"), ("comp", "mi_max"), ("comp", "dfa_alpha"))
 
@@ -315,12 +379,9 @@ POOL = (("red_sum", "acf_max"), ("red_sum", "mi_max"), ("red_sum", "dfa_alpha"),
 def diff_search(draws: DataFrame, *, candidates: int = len(POOL), discovery: float = 0.7, k: int = 40, steps: int = 4, anchors: int = 6, seed: int = 0) -> list[dict]:
     """Records (sig, test, params, z, disc_p) of the pool's templates, each tuned on the discovery part only and then measured
     there once more with surrogates it was not tuned on. What they are worth is for the gates to say."""
-    rng, n, out = random.Random(seed), draws.count(), []
-    part = draws.where(F.col("t") < int(n * discovery))
-    for i in range(candidates):
-        sig, test = POOL[i % len(POOL)]
-        comp = random_formula(rng) if sig == "comp" else None
-        knobs, z = tune(draws, sig, test, comp=comp, discovery=discovery, k=k, steps=steps, anchors=anchors, seed=seed)
-        out.append({"sig": sig, "test": test, "params": {"_test": knobs} | ({"_comp": comp} if comp else {}), "z": z})
+    rng, part = random.Random(seed), draws.where(F.col("t") < int(draws.count() * discovery))
+    templates = [(sig, test, random_formula(rng) if sig == "comp" else None) for sig, test in (POOL[i % len(POOL)] for i in range(candidates))]
+    tuned = _climbed(part, templates, k, steps, anchors, seed)
+    out = [{"sig": sig, "test": test, "params": {"_test": knobs} | ({"_comp": comp} if comp else {}), "z": z} for (sig, test, comp), (knobs, z) in zip(templates, tuned)]
     got = {e["gkey"]: e["p_raw"] for e in evaluate_genomes(part, out, k_light=k, k_heavy=k, seed=seed + 1)}
     return [r | {"disc_p": got.get(key_of(r))} for r in out]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
@@ -11,6 +12,7 @@ from seqsieve.functions import signals
 from seqsieve.operators import evaluation, forecast, gates, governance, ledger, resampling, scans, search, series, statistics
 from seqsieve.plans.signal_queries import DRAWS, GAPS, SUM, X, keyed, r6, sums
 from seqsieve.sources import draws as draw_source
+from seqsieve.sources import logs
 from seqsieve.sources.draws import derived, table
 from seqsieve.sources.evaluations import Evaluations
 from seqsieve.sources.shared import shared_dir
@@ -830,3 +832,18 @@ def shared_evaluations(spark, sf_dir):
     own.compact()
     hits, misses = own.answers(asked.drop("user_id"))
     return hits.select("gkey", F.col("value").alias("writer")).unionByName(misses.select("gkey", F.lit(None).cast("string").alias("writer")))
+
+
+@register()
+def evolve_seeds(spark, sf_dir):
+    """Three searches at once, and what they send on, merged."""
+    found, _ = search.evolve_seeds(derived(spark, sf_dir), [1, 2, 3], epochs=2, pop=8, tests=["acf_max", "mi_max", "perm_entropy"], k_light=20)
+    return logs.merged(search.seed_candidates(spark, found, below=1.1)).select("sig", "test", "params", r6(F.col("p_raw")).alias("p_raw"), r6(F.col("z")).alias("z"), "tier", "seeds")
+
+
+@register()
+def diff_search(spark, sf_dir):
+    """The pool's templates, tuned together."""
+    found = search.diff_search(derived(spark, sf_dir), k=20, steps=2, anchors=4, seed=2)
+    rows = [(i, r["sig"], r["test"], json.dumps(r["params"], sort_keys=True), float(r["z"]), r["disc_p"]) for i, r in enumerate(found)]
+    return spark.createDataFrame(rows, "place int, sig string, test string, params string, z double, disc_p double").withColumns({"z": r6(F.col("z")), "disc_p": r6(F.col("disc_p"))})

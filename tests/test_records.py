@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
 from seqsieve.operators import evaluation, forecast, governance, ledger, resampling, scans, search
+from seqsieve.sources import logs
 from seqsieve.sources.evaluations import KEYS, Evaluations
 
 
@@ -100,12 +101,42 @@ def test_a_search_goes_on_from_the_table(spark, tmp_path, monkeypatch):
     kept = lambda evals: sorted((e["gkey"], e["p_raw"], round(e["stat"], 12)) for e in evals)
     assert kept(first) == kept(plain) and table.read().count() == len(first)
     asked = []
-    was = search.evaluate_genomes
-    monkeypatch.setattr(search, "evaluate_genomes", lambda draws, genomes, **o: asked.extend(genomes) or was(draws, genomes, **o))
+    was = search.evaluate_islands
+    monkeypatch.setattr(search, "evaluate_islands", lambda draws, islands, **o: asked.append(islands) or was(draws, islands, **o))
     again, _ = search.evolve(d, store=table, **options)
     assert kept(again) == kept(first) and asked == []
 
 
+def test_seeds_together_equal_seeds_alone(spark, monkeypatch):
+    d = resampling.random_draws(spark, 120, 5).cache()
+    options = {"epochs": 2, "pop": 4, "tests": ["acf_max", "perm_entropy", "transfer_entropy"], "k_light": 9, "k_heavy": 5}
+    jobs = []
+    was = search.evaluate_islands
+    monkeypatch.setattr(search, "evaluate_islands", lambda draws, islands, **o: jobs.append(set(islands)) or was(draws, islands, **o))
+    found, frontiers = search.evolve_seeds(d, [1, 2, 7], **options)
+    assert jobs == [{1, 2, 7}] * 2
+    kept = lambda evals: sorted((e["gkey"], e["p_raw"], round(e["stat"], 12), round(e["sur_mean"], 12)) for e in evals)
+    for seed in (1, 2, 7):
+        alone, frontier = search.evolve(d, seed=seed, **options)
+        assert kept(found[seed]) == kept(alone) and frontiers[seed].tried == frontier.tried and frontiers[seed].best_z == frontier.best_z
+    sent = search.seed_candidates(spark, found, below=2.0)
+    merged = logs.merged(sent).collect()
+    assert sent.count() == sum(map(len, found.values())) and sum(r.seeds for r in merged) == sent.count()
+
+
+def test_templates_are_tuned_together(spark, monkeypatch):
+    d = resampling.random_draws(spark, 150, 6).cache()
+    options = {"k": 9, "steps": 2, "anchors": 3, "seed": 4}
+    jobs = []
+    was = search.evaluate_genomes
+    monkeypatch.setattr(search, "evaluate_genomes", lambda draws, genomes, **o: jobs.append(len(genomes)) or was(draws, genomes, **o))
+    records = search.diff_search(d, **options)
+    assert len(jobs) <= 1 + 2 + 2 + 1  # the middle, two knobs' anchors at most, the steps, the last measure
+    assert [(r["sig"], r["test"]) for r in records] == list(search.POOL)
+    for r in records[:2] + records[6:7]:
+        assert search.tune(d, r["sig"], r["test"], comp=r["params"].get("_comp"), **options) == (r["params"]["_test"], pytest.approx(r["z"]))
+
+
 # Gates
 
 
