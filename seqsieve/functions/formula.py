@@ -91,6 +91,17 @@ def depth_of(formula) -> int:
     return 1 + max(depth_of(formula.get("a")), depth_of(formula.get("b"))) if isinstance(formula, dict) else 0
 
 
+def valid(formula) -> bool:
+    """Whether build() takes the formula: known operations and signals, nested to a depth of two."""
+    def fits(spec, depth: int) -> bool:
+        if not isinstance(spec, dict):
+            return spec in signals.SIGNALS
+        b = spec.get("b")
+        return depth < 3 and spec.get("op") in OPS and fits(spec.get("a"), depth + 1) and (b is None or fits(b, depth + 1)) and isinstance(spec.get("k", 1), int) and 0 < spec.get("k", 1) < series.STRETCH
+
+    return isinstance(formula, dict) and fits(formula, 0)
+
+
 def key(sig: str, test: str, params: dict) -> str:
     return f"{sig}|{test}|{json.dumps(params, sort_keys=True)}"
 

@@ -181,7 +181,7 @@ def presence_of(draws: DataFrame, keys: list[str]) -> DataFrame:
     return draws.select(*keys, "t", ball.alias("b")).select(*keys, "t", "b.colour", "b.ball")
 
 
-SERIES = {"red_recurrence_mean": recurrence_mean, "lp_red_centroid_velocity": centroid_velocity, "lp_blue_resid_autocorr": blue_resid_autocorr, "lp_red_entropy_rate": entropy_rate}
+SERIES = {"red_recurrence_mean": recurrence_mean, "lp_red_centroid_velocity": centroid_velocity, "lp_blue_resid_autocorr": blue_resid_autocorr, "lp_red_entropy_rate": entropy_rate, "red_sum_rev": lambda d: sum_reversed(d, d.count()), "red_sum_block": lambda d: sum_in_blocks(d, d.count())}
 
 # Families of signals, for diversity among elites; a signal not named here is of the family "other".
 FAMILIES = {

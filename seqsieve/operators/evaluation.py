@@ -106,7 +106,7 @@ def evaluate_pair(rows: DataFrame, tests: str | list[str], *, k: int, seed: int
     return grid(statistics.packed(rows, ["series_id"], ["x", "y"]), jobs, seed=seed).drop("knobs")
 
 
-def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str = "q", parts: int = 64) -> DataFrame:
+def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str = "q", parts: int | None = None) -> DataFrame:
     """evals with Benjamini-Hochberg q-values within the keys; a null p, or one that is no number, counts as no hypothesis and gets a null q.
 
     Equal p-values are counted first. The different ones are parted at about equal quantiles; counts of the parts give ranks
@@ -116,7 +116,10 @@ def bh_fdr(evals: DataFrame, p: str = "p_raw", keys: list[str] = (), name: str =
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))  # compares nulls as equal
     evals = written(evals.withColumn("_g", group), "evals")
     counts = evals.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy("_g", F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    edges = counts.groupBy("_g").agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)], 1000).alias("_e"), F.sum("_c").alias("_n"))
+    if parts is None:  # some 65,000 different values in a part
+        most = counts.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        parts = max(64, -(-most // (1 << 16)))
+    edges = counts.groupBy("_g").agg(F.percentile_approx("_p", [i / parts for i in range(1, parts)], max(1000, 10 * parts)).alias("_e"), F.sum("_c").alias("_n"))
     rows = counts.join(edges, "_g").withColumn("_part", F.size(F.filter("_e", lambda e: e < F.col("_p")))).drop("_e")
     rows = written(rows, "p-values")
     own, along = Window.partitionBy("_g", "_part"), Window.partitionBy("_g").orderBy("_part")  # at most `parts` parts of a group

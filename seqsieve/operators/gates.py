@@ -115,24 +115,51 @@ def p_histogram(evals: DataFrame, p: str = "p_raw") -> DataFrame:
     return evals.where(F.col(p).between(0, 1)).groupBy(which.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ingest(draws: DataFrame, candidates: DataFrame, *, k: int = 40, k_control: int = 60, seed: int = 0) -> DataFrame:
-    """A fate row for each of candidates(sig, test): (sig, test, label, p_shuffle, ctrl_label, artifact, absorbed). A label first,
-    from the candidate's own test; only survivors are put to the control on fair random draws, and those that are none there are
-    absorbed. An unknown signal or test is ERROR. Candidates of one submission are a short list, which comes to the driver."""
-    asked = sorted({(r.sig, r.test) for r in candidates.select("sig", "test").distinct().collect() if r.sig is not None and r.test is not None})
-    known = [(s, t) for s, t in asked if (s in signals.SIGNALS or s in signals.SERIES) and t in statistics.TESTS and t not in statistics.PAIRED]
-    spark, fates = draws.sparkSession, None
-    for test in sorted({t for _, t in known}):
-        names = {s: [test] for s, t in known if t == test}
-        one = scans.label_axes(draws, names, k=k, seed=seed).select("sig", F.lit(test).alias("test"), "label", "p_shuffle")
-        alive = sorted(r.sig for r in one.where("label = 'SURVIVOR'").select("sig").collect())
-        control = scans.artifacts(draws, {s: [test] for s in alive}, k=k_control, seed=seed) if alive else spark.createDataFrame([], "sig string, artifact boolean")
-        one = one.join(F.broadcast(control), "sig", "left")
-        fates = one if fates is None else fates.unionByName(one)
-    empty = spark.createDataFrame([(s, t, "ERROR", None, None) for s, t in asked if (s, t) not in known], "sig string, test string, label string, p_shuffle double, artifact boolean")
-    fates = empty if fates is None else fates.unionByName(empty)
-    control = F.when(F.col("artifact"), "SURVIVOR").when(~F.col("artifact"), "NOT_SURVIVOR")
-    return fates.select("sig", "test", "label", "p_shuffle", control.alias("ctrl_label"), "artifact", ((F.col("label") == "SURVIVOR") & ~F.coalesce("artifact", F.lit(True))).alias("absorbed"))
+def _genome(sig, test, params) -> dict | None:
+    """The genome of a candidate, or None if this engine does not know its signal, test, formula or knobs."""
+    import json
+
+    from seqsieve.functions import formula
+    from seqsieve.operators import search
+
+    try:
+        given = json.loads(params) if params else {}
+        own = {"_sig": given.get("_sig") or {}, "_test": given.get("_test") or {}, "_reorder": given.get("_reorder") or "identity"}
+        fits = set(own["_test"]) <= set(search.KNOBS.get(test, ())) and set(own["_sig"]) <= set(search.SIGNAL_KNOBS.get(sig, ())) and own["_reorder"] in search.REORDERS
+        if sig == "comp":
+            own["_comp"] = given["_comp"]
+            fits = fits and formula.valid(own["_comp"])
+        fits = fits and (sig == "comp" or sig in signals.SIGNALS or sig in signals.SERIES) and test in statistics.TESTS and test not in statistics.PAIRED
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return None
+    return {"sig": sig, "test": test, "params": own} if fits else None
+
+
+def ingest(draws: DataFrame, candidates: DataFrame, *, k: int = 40, k_control: int = 60, seed: int = 0, frontier=None) -> DataFrame:
+    """A fate row for each of candidates(sig, test[, params as JSON]): (sig, test, params, label, p_shuffle, ctrl_label, artifact,
+    absorbed). A label first, of the candidate as it is, formula, knobs and order included, under its own test; only survivors are
+    put to the control on fair random draws, and those that are none there are absorbed: a search.Frontier that is given gets
+    their evaluations. An unknown signal, test, formula or knob is ERROR. Candidates of one submission are a short list, which
+    comes to the driver."""
+    from seqsieve.operators import search
+
+    spark = draws.sparkSession
+    params = F.col("params") if "params" in candidates.columns else F.lit(None).cast("string")
+    asked = sorted({(r.sig, r.test, r.params) for r in candidates.select("sig", "test", params.alias("params")).distinct().collect() if r.sig is not None and r.test is not None}, key=repr)
+    genomes = {a: _genome(*a) for a in asked}
+    known = {search.key_of(g): g for g in genomes.values() if g is not None}
+    label = {r.gkey: r for r in scans.label_genomes(draws, list(known.values()), k=k, seed=seed).collect()}
+    alive = [known[key] for key, r in label.items() if r.label == "SURVIVOR"]
+    artifact = {r.gkey: r.artifact for r in scans.genome_artifacts(draws, alive, k=k_control, seed=seed).collect()} if alive else {}
+    absorbed = [g for g in alive if artifact.get(search.key_of(g)) is False]
+    if frontier is not None and absorbed:
+        frontier.update(search.evaluate_genomes(draws, absorbed, k_light=k, k_heavy=k, seed=seed))
+    rows = []
+    for (sig, test, params), g in genomes.items():
+        r = label.get(search.key_of(g)) if g is not None else None
+        made = artifact.get(search.key_of(g)) if g is not None else None
+        rows.append((sig, test, params, r.label if r else "ERROR", r.p_shuffle if r else None, None if made is None else "SURVIVOR" if made else "NOT_SURVIVOR", made, made is False))
+    return spark.createDataFrame(rows, "sig string, test string, params string, label string, p_shuffle double, ctrl_label string, artifact boolean, absorbed boolean")
 
 
 def model_card(verdicts: DataFrame, n_folds: int = 3, control: bool | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def signal_series(draws: DataFrame, names: list[str]) -> DataFrame:
 def spectral_scan(draws: DataFrame, names: list[str] | None = None, *, k: int = 100, k_fft: int = 2500, seed: int = 0, tests=SPECTRAL) -> DataFrame:
     """Every signal (all, if none are named) under every spectral test, with q over all of them, best first. The spectral peak
     has more surrogates, as its p must stand against the whole grid."""
-    names = list(names or [*signals.SIGNALS, *signals.SERIES])
+    names = list(names or [*(n for n in signals.SIGNALS if n != "predict_gap_max"), *signals.SERIES])  # that one is the forecasts'
     many = {t: k_fft if t == "fft_peak" else k for t in tests}
     bundles = max(1, round(len(names) * draws.count() / 4_000_000))  # some 32 MB of values in a task
     evals = evaluation.evaluate(signal_series(draws, names), list(tests), k=many, seed=seed, bundles=bundles)
@@ -133,6 +133,29 @@ def label_axes(draws: DataFrame, axes: dict[str, list[str]] | list[str], *, test
     return out.withColumn("label", label).withColumn("flag", flag)
 
 
+def label_genomes(draws: DataFrame, genomes: list[dict], *, k: int = 40, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(gkey, sig, test, params, p_shuffle, p_aaft, p_marginal, label, flag) of genomes, formulas, knobs and reordering included:
+    each under its own test, as label_axes() labels signals. A few genomes: their p-values come to the driver."""
+    import json
+
+    from seqsieve.operators import search
+
+    evaluation.can_reach(k, alpha)
+    remade = resampling.subset_marginal(draws, 1, seed).select("t", "reds", "blue") if genomes else draws
+    ps = [{e["gkey"]: float(e["p_raw"]) for e in search.evaluate_genomes(d, genomes, k_light=k, k_heavy=k, null=null, seed=seed)} for d, null in ((draws, "shuffle"), (draws, "aaft"), (remade, "shuffle"))]
+    unique = {search.key_of(g): g for g in genomes}
+    rows = [(key, g["sig"], g["test"], json.dumps(g["params"], sort_keys=True), *(p.get(key) for p in ps)) for key, g in unique.items()]
+    out = draws.sparkSession.createDataFrame(rows, "gkey string, sig string, test string, params string, p_shuffle double, p_aaft double, p_marginal double")
+    label, flag = _label(alpha)
+    return out.withColumn("label", label).withColumn("flag", flag)
+
+
+def genome_artifacts(draws: DataFrame, genomes: list[dict], *, k: int = 60, seed: int = 0) -> DataFrame:
+    """(gkey, artifact): a genome that survives on fair random draws, as many as these, makes its own structure."""
+    fair = resampling.random_draws(draws.sparkSession, draws.count(), seed + 1)
+    return label_genomes(fair, genomes, k=k, seed=seed).select("gkey", (F.col("label") == "SURVIVOR").alias("artifact"))
+
+
 def artifacts(draws: DataFrame, axes: dict[str, list[str]] | list[str], *, tests=("acf_max", "perm_entropy"), k: int = 40, seed: int = 0) -> DataFrame:
     """(sig, artifact): a signal that survives on fair random draws, as many as these, makes its own structure."""
     fair = resampling.random_draws(draws.sparkSession, draws.count(), seed + 1)
@@ -171,12 +194,17 @@ AXES = (
 )
 
 
-def axis_scan(draws: DataFrame, axes=AXES, *, k: int = 40, k_control: int = 60, seed: int = 0) -> DataFrame:
+def axis_scan(draws: DataFrame, axes=AXES, *, evolved: list[dict] = (), k: int = 40, k_control: int = 60, seed: int = 0) -> DataFrame:
     """(group, sig, p_shuffle, p_aaft, p_marginal, label, flag, artifact_prone) of every axis; one that survives on fair random
-    draws too is ARTIFACT_BY_CONSTRUCTION."""
+    draws too is ARTIFACT_BY_CONSTRUCTION. Genomes that a search has evolved (the best formula, say) are labelled beside the axes,
+    in the group `evolved`, under their keys."""
     tests = {sig: list(own) for _, sig, own in axes}
     table = draws.sparkSession.createDataFrame([(group, sig) for group, sig, _ in axes], "group string, sig string")
     out = table.join(label_axes(draws, tests, k=k, seed=seed), "sig").join(artifacts(draws, tests, k=k_control, seed=seed), "sig")
+    if evolved:
+        own = label_genomes(draws, list(evolved), k=k, seed=seed).join(genome_artifacts(draws, list(evolved), k=k_control, seed=seed), "gkey")
+        names = ["sig", "p_shuffle", "p_aaft", "p_marginal", "label", "flag", "artifact"]
+        out = out.select("group", *names).unionByName(own.drop("sig").withColumnRenamed("gkey", "sig").select(F.lit("evolved").alias("group"), *names))
     return out.select("group", "sig", "p_shuffle", "p_aaft", "p_marginal", F.when(F.col("artifact"), "ARTIFACT_BY_CONSTRUCTION").otherwise(F.col("label")).alias("label"), "flag", F.col("artifact").alias("artifact_prone"))
 
 

@@ -66,22 +66,33 @@ def lagged_pairs(df: DataFrame, lags: list[int], keys: list[str] = (), column: s
 
 
 def running(df: DataFrame, column: str, name: str, keys: list[str] = ()) -> DataFrame:
-    """df with name = sum of column up to and including t."""
+    """df with name = sum of column up to and including t. Sums of stretches are added up within STRETCH of them, and those of
+    these parts over all."""
     rows = df.withColumn("_s", F.floor(F.col("t") / STRETCH))
-    sums = rows.groupBy(*keys, "_s").agg(F.sum(column).alias("_sum"))
-    sums = sums.select(*keys, "_s", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_s")) - F.col("_sum")).alias("_base"))
+    sums = rows.groupBy(*keys, "_s").agg(F.sum(column).alias("_sum")).withColumn("_u", F.floor(F.col("_s") / STRETCH))
+    before = lambda value, order, *part: F.coalesce(F.sum(value).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy(*keys, "_u").agg(F.sum("_sum").alias("_part"))
+    parts = parts.select(*keys, "_u", before("_part", "_u", *keys).alias("_far"))
+    sums = sums.withColumn("_near", before("_sum", "_s", *keys, "_u")).join(parts, [*keys, "_u"]).select(*keys, "_s", (F.col("_far") + F.col("_near")).alias("_base"))
     inside = Window.partitionBy(*keys, "_s").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn(name, F.sum(column).over(inside)).join(sums, [*keys, "_s"])
     return rows.withColumn(name, F.col(name) + F.col("_base")).drop("_s", "_base")
 
 
 def inpaint(df: DataFrame, column: str = "x") -> DataFrame:
-    """Nulls, NaNs and infinities filled by linear interpolation on t; ends held; all missing gives zeros."""
+    """Nulls, NaNs and infinities filled by linear interpolation on t; ends held; all missing gives zeros. What is known before
+    and after a stretch is carried within STRETCH of them, and from part to part."""
     good = F.when(F.abs(column) < F.lit(float("inf")), F.col(column))
     rows = df.withColumn("_v", good).withColumn("_s", F.floor(F.col("t") / STRETCH)).withColumn("_p", F.when(F.col("_v").isNotNull(), F.struct("t", F.col("_v").alias("v"))))
-    ends = rows.groupBy("_s").agg(F.max("_p").alias("hi"), F.min("_p").alias("lo"))
-    every = Window.orderBy("_s")
-    ends = ends.select("_s", F.last("hi", True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("_b"), F.first("lo", True).over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_a"))
+    ends = rows.groupBy("_s").agg(F.max("_p").alias("hi"), F.min("_p").alias("lo")).withColumn("_u", F.floor(F.col("_s") / STRETCH))
+
+    def carried(table: DataFrame, order: str, *part: str) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(order)
+        last = F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return table.withColumn("_b", last).withColumn("_a", F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+
+    far = carried(ends.groupBy("_u").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")), "_u").select("_u", F.col("_b").alias("_fb"), F.col("_a").alias("_fa"))
+    ends = carried(ends, "_s", "_u").join(far, "_u").select("_s", F.coalesce("_b", "_fb").alias("_b"), F.coalesce("_a", "_fa").alias("_a"))
     inside = Window.partitionBy("_s").orderBy("t")
     rows = rows.withColumn("_l", F.last("_p", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.first("_p", True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
     rows = rows.join(ends, "_s").withColumn("_l", F.coalesce("_l", "_b")).withColumn("_r", F.coalesce("_r", "_a"))

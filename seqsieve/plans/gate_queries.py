@@ -308,7 +308,7 @@ def label_axes(spark, sf_dir):
 
 @register()
 def axis_scan(spark, sf_dir):
-    return scans.axis_scan(derived(spark, sf_dir), k=40, k_control=60, seed=1)
+    return scans.axis_scan(derived(spark, sf_dir), evolved=[{"sig": "comp", "test": "acf_max", "params": {"_comp": {"op": "*", "a": "red_sum", "b": "blue"}, "_test": {"maxlag": 12}}}], seed=1)
 
 
 @register()
@@ -325,8 +325,9 @@ def artifact_prone(spark, sf_dir):
 
 @register()
 def ingest_gate(spark, sf_dir):
-    asked = spark.createDataFrame([("red_sum", "acf_max"), ("red_recurrence_mean", "acf_max"), ("blue", "perm_entropy"), ("no_such", "acf_max")], "sig string, test string")
-    return gates.ingest(derived(spark, sf_dir), asked, k=20, k_control=20, seed=1)
+    comp = json.dumps({"_comp": {"op": "-", "a": "red_sum", "b": {"op": "lag", "a": "blue", "k": 3}}})
+    asked = [("red_sum", "acf_max", None), ("red_sum", "acf_max", '{"_test": {"maxlag": 7}}'), ("red_recurrence_mean", "acf_max", None), ("blue", "perm_entropy", '{"_test": {"order": 4}}'), ("comp", "mi_max", comp), ("no_such", "acf_max", None), ("red_sum", "acf_max", '{"_test": {"no_such": 7}}')]
+    return gates.ingest(derived(spark, sf_dir), spark.createDataFrame(asked, "sig string, test string, params string"), seed=1)
 
 
 @register()

@@ -1,11 +1,13 @@
 """The audit ledger, the shared table of evaluations, and gates that must be able to speak."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, forecast, governance, ledger, resampling, scans, search
+from seqsieve.operators import evaluation, forecast, gates, governance, ledger, resampling, scans, search
 from seqsieve.sources import logs
 from seqsieve.sources.evaluations import KEYS, Evaluations
 
@@ -198,3 +200,44 @@ def test_gap_signals(spark):
     for r, got in zip(reds, d.select("t", signals.column("red_gap_std").alias("s"), signals.column("lp_red_gap_skew").alias("k")).orderBy("t").collect()):
         g = np.diff(r).astype(float)
         assert got.s == pytest.approx(g.std(), abs=1e-9) and got.k == pytest.approx((((g - g.mean()) / (g.std() + 1e-9)) ** 3).mean(), abs=1e-6)
+
+
+def test_candidates_come_in_as_they_are(spark, monkeypatch):
+    """Knobs, formulas and orders reach the labels, what is unknown is an error, and survivors reach the frontier."""
+    d = resampling.random_draws(spark, 200, 8).cache()
+    comp = json.dumps({"_comp": {"op": "lag", "a": "red_sum", "k": 2}})
+    bad = [("comp", "acf_max", None), ("comp", "acf_max", '{"_comp": {"op": "rm", "a": "blue"}}'), ("red_sum", "acf_max", '{"_test": {"unknown": 1}}'), ("red_sum", "ccm", None), ("x", "acf_max", None), ("red_sum", "acf_max", "{broken"), ("red_sum", "acf_max", '{"_reorder": "sideways"}')]
+    good = [("red_sum", "acf_max", None), ("red_sum", "acf_max", '{"_test": {"maxlag": 5}}'), ("red_sum", "acf_max", '{"_reorder": "block"}'), ("comp", "acf_max", comp), ("vector_mag", "acf_max", '{"_sig": {"div": 31}}')]
+    asked = spark.createDataFrame([*good, *bad, good[0], (None, "acf_max", None)], "sig string, test string, params string")
+    frontier = search.Frontier()
+    got = {(r.sig, r.test, r.params): r for r in gates.ingest(d, asked, k=20, k_control=20, seed=1, frontier=frontier).collect()}
+    assert set(got) == {*good, *bad} and {a for a, r in got.items() if r.label == "ERROR"} == set(bad)
+    assert len({got[a].p_shuffle for a in good}) > 1
+    for a, r in got.items():
+        assert r.absorbed == (r.label == "SURVIVOR" and r.artifact is False)
+    was = scans.label_genomes
+    monkeypatch.setattr(scans, "label_genomes", lambda *a, **o: was(*a, **o).withColumn("label", F.when(F.col("params").contains("31"), "SURVIVOR").otherwise("NULL")))
+    monkeypatch.setattr(scans, "genome_artifacts", lambda draws, genomes, **o: spark.createDataFrame([(search.key_of(g), False) for g in genomes], "gkey string, artifact boolean"))
+    got = {(r.sig, r.test, r.params): r.absorbed for r in gates.ingest(d, asked, k=20, k_control=20, seed=1, frontier=frontier).collect()}
+    assert [a for a, v in got.items() if v] == [good[4]] and [e["sig"] for e in frontier.elites] == ["vector_mag"]
+
+
+def test_an_evolved_formula_is_an_axis(spark):
+    d = resampling.random_draws(spark, 150, 8).cache()
+    own = {"sig": "comp", "test": "acf_max", "params": {"_comp": {"op": "+", "a": "red_sum", "b": "blue"}, "_test": {"maxlag": 5}}}
+    got = {r.group: r for r in scans.axis_scan(d, [("g", "red_sum", ("acf_max",))], evolved=[own], k=20, k_control=20).collect()}
+    assert set(got) == {"g", "evolved"} and got["evolved"].sig == search.key_of(own) and 0 < got["evolved"].p_shuffle <= 1
+
+
+def test_sums_and_fills_in_three_levels(spark, monkeypatch):
+    from seqsieve.operators import series
+
+    monkeypatch.setattr(series, "STRETCH", 4)
+    x = [None if t % 7 in (1, 2) or 20 <= t < 60 or t < 3 else float(t % 5) for t in range(100)]
+    rows = spark.createDataFrame(list(enumerate(x)), "t long, x double").repartition(5)
+    got = [r.x for r in series.inpaint(rows).orderBy("t").collect()]
+    known = [t for t, v in enumerate(x) if v is not None]
+    assert got == pytest.approx(np.interp(np.arange(100), known, [x[t] for t in known]).tolist())
+    total = [r.s for r in series.running(rows.fillna(0), "x", "s").orderBy("t").collect()]
+    assert total == pytest.approx(np.cumsum([v or 0 for v in x]).tolist())
+    assert series.inpaint(rows.withColumn("x", F.lit(None).cast("double"))).agg(F.sum("x")).first()[0] == 0
