@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqsieve.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from seqsieve.llm.scratch import forget, release, scratch_path, written
+from seqsieve.llm.scratch import discard, forget, release, scratch_path, written
 from seqsieve.llm.tokens import vocabulary_path
 
 
@@ -95,11 +95,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's table goes when the next one is written; the last one's when the process ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         path = scratch_path(spark, f"stage-{name}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
         forget(path)
+        if before is not None:
+            discard(spark, before)
+        before = path
     return docs

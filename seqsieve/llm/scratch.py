@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from seqsieve.sources.shared import shared_dir
 
 _written: list[str] = []
+#: Results whose readers may come at any time while the process lives.
+_left: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -28,6 +30,7 @@ def _at_exit() -> None:
     """What is left of a process's tables goes with it, while its session lives."""
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
+        _written.extend(_left)
         release(spark)
 
 
@@ -40,16 +43,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(path: str) -> None:
-    """Leave a scratch table to its reader: release() does not delete it any more."""
+    """Leave a scratch table to its reader: release() does not delete it any more, only the end of the process or discard() does."""
     if path in _written:
         _written.remove(path)
+        _left.append(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that was left to a reader who is done with it."""
+    if path in _left:
+        _left.remove(path)
+        _deleted(spark, path)
+
+
+def _deleted(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession, keep: list[str] = ()) -> None:
     """Delete the scratch tables of this process but for those to keep; call it once no result that reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in [p for p in _written if p not in keep]:
         _written.remove(name)
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        _deleted(spark, name)
