@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, forecast, gates, governance, ledger, resampling, scans, search, series, statistics
+from seqsieve.operators import evaluation, forecast, gates, governance, ledger, proposals, resampling, scans, search, series, statistics
 from seqsieve.plans.signal_queries import DRAWS, GAPS, SUM, X, keyed, r6, sums
 from seqsieve.sources import draws as draw_source
 from seqsieve.sources import logs
@@ -848,3 +848,11 @@ def diff_search(spark, sf_dir):
     found = search.diff_search(derived(spark, sf_dir), k=20, steps=2, anchors=4, seed=2)
     rows = [(i, r["sig"], r["test"], json.dumps(r["params"], sort_keys=True), float(r["z"]), r["disc_p"]) for i, r in enumerate(found)]
     return spark.createDataFrame(rows, "place int, sig string, test string, params string, z double, disc_p double").withColumns({"z": r6(F.col("z")), "disc_p": r6(F.col("disc_p"))})
+
+
+@register()
+def proposed_signals(spark, sf_dir):
+    """Expressions tried on the discovery part: a sum of cubes, a gap beside the blue ball, one of unknown columns."""
+    own = {"p_cubes": "aggregate(reds, 0D, (a, x) -> a + x * x * x) % 97", "p_gap_blue": "(reds[1] - reds[0]) * blue", "p_unknown": "whites[0] + 1"}
+    found = proposals.try_out(derived(spark, sf_dir), own, seed=3)
+    return found.withColumns({c: r6(F.col(c)) for c in ("p_shuffle", "p_aaft", "p_marginal")})

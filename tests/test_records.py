@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, forecast, gates, governance, ledger, resampling, scans, search
+from seqsieve.operators import evaluation, forecast, gates, governance, ledger, proposals, resampling, scans, search
 from seqsieve.sources import logs
 from seqsieve.sources.evaluations import KEYS, Evaluations
 
@@ -241,3 +241,36 @@ def test_sums_and_fills_in_three_levels(spark, monkeypatch):
     total = [r.s for r in series.running(rows.fillna(0), "x", "s").orderBy("t").collect()]
     assert total == pytest.approx(np.cumsum([v or 0 for v in x]).tolist())
     assert series.inpaint(rows.withColumn("x", F.lit(None).cast("double"))).agg(F.sum("x")).first()[0] == 0
+
+
+def test_proposed_signals(spark, tmp_path, monkeypatch):
+    """Sums that a logistic map leads: neither order nor spectrum explains that, and fair draws do not have it."""
+    rng = np.random.default_rng(3)
+    rows, x = [], 0.37
+    for t in range(700):
+        x = 3.99 * x * (1 - x)
+        first = 1 + int(27.99 * x)
+        rows.append((t, list(range(first, first + 6)), int(rng.integers(1, 17))))
+    d = spark.createDataFrame(rows, "t long, reds array<int>, blue int").cache()
+    own = {"p_sum": "aggregate(reds, 0D, (a, x) -> a + x)", "p_hash": "pmod(hash(reds, blue), 1000)", "p_bad": "nothing + 1", "p_many": "sum(blue)", "p_broken": "reds["}
+    found = {r.name: r for r in proposals.try_out(d, own, k=40, k_control=40, seed=5).collect()}
+    assert found["p_sum"].gate == "STAGED" and found["p_sum"].reason is None
+    assert found["p_hash"].gate == "REJECTED" and {found[n].gate for n in ("p_bad", "p_many", "p_broken")} == {"ERROR"}
+    assert not set(own) & set(signals.SIGNALS)
+    with pytest.raises(ValueError):
+        proposals.try_out(d, {"red_sum": "blue"}, k=40)
+    told = proposals.try_out(d, {"p_sum": own["p_sum"]}, used=["zero_hypothesis_cross", "train_auc"], k=40, k_control=40, seed=5).first()
+    assert told.gate == "REJECTED" and "train_auc" in told.reason
+    path = str(tmp_path / "staged")
+    assert proposals.waiting(spark, path).count() == 0
+    for _ in range(2):
+        proposals.stage(spark.createDataFrame(list(found.values())[:0] + [found["p_sum"], found["p_hash"]], "name string, expression string, label string, p_shuffle double, p_aaft double, p_marginal double, artifact boolean, gate string, reason string"), path)
+    assert [(r.name, r.expression) for r in proposals.waiting(spark, path).collect()] == [("p_sum", own["p_sum"])]
+    reviews = spark.createDataFrame([("p_sum", None)], "name string, confirmed boolean")
+    assert proposals.waiting(spark, path, reviews).count() == 1 and proposals.waiting(spark, path, reviews.fillna(True)).count() == 0
+
+
+def test_expressions_that_are_no_signals(spark):
+    d = resampling.random_draws(spark, 20, 1)
+    for text, fits in {"blue + 1": True, "reds[0] / 2": True, "count(1)": False, "row_number() over (order by blue)": False, "explode(reds)": False, "(select 1)": False, "x": False, "blue +": False, "'a'": True}.items():
+        assert proposals.sound(d, text) == fits, text
