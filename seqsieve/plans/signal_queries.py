@@ -288,6 +288,23 @@ def _heavy(name: str):
 
 _heavy("multiscale_se")
 _heavy("corr_dim_slope")
+_FOUR = f"""{DRAWS}, s AS (SELECT t, unnest([struct_pack(series_id := 'red_sum', x := {SUM}), struct_pack(series_id := 'blue', x := CAST(blue AS DOUBLE)), struct_pack(series_id := 'red_gap_max', x := list_max({GAPS})),
+    struct_pack(series_id := 'vector_mag', x := sqrt({_vec('cos', 'reds', 33)}^2 + {_vec('sin', 'reds', 33)}^2))], recursive := true) FROM draws)"""
+# Windows of two and three coarse values that lie within r of one another in every place.
+ORACLES["multiscale_se"] = f"""WITH {_FOUR}, u AS (SELECT series_id, t, x FROM s WHERE t < 1200), k AS (SELECT series_id, .2 * (stddev_pop(x) + 1e-12) AS r, count(*) AS n FROM u GROUP BY series_id),
+  c AS (SELECT series_id, tau, t // tau AS i, avg(x) AS x, n // tau AS n, r FROM u JOIN k USING (series_id), range(1, 6) q(tau) WHERE t < n // tau * tau GROUP BY ALL),
+  w AS (SELECT series_id, tau, i, n, r, x, lead(x) OVER o AS x1, lead(x, 2) OVER o AS x2 FROM c WINDOW o AS (PARTITION BY series_id, tau ORDER BY i)),
+  m AS (SELECT a.series_id, a.tau, a.i, a.n, count(*) FILTER (abs(a.x - b.x) <= a.r AND abs(a.x1 - b.x1) <= a.r) AS two, count(*) FILTER (abs(a.x - b.x) <= a.r AND abs(a.x1 - b.x1) <= a.r AND abs(a.x2 - b.x2) <= a.r) AS three, a.x2 IS NOT NULL AS long
+        FROM w a JOIN w b ON a.series_id = b.series_id AND a.tau = b.tau WHERE a.x1 IS NOT NULL AND b.x1 IS NOT NULL GROUP BY ALL),
+  e AS (SELECT series_id, tau, avg(ln((two - 1 + 1e-12) / (n - 2))) - avg(CASE WHEN long THEN ln((three - 1 + 1e-12) / (n - 3)) END) AS se FROM m GROUP BY series_id, tau)
+  SELECT series_id, round(avg(se), 6) AS stat FROM e GROUP BY series_id"""
+ORACLES["corr_dim_slope"] = f"""WITH {_FOUR}, z AS (SELECT series_id, t, (x - avg(x) OVER q) / (stddev_pop(x) OVER q + 1e-12) AS z FROM s WINDOW q AS (PARTITION BY series_id)),
+  w AS (SELECT series_id, t, z, {', '.join(f'lead(z, {i}) OVER q AS z{i}' for i in range(1, 7))} FROM z WHERE t < 1200 WINDOW q AS (PARTITION BY series_id ORDER BY t)),
+  p AS (SELECT a.series_id, (a.z - b.z)^2 + (a.z1 - b.z1)^2 AS d2, {', '.join(f'(a.z{i} - b.z{i})^2 AS e{i}' for i in range(2, 7))} FROM w a JOIN w b ON a.series_id = b.series_id AND a.t < b.t),
+  d AS (SELECT series_id, unnest([2, 3, 4, 5, 6, 7]) AS m, unnest([d2, {', '.join('d2 + ' + ' + '.join(f'e{j}' for j in range(2, i + 1)) for i in range(2, 7))}]) AS d FROM p),
+  c AS (SELECT series_id, m, r, count(*) FILTER (sqrt(d) < pow(10, r)) / count(*) AS c FROM d, (SELECT -1.5 + i * 1.7 / 13 AS r FROM range(0, 14) q(i)) WHERE d > 0 GROUP BY series_id, m, r),
+  l AS (SELECT series_id, m, regr_slope(log10(c), r) AS slope FROM c WHERE c > 0 GROUP BY series_id, m HAVING count(*) >= 3)
+  SELECT series_id, round(max_by(slope, m) - min_by(slope, m), 6) AS stat FROM l GROUP BY series_id"""
 
 
 @register(
