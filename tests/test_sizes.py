@@ -1,7 +1,13 @@
 """What larger tables brought up: ties that depend on the order of rows, vectors that cancel, keys by the hundred thousand."""
 
+import math
 import tempfile
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqsieve.functions import signals
 from seqsieve.plans import gate_queries
 
 
@@ -11,3 +17,18 @@ def test_a_value_at_its_users_mean_is_not_above_it(spark):
     spark.createDataFrame([(u, t, v) for u, vs in orders.items() for t, v in zip("abc", vs)], "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
     got = {(r.user_id, r.event_type): r.p_raw for r in gate_queries._user_p(spark, folder).collect()}
     assert got == {(u, t): (1 + (v > (0.2 if u < 4 else 1e39))) / 2 for u, vs in orders.items() for t, v in zip("abc", vs)}
+
+
+def test_angles_of_vectors_that_cancel(spark):
+    reds = [sorted((a, a + 11, a + 22, b, b + 11, b + 22)) for a in range(1, 12) for b in range(a + 1, 12)]
+    rows = spark.createDataFrame([(t, r, 1) for t, r in enumerate(reds)], "t long, reds array<int>, blue int").select("t", signals.column("vector_phase").alias("x")).orderBy("t").collect()
+
+    def angle(r):
+        total = {}
+        for f in (math.sin, math.cos):
+            total[f] = 0.0
+            for v in r:
+                total[f] += f(v * 2 * math.pi / 33)
+        return math.atan2(total[math.sin], total[math.cos])
+
+    assert [r.x for r in rows] == pytest.approx([angle(r) for r in reds], abs=1e-9)
