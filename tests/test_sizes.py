@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
+from seqsieve.operators import scans
 from seqsieve.plans import gate_queries
 
 
@@ -32,3 +33,20 @@ def test_angles_of_vectors_that_cancel(spark):
         return math.atan2(total[math.sin], total[math.cos])
 
     assert [r.x for r in rows] == pytest.approx([angle(r) for r in reds], abs=1e-9)
+
+
+def test_windows_together_equal_windows_apart(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for t in range(1000):
+        reds = sorted((rng.choice(32, 6, replace=False) + 1).tolist())
+        if 300 <= t < 420 and t % 60 < 45:  # a ball that follows itself, and drifts
+            reds[5] = 33
+        rows.append((t, reds, int(rng.integers(1, 17))))
+    d = spark.createDataFrame(rows, "t long, reds array<int>, blue int")
+    apart = scans.ball_drift_scan(scans.windows(d, 1000), k=40, seed=7, keys=["w"])
+    want = {r.w: r.sig for r in apart.groupBy("w").agg((F.least(F.min("q_drift"), F.min("q_momentum")) < 0.9).cast("int").alias("sig")).collect()}
+    got = {r.w: r.sig for r in scans.window_verdicts(d, 1000, k=40, seed=7, q=0.9).collect()}
+    assert got == want and set(got.values()) == {0, 1}
+    plan = scans.window_verdicts(d, 1000, k=40, seed=7)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1  # draws move once; surrogates and windows' totals never
