@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, resampling, series
+from seqsieve.operators import evaluation, resampling, series, statistics
 
 LOG_REDS = math.log(math.comb(33, 6))
 LOG_BLUE = math.log(16.0)
@@ -158,14 +158,56 @@ def walk_hits(draws: DataFrame, keys: list[str], *, train_n: int = 300, decay: f
     return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
 
 
-def walk_forward(draws: DataFrame, *, train_n: int = 300, decay: float = 0.99, k: int = 200, seed: int = 0, reds: int = 6) -> DataFrame:
+def shuffled_walk_hits(draws: DataFrame, k: int, seed: int, *, train_n: int = 300, decay: float = 0.99, reds: int = 6) -> DataFrame:
+    """(sid, n, hits): walk_hits() of k shuffles of the draws. The draws, a bit for each ball, are packed into one row, which a few
+    tasks share; each makes its own surrogates one at a time, and what leaves it is two numbers for each."""
+    bits = F.aggregate("reds", F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), r - 1)))
+    held = statistics.packed(draws.select(F.lit(0).alias("one"), "t", bits.cast("double").alias("x")), ["one"])  # 33 bits: exact as doubles
+    rows = held.select("x", F.explode(F.sequence(F.lit(0), F.lit(max(0, min(k, 64) - 1)))).alias("part"))
+
+    def scored(table):
+        import numpy as np
+        import pyarrow as pa
+
+        part, balls = int(table.column("part")[0].as_py()), 33
+        block = 512 if decay >= 1 else max(1, min(512, int(200 / -math.log(decay))))  # weights stay in range
+        packed = table.column("x").combine_chunks().flatten().to_numpy().astype(np.int64)
+        size, out = len(packed), []
+        for sid in range(part, k, min(k, 64)):
+            n = hits = 0
+            draw = packed[resampling.order_of(size, seed, sid)] if size >= train_n + 21 else packed[:0]
+            for a in range(train_n, len(draw) - 1, block):
+                z = min(a + block, len(draw) - 1)
+                present = draw[a - train_n : z, None] >> np.arange(balls) & 1
+                # Weights relative to the block's first draw: a running sum and the one train_n before, turned to each draw's own time.
+                sums = np.zeros((len(present) + 1, balls))
+                np.cumsum(present * (decay ** (train_n - 1.0 - np.arange(len(present))))[:, None], 0, out=sums[1:])
+                score = (sums[train_n:-1] - sums[: z - a]) * (decay ** np.arange(z - a))[:, None]
+                # Scores of nine digits, and ties to the smaller ball, as whole numbers.
+                key = np.rint(score * 1e9).astype(np.int64) * 64 + (63 - np.arange(balls))
+                least = np.partition(key, balls - reds, 1)[:, balls - reds]
+                n += z - a
+                hits += int(((key >= least[:, None]) & (present[train_n:] > 0)).sum())
+            if n:
+                out.append((sid, n, hits))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["sid", "n", "hits"])
+
+    return rows.groupBy("part").applyInArrow(scored, "sid int, n long, hits long")
+
+
+def walk_forward(draws: DataFrame, *, train_n: int = 300, decay: float = 0.99, k: int = 200, seed: int = 0, reds: int = 6, longest: int = statistics.LONGEST) -> DataFrame:
     """One row (n, hit_rate, random_rate, sur_mean, p_random, above_random): the hit rate of walk_hits() beside those on k shuffles
-    of the draws. Nulls, and no claim, for fewer than train_n + 20 draws."""
+    of the draws. Nulls, and no claim, for fewer than train_n + 20 draws. Surrogates are made in tasks from the packed draws, at
+    most `longest` of them; those of more draws are shuffled by rows."""
     evaluation.can_reach(k, 0.05)
     knobs = {"train_n": train_n, "decay": decay, "reds": reds}
     rate = F.col("hits") / F.col("n") / reds
     real = walk_hits(draws.select("t", "reds"), [], **knobs).where("n > 0").select("n", rate.alias("hit_rate"))
-    made = walk_hits(resampling.shuffled(draws.select("t", "reds"), k, seed), ["sid"], **knobs).select(rate.alias("rate"))
+    if draws.count() <= longest:
+        hits = shuffled_walk_hits(draws, k, seed, **knobs)
+    else:
+        hits = walk_hits(resampling.shuffled(draws.select("t", "reds"), k, seed), ["sid"], **knobs)
+    made = hits.select(rate.alias("rate"))
     one = real.agg(F.max("n").alias("n"), F.max("hit_rate").alias("hit_rate"))
     rows = series.with_scalars(made, real).agg(F.avg("rate").alias("sur_mean"), F.sum((F.col("rate") >= F.col("hit_rate")).cast("int")).alias("_as_good"), F.count(F.lit(1)).alias("_k"))
     out = one.crossJoin(F.broadcast(rows))  # a row each

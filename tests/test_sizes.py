@@ -1,5 +1,6 @@
 """What larger tables brought up: ties that depend on the order of rows, vectors that cancel, keys by the hundred thousand."""
 
+import hashlib
 import math
 import tempfile
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import scans
+from seqsieve.operators import forecast, neighbours, resampling, scans, statistics
 from seqsieve.plans import gate_queries
 
 
@@ -50,3 +51,53 @@ def test_windows_together_equal_windows_apart(spark):
     assert got == want and set(got.values()) == {0, 1}
     plan = scans.window_verdicts(d, 1000, k=40, seed=7)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 1  # draws move once; surrogates and windows' totals never
+
+
+def test_packed_walks_equal_walks_by_rows(spark):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(t, sorted((rng.choice(33, 6, replace=False) + 1).tolist())) for t in range(1300)], "t long, reds array<int>")
+    for knobs in ({}, {"train_n": 40, "decay": 0.5}):
+        want = sorted(map(tuple, forecast.walk_hits(resampling.shuffled(d, 5, 4), ["sid"], **knobs).select("sid", "n", "hits").collect()))
+        assert sorted(map(tuple, forecast.shuffled_walk_hits(d, 5, 4, **knobs).collect())) == want
+    assert forecast.shuffled_walk_hits(d.where("t < 320"), 5, 4).count() == 0
+
+
+def test_numpy_hashes_and_orders(spark):
+    for seed, sid, n in ((0, 0, 1), (-3, 199, 20_011), (10**30, 10**30, 12)):
+        high, low = resampling.digests(seed, sid, n)
+        for t in {0, 9, 10, 9_999, 16_383, 16_384, n - 1} & set(range(n)):
+            assert (int(high[t]) << 64 | int(low[t])) == int(hashlib.md5(f"{seed}:{sid}:{t}".encode()).hexdigest(), 16)
+    orders: dict = {}
+    for sid in range(5):
+        resampling.surrogate([np.arange(50.0)], "iaaft", 1, "a", sid, orders)
+    assert len(orders) == 1  # what earlier surrogates needed is not kept
+
+
+def test_sums_of_products_equal_correlations():
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=300) + 1e4, rng.integers(0, 2, 50).astype(float), np.r_[np.zeros(40), 1.0], np.r_[5.0, np.full(40, 7.1)], np.full(30, 0.1)):
+        parts = [(x[:-lag], x[lag:]) for lag in range(1, 6)]
+        want = max(abs(np.corrcoef(a, b)[0, 1]) if np.ptp(a) > 0 and np.ptp(b) > 0 else 0.0 for a, b in parts)
+        got = statistics.np_acf_max(x, 5)
+        assert got == pytest.approx(want, abs=1e-9) or np.ptp(x) == 0
+
+
+def test_equal_points_ask_once():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=400), rng.integers(0, 4, 400).astype(float)
+    n, asked = 398, []
+    w, best = np.stack([y[i : i + n] for i in range(3)], 1), 0.0
+    for size in neighbours.sizes(n, 3):
+        d = np.sqrt(((w[:, None] - w[None, :size]) ** 2).sum(2))
+        d[np.arange(size), np.arange(size)] = np.inf
+        near = np.argsort(d, 1, kind="stable")[:, :4]
+        dist = np.take_along_axis(d, near, 1)
+        weight = np.exp(-dist / np.maximum(dist[:, :1], 1e-12))
+        best = max(best, np.corrcoef((weight * x[near]).sum(1) / weight.sum(1), x[:n])[0, 1])
+    plain = neighbours.Tree.nearest
+    neighbours.Tree.nearest = lambda self, points, *a: asked.append(len(points)) or plain(self, points, *a)
+    try:
+        assert neighbours.ccm_packed(x, y) == pytest.approx(best, abs=1e-12)
+    finally:
+        neighbours.Tree.nearest = plain
+    assert max(asked) <= 64  # 4 ** 3 different points of 398
