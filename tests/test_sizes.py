@@ -101,3 +101,11 @@ def test_equal_points_ask_once():
     finally:
         neighbours.Tree.nearest = plain
     assert max(asked) <= 64  # 4 ** 3 different points of 398
+
+
+def test_packed_balls_equal_balls_by_rows(spark):
+    rng = np.random.default_rng(8)
+    d = spark.createDataFrame([(t, sorted((rng.choice(33, 6, replace=False) + 1).tolist()), int(rng.integers(1, 17))) for t in range(301)], "t long, reds array<int>, blue int")
+    rows = lambda df: {(r.sid, r.colour, r.ball): (r.drift, r.momentum) for r in df.collect()}
+    want, got = rows(scans.ball_stats(resampling.shuffled(d, 3, 5), ["sid"])), rows(scans.shuffled_ball_stats(d, 3, 5))
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
