@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import forecast, neighbours, resampling, scans, statistics
+from seqsieve.operators import evaluation, forecast, neighbours, resampling, scans, statistics, transforms
 from seqsieve.plans import gate_queries
 
 
@@ -109,3 +109,48 @@ def test_packed_balls_equal_balls_by_rows(spark):
     rows = lambda df: {(r.sid, r.colour, r.ball): (r.drift, r.momentum) for r in df.collect()}
     want, got = rows(scans.ball_stats(resampling.shuffled(d, 3, 5), ["sid"])), rows(scans.shuffled_ball_stats(d, 3, 5))
     assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+@pytest.mark.parametrize("n", [4099, 3 * 4099, 22 * 2287, 4 * 1031])
+def test_transforms_of_lengths_with_large_primes(n):
+    x = np.random.default_rng(n).normal(size=n)
+    want = np.fft.rfft(x)
+    assert np.abs(transforms.rfft(x) - want).max() < 1e-11 * np.abs(want).max()
+    want[0] += 3j  # numpy takes no notice of it
+    assert np.abs(transforms.irfft(want, n) - np.fft.irfft(want, n)).max() < 1e-11
+
+
+def test_orders_that_are_sorted_by_their_upper_bits():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 60, 900).astype(np.uint64) + (np.uint64(1) << np.uint64(40)) * rng.integers(0, 3, 900).astype(np.uint64)
+    then = rng.integers(0, 4, 900).astype(np.uint64)
+    assert (resampling.ranked(keys) == np.argsort(keys, kind="stable")).all() and (resampling.ranked(keys, then) == np.lexsort((then, keys))).all()
+    y = np.concatenate([rng.normal(size=500), [0.0, -0.0, 0.0, -1e-300, 5.0, 5.0]])
+    assert (resampling.ordered(y) == np.argsort(y, kind="stable")).all()
+
+
+@pytest.mark.parametrize("maxlag, bins", [(20, 12), (1, 6), (45, 20)])
+def test_lagged_pairs_counted_by_threes(maxlag, bins):
+    code = np.random.default_rng(maxlag).integers(0, bins, 40_000)
+    for lag, found in statistics._pairs_of_bins(code, bins, range(1, maxlag + 1)).items():
+        assert (found == np.bincount(code[:-lag] * bins + code[lag:], minlength=bins * bins).reshape(bins, bins)).all()
+
+
+def test_values_are_moved_in_narrow_forms():
+    for values, form in (([0, 255.0], 0), ([-3.0, 256], 1), ([0.5, 1], 2), ([np.nan, 1], 2), ([40_000.0], 2), ([-0.0, 1], 2)):
+        made = statistics.as_bytes(np.array(values))
+        assert made[0] == form and np.array_equal(statistics.of_bytes([made]).astype(float), np.array(values, float), equal_nan=True)
+
+
+def test_grid_of_stretches_equals_a_grid_of_whole_series(spark, monkeypatch):
+    """Series of more stretches than one and of different lengths, in tasks that remember one permutation or many."""
+    rng = np.random.default_rng(8)
+    rows = [("7|a", t, float(v)) for t, v in enumerate(rng.integers(0, 9, 5000))] + [("7|b", t, float(v)) for t, v in enumerate(rng.normal(size=4500))] + [("8|a", t, float(v)) for t, v in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame(rows, "series_id string, t long, x double")
+    jobs = {"7|a": [("acf_max", {}, 5)], "7|b": [("mi_max", {}, 4), ("fft_peak", {}, 3)], "8|a": [("acf_max", {}, 6)]}
+    seeds = {"7|a": 7, "7|b": 7, "8|a": 8}
+    for null in ("shuffle", "aaft"):
+        want = {(r.series_id, r.test): (r.k_sur, r.stat, r.sur_mean) for r in evaluation.grid(statistics.packed(df, ["series_id"]), jobs, null=null, seeds=seeds, parts=1).collect()}
+        monkeypatch.setattr(evaluation, "REMEMBERED", 1)
+        got = {(r.series_id, r.test): (r.k_sur, r.stat, r.sur_mean) for r in evaluation.grid(df, jobs, null=null, seeds=seeds).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want) and {k: v[0] for k, v in got.items()} == {("7|a", "acf_max"): 5, ("7|b", "mi_max"): 4, ("7|b", "fft_peak"): 3, ("8|a", "acf_max"): 6}
