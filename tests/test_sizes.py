@@ -154,3 +154,17 @@ def test_grid_of_stretches_equals_a_grid_of_whole_series(spark, monkeypatch):
         monkeypatch.setattr(evaluation, "REMEMBERED", 1)
         got = {(r.series_id, r.test): (r.k_sur, r.stat, r.sur_mean) for r in evaluation.grid(df, jobs, null=null, seeds=seeds).collect()}
         assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want) and {k: v[0] for k, v in got.items()} == {("7|a", "acf_max"): 5, ("7|b", "mi_max"): 4, ("7|b", "fft_peak"): 3, ("8|a", "acf_max"): 6}
+
+
+def test_a_twin_table_is_small_and_walked_as_before(spark):
+    x = np.random.default_rng(2).integers(0, 9, 400).astype(float)
+    table = neighbours.twin_table(x)
+    assert table.dtype == np.int32
+    rng = np.random.default_rng(3)
+    at, anew, picks = int(rng.integers(len(table))), rng.integers(0, len(table), 400), rng.integers(0, 10, 400)
+    want = []
+    for again, pick in zip(anew, picks):
+        want.append(x[at])
+        at = int(table[at, pick]) + 1
+        at = int(again) if at >= len(table) else at
+    assert list(resampling.twin_surrogate(x, np.random.default_rng(3), table=table)) == want
