@@ -277,6 +277,50 @@ def randomised(df: DataFrame, k: int, seed: int, keys: list[str], *, rounds: int
     from seqsieve.operators import resampling
 
     df = written(df.select(*keys, "t", F.col("x").cast("double").alias("x")), "series")
+    if rounds:
+        return _iterated(df, k, seed, keys, rounds, block)
+    return _randomised(df, k, seed, keys, 0, block)
+
+
+def _iterated(df: DataFrame, k: int, seed: int, keys: list[str], rounds: int, block: int) -> DataFrame:
+    """A series of at most `block` points is a task's for each of its surrogates, a longer one goes by bundles where it can be a
+    matrix (iterated.py), and else by rows."""
+    import pyarrow as pa
+
+    from seqsieve.operators import iterated, resampling
+
+    def planned(batches):
+        for batch in batches:
+            way = ["short" if n <= block else "matrix" if factors(n, block) else "chirp" for n in batch.column("n").to_pylist()]
+            yield batch.append_column("way", pa.array(way, pa.string()))
+
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    n = written(n.mapInArrow(planned, _schema(n, keys) + "n long, way string"), "lengths")
+    rows = df.join(n, keys) if keys else df.crossJoin(F.broadcast(n))  # one row without keys
+
+    def whole(table):
+        x, sid = np.empty(len(table)), int(table.column("sid")[0].as_py())
+        x[table.column("t").to_numpy()] = table.column("x").to_numpy()
+        return {"t": np.arange(len(x)), "x": resampling.iterated_surrogate(x, resampling.order_of(len(x), seed, sid), rounds)}
+
+    ways, own = {r.way for r in n.select("way").distinct().collect()}, [*keys, "sid"]
+    out = None
+    for way in sorted(ways) or ["short"]:
+        some = rows.where(F.col("way") == way).drop("way")
+        if way == "short":
+            made = _applied(some.withColumn("sid", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))), own, own, whole, "t long, x double")
+        elif way == "matrix":
+            made = iterated.long_surrogates(some, resampling.shuffled(some, k, seed, keys), keys, rounds, block)
+        else:
+            made = _randomised(some.select(*keys, "t", "x"), k, seed, keys, rounds, block)
+        made = made.select(*own, "t", "x")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _randomised(df: DataFrame, k: int, seed: int, keys: list[str], rounds: int, block: int) -> DataFrame:
+    from seqsieve.operators import resampling
+
     values = written(ranked(df, "x", keys).select(*keys, "rank", "x"), "ranks")
     half = F.col("t") <= F.floor(F.col("n") / 2)
     spectrum = transform(measured(df, keys), keys, block=block).where(half).select(*keys, "n", "t", F.hypot("re", "im").alias("amplitude"))
