@@ -79,6 +79,43 @@ def test_cross_mapping(spark):
     assert neighbours.ccm(rows.where("t < 10")).first().stat is None and np.isnan(neighbours.ccm_packed(x[:10], y[:10]))
 
 
+def test_cross_mapping_asks_equal_points_once(spark, monkeypatch):
+    """Series of few values, all libraries small or most of them parted into cells; rows without x are told but not compared."""
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 5, 700).astype(float)
+    y[100:300] = 2.0
+    x = np.roll(y, 1) + rng.integers(0, 3, 700) + 1000.0
+    seen, kept = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, label: seen.append((label, kept(df, label))) or seen[-1][1])
+    rows = spark.createDataFrame([(t, float(a), float(b)) for t, (a, b) in enumerate(zip(x, y))], "t long, x double, y double").repartition(3)
+    different = len({tuple(v) for v in np.lib.stride_tricks.sliding_window_view(y, 3).tolist()})
+    for cell in (32, 1 << 12):
+        assert neighbours.ccm(rows, cell=cell).first().stat == pytest.approx(plain_ccm(x, y), abs=1e-10)
+    asked = [df.count() for label, df in seen if label in ("asked", "queries")]
+    assert asked[0] == different and max(asked) == different < 200
+    near = rng.normal(size=200) * 1e-200  # distances that are zeros, of points that differ
+    some = spark.createDataFrame([(t, float(a), float(b)) for t, (a, b) in enumerate(zip(x, near))], "t long, x double, y double")
+    assert neighbours.ccm(some, cell=32).first().stat == pytest.approx(plain_ccm(x[:200], near), abs=1e-10)
+    assert neighbours.ccm(rows.withColumn("x", rows.t * 0 + 0.1)).first().stat == 0
+
+
+def test_cross_mapping_without_some_values(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=90), rng.integers(0, 3, 90).astype(float)
+    x[::7] = np.nan
+    best, w, ids = 0.0, np.stack([y[i : i + 88] for i in range(3)], 1), np.arange(88)
+    for size in neighbours.sizes(88, 3):
+        guess = []
+        for near, d in plain(w[:size], ids[:size], w, ids, 4, 0):
+            v = np.exp(-np.array(d) / max(d[0], 1e-12))
+            guess.append(np.nansum(v * x[near]) / v.sum())
+        there = ~np.isnan(x[:88])
+        best = max(best, float(np.corrcoef(np.array(guess)[there], x[:88][there])[0, 1]))
+    rows = spark.createDataFrame([(t, None if np.isnan(a) else float(a), float(b)) for t, (a, b) in enumerate(zip(x, y))], "t long, x double, y double")
+    for cell in (32, 1 << 12):
+        assert neighbours.ccm(rows, cell=cell).first().stat == pytest.approx(best, abs=1e-12)
+
+
 def test_work_is_about_linear():
     took = []
     for n in (4000, 16_000, 64_000):
