@@ -168,3 +168,14 @@ def test_a_twin_table_is_small_and_walked_as_before(spark):
         at = int(table[at, pick]) + 1
         at = int(again) if at >= len(table) else at
     assert list(resampling.twin_surrogate(x, np.random.default_rng(3), table=table)) == want
+
+
+def test_transforms_leave_their_series_as_it_is():
+    for n in (2 * 10007, 10007, 4 * 2503, 2 * 3 * 11 * 101):
+        x = np.random.default_rng(n).integers(0, 50, n).astype(float)
+        held = x.copy()
+        held.flags.writeable = False  # as those that Arrow hands over
+        assert np.allclose(transforms.rfft(held), np.fft.rfft(x), atol=1e-7) and np.array_equal(held, x)
+        assert np.allclose(transforms.irfft(np.fft.rfft(x), n), x, atol=1e-9)
+        order = np.random.default_rng(1).permutation(n)
+        assert np.array_equal(np.sort(resampling.iterated_surrogate(held, order, 2)), np.sort(x)) and np.array_equal(held, x)
