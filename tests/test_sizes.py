@@ -179,3 +179,25 @@ def test_transforms_leave_their_series_as_it_is():
         assert np.allclose(transforms.irfft(np.fft.rfft(x), n), x, atol=1e-9)
         order = np.random.default_rng(1).permutation(n)
         assert np.array_equal(np.sort(resampling.iterated_surrogate(held, order, 2)), np.sort(x)) and np.array_equal(held, x)
+
+
+def test_tests_look_at_the_whole_series(spark):
+    """What lies behind the first points counts: order that begins late is seen, by every test and by the distributed form."""
+    x = np.concatenate([np.random.default_rng(4).normal(size=2500), np.arange(700.0)])
+    assert statistics.np_perm_entropy(x) < statistics.np_perm_entropy(x, sub=2000) - 0.05
+    rows = spark.createDataFrame([(t, float(v)) for t, v in enumerate(x)], "t long, x double")
+    assert statistics.perm_entropy(rows, []).first().stat == pytest.approx(statistics.np_perm_entropy(x), abs=1e-9)
+    assert statistics.perm_entropy(rows, [], sub=2000).first().stat == pytest.approx(statistics.np_perm_entropy(x, sub=2000), abs=1e-9)
+    for name in ("approx_entropy", "sample_entropy", "multiscale_se", "rq_determinism", "corr_dim_slope"):
+        fn = statistics.TESTS[name][0]
+        assert abs(fn(x) - fn(x, sub=1200)) > 1e-6, name
+
+
+def test_bits_count_windows_as_all_pairs_do(monkeypatch):
+    monkeypatch.setattr(statistics, "BITS", 64)
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=333), rng.integers(0, 5, 300) * 0.1, np.full(70, 3.3), rng.integers(40, 170, 129) / 6):
+        for r in (0.1, 0.2 * x.std() + 1e-12):
+            for m, got in zip((1, 2, 3, 4), statistics._near(x, (1, 2, 3, 4), r)):
+                w = np.lib.stride_tricks.sliding_window_view(x, m)
+                assert got.tolist() == [int((np.abs(w - v).max(1) <= r).sum()) for v in w]
