@@ -149,3 +149,37 @@ def test_twin_walks():
         at = int(np.argsort(d, kind="stable")[pick]) + 1
         at = int(again) if at >= n else at
     assert resampling.twin_surrogate(y, np.random.default_rng(5)).tolist() == out
+
+
+def test_boxes_answer_as_all_distances_do(monkeypatch):
+    monkeypatch.setattr(neighbours, "PAIRS", 1 << 10)
+    rng, kinds = np.random.default_rng(5), ("normal", "lattice", "equal", "far")
+    for trial in range(48):
+        n, q, dim, k, theiler = (int(rng.integers(a, z)) for a, z in ((1, 300), (1, 200), (1, 5), (1, 12), (0, 3)))
+        made = {"normal": lambda m: rng.normal(size=(m, dim)), "lattice": lambda m: rng.integers(0, 4, (m, dim)) / 6, "equal": lambda m: np.full((m, dim), 2.5), "far": lambda m: rng.standard_cauchy((m, dim))}[kinds[trial % 4]]
+        points, asked, ids, own = made(n), made(q), rng.permutation(1000)[:n], rng.permutation(1000)[:q]
+        within = None if trial % 3 else rng.exponential(1, q)
+        monkeypatch.setattr(neighbours, "CROWD", 20 if trial % 2 else 1 << 12)
+        near, dist = neighbours.Tree(points, ids).nearest(asked, own, k, theiler, within)
+        d = np.sqrt(sum((asked[:, i : i + 1] - points[:, i]) ** 2 for i in range(dim)))
+        d[(np.abs(own[:, None] - ids) <= theiler) | (d > (np.inf if within is None else within[:, None]))] = np.inf
+        for i in range(q):
+            want = [j for j in np.lexsort((ids, d[i]))[:k] if np.isfinite(d[i, j])]
+            assert near[i].tolist() == ids[want].tolist() + [-1] * (k - len(want)), (trial, kinds[trial % 4])
+            assert dist[i, : len(want)] == pytest.approx(d[i, want], rel=1e-12)
+
+
+def test_equal_states_share_a_row_of_the_twin_table():
+    x, asked = np.random.default_rng(7).integers(0, 3, 2000).astype(float), []
+    plain = neighbours.Tree.nearest
+    neighbours.Tree.nearest = lambda self, points, *a: asked.append(len(points)) or plain(self, points, *a)
+    try:
+        table = neighbours.twin_table(x)
+    finally:
+        neighbours.Tree.nearest = plain
+    assert max(asked) <= 27
+    w = np.lib.stride_tricks.sliding_window_view(x, 3)
+    for i in range(0, 1998, 97):
+        d = np.sqrt(((w - w[i]) ** 2).sum(1))
+        d[max(0, i - 1) : i + 2] = np.inf
+        assert table[i].tolist() == np.argsort(d, kind="stable")[:10].tolist()
