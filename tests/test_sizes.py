@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqsieve.functions import signals
-from seqsieve.operators import evaluation, forecast, neighbours, resampling, scans, statistics, transforms
+from seqsieve.operators import evaluation, forecast, neighbours, resampling, scans, series, statistics, transforms
 from seqsieve.plans import gate_queries
 
 
@@ -201,3 +201,24 @@ def test_bits_count_windows_as_all_pairs_do(monkeypatch):
             for m, got in zip((1, 2, 3, 4), statistics._near(x, (1, 2, 3, 4), r)):
                 w = np.lib.stride_tricks.sliding_window_view(x, m)
                 assert got.tolist() == [int((np.abs(w - v).max(1) <= r).sum()) for v in w]
+
+
+def test_gaps_are_filled_without_windows_to_the_end(spark):
+    """Such a window is computed anew for every row: the square of a stretch."""
+    x = [None if i % 7 in (2, 3) or i < 3 else float(i * i % 101) for i in range(9000)]
+    rows = series.inpaint(spark.createDataFrame(list(enumerate(x)), "t long, x double"))
+    assert "unboundedfollowing" not in rows._jdf.queryExecution().toString().lower().replace(" ", "")
+    known = [i for i, v in enumerate(x) if v is not None]
+    want = np.interp(np.arange(9000), known, [x[i] for i in known])
+    assert [r.x for r in rows.orderBy("t").collect()] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_controls_are_made_once(spark, monkeypatch):
+    made = []
+    for name in ("random_draws", "subset_marginal"):
+        monkeypatch.setattr(resampling, name, lambda *a, name=name, plain=getattr(resampling, name): made.append(name) or plain(*a))
+    d = resampling.random_draws(spark, 120, 2)
+    made.clear()
+    own = {"sig": "comp", "test": "acf_max", "params": {"_comp": {"op": "+", "a": "red_sum", "b": "blue"}, "_test": {"maxlag": 5}}}
+    assert scans.axis_scan(d, [("g", "red_sum", ("acf_max",))], evolved=[own], k=20, k_control=20).count() == 2
+    assert sorted(made) == ["random_draws", "subset_marginal", "subset_marginal"]
