@@ -162,7 +162,7 @@ def shuffled_walk_hits(draws: DataFrame, k: int, seed: int, *, train_n: int = 30
     """(sid, n, hits): walk_hits() of k shuffles of the draws. The draws, a bit for each ball, are packed into one row, which a few
     tasks share; each makes its own surrogates one at a time, and what leaves it is two numbers for each."""
     bits = F.aggregate("reds", F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), r - 1)))
-    held = statistics.packed(draws.select(F.lit(0).alias("one"), "t", bits.cast("double").alias("x")), ["one"])  # 33 bits: exact as doubles
+    held = statistics.packed(draws.select(F.lit(0).alias("one"), "t", bits.cast("double").alias("x")), ["one"], longest=statistics.PASSES)  # 33 bits: exact as doubles
     rows = held.select("x", F.explode(F.sequence(F.lit(0), F.lit(max(0, min(k, 64) - 1)))).alias("part"))
 
     def scored(table):
@@ -195,7 +195,7 @@ def shuffled_walk_hits(draws: DataFrame, k: int, seed: int, *, train_n: int = 30
     return rows.groupBy("part").applyInArrow(scored, "sid int, n long, hits long")
 
 
-def walk_forward(draws: DataFrame, *, train_n: int = 300, decay: float = 0.99, k: int = 200, seed: int = 0, reds: int = 6, longest: int = statistics.LONGEST) -> DataFrame:
+def walk_forward(draws: DataFrame, *, train_n: int = 300, decay: float = 0.99, k: int = 200, seed: int = 0, reds: int = 6, longest: int = statistics.PASSES) -> DataFrame:
     """One row (n, hit_rate, random_rate, sur_mean, p_random, above_random): the hit rate of walk_hits() beside those on k shuffles
     of the draws. Nulls, and no claim, for fewer than train_n + 20 draws. Surrogates are made in tasks from the packed draws, at
     most `longest` of them; those of more draws are shuffled by rows."""
